@@ -9,12 +9,26 @@ from ..session import table
 from .common import ascii_lower, shared_dir, written
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
+from .packing import pack
 from .token_counts import TokenRollup
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256).alias("text_sha256")
     found = exact_dedup(table(spark, sf_dir, "documents"), carry=[digest])
@@ -89,7 +103,9 @@ v AS (SELECT source, lang, 'words-1' AS tokenizer_version, CASE WHEN quality = 0
 SELECT source, lang, tokenizer_version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM v GROUP BY ALL"""
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_token_counts": op9_token_counts,
 }
