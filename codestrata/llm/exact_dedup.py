@@ -7,7 +7,8 @@ class of equal texts. No digest takes part in the comparison.
 
 Each round is one aggregation by (group, digit), pre-aggregated before its shuffle, and one join
 that carries the verdict back to the rows. A hot class is a hot key on the row side of that join
-only, where adaptive execution splits it. Rows that have left the recursion carry no text, so each
+only, where adaptive execution splits it: verdicts are written first, as it does not split a join
+whose other side is an aggregation in the same plan. Rows that have left the recursion carry no text, so each
 round moves less.
 """
 
@@ -39,14 +40,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     length = F.octet_length(F.coalesce(col(text_col), F.lit("")))
 
     rows = docs.select(col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), carried.alias("carried"), length.alias("length"), head.alias("digit"), body.alias("body"))
-    groups = rows.groupBy("length", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("grp")).filter("n > 1").select("length", "digit", "grp")
+    groups = written(rows.groupBy("length", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("grp")).filter("n > 1").select("length", "digit", "grp"))
     split = written(rows.join(groups, ["length", "digit"], "left").select("id", "row", "carried", "length", "grp", F.when(F.col("grp").isNotNull(), F.col("body")).alias("body")))
 
     results = [split.filter("grp IS NULL").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "carried")]
     live, done, width = split.filter("grp IS NOT NULL"), 0, FIRST_DIGIT
     while not live.isEmpty():
         digits = live.withColumn("digit", F.substring("body", done + 1, width))
-        verdicts = digits.groupBy("grp", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.max(F.struct("id", "row")).alias("last"))
+        verdicts = written(digits.groupBy("grp", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.max(F.struct("id", "row")).alias("last")))
         ended = (F.col("n") == 1) | (F.col("length") <= done + width)
         split = written(
             digits.join(verdicts, ["grp", "digit"]).select(
