@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import score_quality
+from .substring_dedup import remove_repeats
 from .token_counts import TokenRollup
 from .top_k import exact_top_k
 
@@ -126,8 +127,23 @@ v AS (SELECT source, lang, 'words-1' AS tokenizer_version, CASE WHEN quality = 0
       UNION ALL SELECT source, lang, 'pieces-1', pieces FROM d WHERE toxic <> 1)
 SELECT source, lang, tokenizer_version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM v GROUP BY ALL"""
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d WHERE len(w) >= 20),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS n FROM s),
+g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(generate_series(i, i + 19)) AS p FROM r WHERE n > 1) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op10_substring_dedup": op10_substring_dedup,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op5_simhash": op5_simhash,
@@ -138,6 +154,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_mixing": OP2_SQL,
+    "op10_substring_dedup": OP10_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_top_k": OP8_SQL,
     "op9_token_counts": OP9_SQL,
