@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import col, written
-from .tokenizing import text_ids, word_ids
+from .tokenizing import together, word_ids
 
 #: Rows of (task, length) counts that may be broadcast, some 64 MB; above it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -37,8 +37,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, te
         words, made, part = word_ids(tokenizer), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             out = defaultdict(list)
-            for row, text in enumerate(batch.column(1)):
-                ids = text_ids(words, text.as_py()) + END
+            texts = (words.texts(group) for group in together(batch.column(1).to_pylist()))
+            for row, ids in enumerate(i + END for group in texts for i in group):
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     length = len(own) // 4

@@ -3,7 +3,6 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -82,8 +81,11 @@ def test_plan_places_every_piece_once(histogram):
     assert len(filled) <= max(large, 1.5 * total / 40 + 1) + 1
 
 
-@pytest.mark.parametrize("text", ["don't STOP", "a<|endoftext|>b", "Ω≈ç√ 123 x y z", "é ́x"])
-def test_words_give_the_ids_of_the_whole(text):
-    from codestrata.llm.tokenizing import text_ids, word_ids
+def test_words_give_the_ids_of_the_whole(documents):
+    from codestrata.llm.tokenizing import word_ids
 
-    assert text_ids(word_ids(PATH), text) == whole_ids([text])[0][:-1].tobytes()
+    odd = ["don't STOP", "a<|endoftext|>b", "<|ENDOFTEXT|> <|startoftext|>.", "Ω≈ç√ 123 x y z", "é ́x", "İ. ǅ, ẞ! K.", "it's. 'S, we'LL: x'm.", "... . a.. é. É, Σας Σ. ΑΣ,", ""]
+    texts = odd + [r["text"] or "" for r in documents.select("text").collect()]
+    words = word_ids(PATH)
+    for _ in range(2):
+        assert words.texts(texts) == [i[:-1].tobytes() for i in whole_ids(texts)]
