@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .common import ascii_lower, shared_dir, written
 from .exact_dedup import exact_dedup
+from .katz import score_texts
 from .language_id import identify_languages
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -49,6 +50,10 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 10"""
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -146,6 +151,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
+    "op4_katz": op4_katz,
     "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,

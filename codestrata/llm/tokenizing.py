@@ -95,11 +95,11 @@ def word_ids(path: str) -> WordIds:
     return _LOADED[path]
 
 
-def together(texts: list[str | None]) -> list[list[str]]:
+def together(texts: list[str | None], most: int = TOGETHER) -> list[list[str]]:
     """Null as empty; in groups of some megabytes, or of one longer text."""
     groups, size = [[]], 0
     for t in texts:
-        if size > TOGETHER:
+        if size > most:
             groups.append([])
             size = 0
         groups[-1].append(t or "")
