@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from zlib import crc32
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import col, in_fold
 
-FEATURES = 1 << 16
+FEATURE_BITS, GRAM = 17, 4
+FEATURES = 1 << FEATURE_BITS
 UNKNOWN = "und"
 #: Words labelled together, and words whose features are remembered by a task.
 TOGETHER, REMEMBERED = 400_000, 300_000
@@ -33,40 +34,60 @@ def letters(token: str) -> str:
     return token.lower() if token.isalpha() else "".join(filter(str.isalpha, token.lower()))
 
 
-def word_features(word: str, lexicons: list[set[str]]) -> np.ndarray:
-    """Hashed features of a word of letters."""
-    bound = f"^{word}$"
-    names = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
-    names += [bound[i : i + n] for n in (2, 3) for i in range(len(bound) - n + 1)] + list(set(word))
-    names += [f"lexicon {k}" for k, lexicon in enumerate(lexicons) if word in lexicon]
-    return np.fromiter((crc32(n.encode()) % FEATURES for n in names), np.int64, len(names))
+def word_features(words: list[str], lexicons: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words of letters, and the word of each: the n-grams of 1 to 4 bytes of ^word$, of which
+    those that hold ^ or $ are its affixes, and the lexicons it stands in."""
+    bounded = [b"^" + w.encode() + b"$" for w in words]
+    sizes = np.fromiter(map(len, bounded), np.int64, len(bounded))
+    ends = np.cumsum(sizes)
+    text = np.frombuffer(b"".join(bounded), np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    room = np.repeat(ends, sizes) - np.arange(len(text))  # bytes left in the word
+    features, owners, gram = [], [], np.zeros(len(text), np.uint64)
+    for n in range(1, GRAM + 1):
+        gram = gram[: len(text) - n + 1] * np.uint64(257) + text[n - 1 :]
+        fits = room[: len(gram)] >= n
+        features.append((gram[fits] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FEATURE_BITS))
+        owners.append(owner[: len(gram)][fits])
+    for k, lexicon in enumerate(lexicons):
+        inside = [i for i, w in enumerate(words) if w in lexicon]
+        features.append(np.full(len(inside), FEATURES + k, np.uint64))
+        owners.append(np.array(inside, np.int64))
+    return np.concatenate(features).astype(np.int64), np.concatenate(owners)
 
 
 @dataclass
 class Field:
     languages: list[str]
     lexicons: list[set[str]]
-    weights: np.ndarray  # features x languages
+    weights: np.ndarray  # features, then lexicons, x languages
     moves: np.ndarray  # log weights, from x to
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.weights[word_features(word, self.lexicons)].sum(axis=0)
+    def emissions(self, words: list[str]) -> np.ndarray:
+        out = [np.zeros((0, len(self.languages)))]
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            feature, owner = word_features(part, self.lexicons)
+            out.append(np.column_stack([np.bincount(owner, self.weights[feature, j], len(part)) for j in range(len(self.languages))]))
+        return np.concatenate(out)
 
 
-class Emissions(dict):
-    """token -> row of its emissions; row 0 stands for tokens without a letter."""
+class Emissions:
+    """Rows of emissions of the tokens met so far; row 0 stands for tokens without a letter."""
 
     def __init__(self, field: Field):
-        self.field, self.rows = field, [np.zeros(len(field.languages))]
+        self.field = field
+        self.forget()
 
-    def __missing__(self, token: str) -> int:
-        word = letters(token)
-        at = 0
-        if word:
-            at = len(self.rows)
-            self.rows.append(self.field.emission(word))
-        self[token] = at
-        return at
+    def forget(self) -> None:
+        self.row_of: dict[str, int] = {}
+        self.rows = np.zeros((1, len(self.field.languages)))
+
+    def learn(self, tokens: set[str]) -> None:
+        new = [(t, letters(t)) for t in tokens if t not in self.row_of]
+        place = {w: len(self.rows) + k for k, w in enumerate(dict.fromkeys(w for _, w in new if w))}
+        self.rows = np.concatenate([self.rows, self.field.emissions(list(place))])
+        self.row_of.update((t, place.get(w, 0)) for t, w in new)
 
 
 def forward_backward(emissions: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,12 +155,12 @@ def fit_field(texts: Iterable[tuple[str, str]], lexicon_size: int = 1000, max_wo
     tokens = np.array([number.setdefault(w, len(number)) for s in sequences for w, _ in s])
     truth = np.array([languages.index(k) for s in sequences for _, k in s])
     sizes = np.array([len(s) for s in sequences])
-    own = [word_features(w, lexicons) for w in number]
-    feature, word = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+    feature, word = word_features(list(number), lexicons)
 
     n, size = len(languages), len(tokens)
-    field = Field(languages, lexicons, np.zeros((FEATURES, n)), np.zeros((n, n)))
-    seen, moved = np.zeros((len(own), n)), np.zeros((n, n))
+    types, width = len(number), FEATURES + n
+    field = Field(languages, lexicons, np.zeros((width, n)), np.zeros((n, n)))
+    seen, moved = np.zeros((types, n)), np.zeros((n, n))
     np.add.at(seen, (tokens, truth), 1.0)
     first = np.zeros(size, bool)
     first[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = True
@@ -147,10 +168,10 @@ def fit_field(texts: Iterable[tuple[str, str]], lexicon_size: int = 1000, max_wo
     np.add.at(moved, (truth[after - 1], truth[after]), 1.0)
     means = [[np.zeros_like(p), np.zeros_like(p)] for p in (field.weights, field.moves)]
     for k in range(1, rounds + 1):
-        by_word = np.column_stack([np.bincount(word, field.weights[feature, j], len(own)) for j in range(n)])
+        by_word = np.column_stack([np.bincount(word, field.weights[feature, j], types) for j in range(n)])
         label, moves = forward_backward(by_word[tokens], sizes, field.moves)
-        wrong = seen - np.column_stack([np.bincount(tokens, label[:, j], len(own)) for j in range(n)])
-        up = np.column_stack([np.bincount(feature, wrong[word, j], FEATURES) for j in range(n)])
+        wrong = seen - np.column_stack([np.bincount(tokens, label[:, j], types) for j in range(n)])
+        up = np.column_stack([np.bincount(feature, wrong[word, j], width) for j in range(n)])
         for p, g, (mean, square) in zip((field.weights, field.moves), (up / size - 1e-6 * field.weights, (moved - moves) / size), means):
             mean += 0.1 * (g - mean)
             square += 0.01 * (g**2 - square)
@@ -164,23 +185,21 @@ def label_texts(field: Field, texts: list[str | None], known: Emissions) -> tupl
     order = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""), reverse=True)
     at = 0
     while at < len(order):
-        group, words = [], 0
-        if len(known) > REMEMBERED:
-            known.clear()
-            del known.rows[1:]
-        while at < len(order) and (words < TOGETHER or not group):
-            tokens = (texts[order[at]] or "").split()
-            rows = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-            rows = rows[rows > 0]
-            if len(rows):
-                group.append((order[at], rows))
-                words += len(rows)
+        split, words = [], 0
+        while at < len(order) and (words < TOGETHER or not split):
+            split.append((order[at], (texts[order[at]] or "").split()))
+            words += len(split[-1][1])
             at += 1
+        if len(known.row_of) > REMEMBERED:
+            known.forget()
+        known.learn(set(chain.from_iterable(tokens for _, tokens in split)))
+        rows = ((i, np.fromiter(map(known.row_of.__getitem__, tokens), np.int64, len(tokens))) for i, tokens in split)
+        group = [(i, r[r > 0]) for i, r in rows if r.any()]
         if not group:
             continue
         group.sort(key=lambda x: len(x[1]), reverse=True)
         sizes = np.array([len(r) for _, r in group])
-        label, _ = forward_backward(np.array(known.rows)[np.concatenate([r for _, r in group])], sizes, field.moves)
+        label, _ = forward_backward(known.rows[np.concatenate([r for _, r in group])], sizes, field.moves)
         mean = np.add.reduceat(label, np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes[:, None]
         for (i, _), m in zip(group, mean):
             best = int(m.argmax())
