@@ -21,7 +21,7 @@ def test_every_stage_against_brute_force(spark, documents):
     assert all(t.columns == documents.columns for t in tables[:-1])
 
     labels = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify_languages(documents).collect()}
-    assert sorted(map(key, spoken)) == sorted(key(d) for d in docs if labels[d["doc_id"]][0] != "und" and labels[d["doc_id"]][1] >= 0.5)
+    assert sorted(map(key, spoken)) == sorted(key(d) for d in docs if labels[d["doc_id"]][0] != "und" and labels[d["doc_id"]][1] >= corpus_pipeline.LEAST_SCORE)
     assert len(spoken) > 0.95 * len(docs)
 
     last = {}
