@@ -40,3 +40,30 @@ def match_offsets(text: Column, pattern: str) -> Column:
         return F.struct(start.alias("start"), (start + F.octet_length(match)).alias("end"))
 
     return F.when(text.rlike(pattern), F.transform(matches, place)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+
+def match_spans(text: Column, pattern: str, group: int = 1) -> Column:
+    """array<struct<start, end, value>>: all matches in bytes from 0, and a group's text. One pass along the text."""
+    java = F.lit(pattern)
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, java, F.lit(0)).alias("match"), F.regexp_extract_all(text, java, F.lit(group)).alias("value"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.octet_length(x["between"])
+        end = at + F.coalesce(F.octet_length(x["match"]), F.lit(0))
+        own = F.struct(at.alias("start"), end.alias("end"), x["value"].alias("value"))
+        return F.struct(end.alias("at"), F.when(x["match"].isNotNull(), F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+
+
+def line_starts(lines: Column) -> Column:
+    """The byte at which each line starts; one newline ends each."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lines, start, lambda acc, x: F.struct((acc["at"] + F.octet_length(x) + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def line_at(starts: Column, offset: Column) -> Column:
+    """struct<line, char> from 0 of a byte offset."""
+    before = F.filter(starts, lambda s: s <= offset)
+    return F.struct((F.size(before) - 1).alias("line"), (offset - F.element_at(before, -1)).alias("char"))

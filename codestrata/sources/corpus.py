@@ -54,7 +54,7 @@ TEMPLATES = [
     "'switch ($x) {'",
     "'try {'",
     "'throw new Oops();'",
-    f"""'  $secret_key = "abcdefghijkl' || {_E} || '";'""",
+    f"""'  $secret_key = "abcdefghijkl' || {_E} || '" . $_COOKIE["s"];'""",
     f"""'fn' || CAST(event_id - 17 AS {{s}}) || '($a, "x" . $v' || {_V} || ');'""",
 ]
 TEXT = f"CASE CAST(event_id % {len(TEMPLATES)} AS INT) " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(TEMPLATES)) + " END"
