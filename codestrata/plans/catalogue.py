@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import scan, symbols
+from . import analysis, scan, symbols
 
-MODULES = [scan, symbols]
+MODULES = [scan, symbols, analysis]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
