@@ -5,8 +5,6 @@ Every relation has path and line. Classes, functions, calls and assignments are
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,37 +103,49 @@ def tainted_variables(assigned: DataFrame, depth: int = 10) -> DataFrame:
         ) SELECT path, variable, min(steps) AS steps FROM reach GROUP BY path, variable""")
 
 
-def cleaned_by(assigned: DataFrame, names: list[str]) -> DataFrame:
-    """path, variable: assigned from one of the functions somewhere in the file."""
-    return assigned.filter(F.col("rhs").rlike(rf"^({'|'.join(names)})\s*\(")).select("path", F.col("target").alias("variable")).distinct()
-
-
 def rule_findings(lines: DataFrame) -> DataFrame:
-    """rule_id, path, line, seq, subject, severity, confidence of the rules over calls, arguments and assignments."""
+    """rule_id, path, line, seq, subject, severity, confidence of the rules over calls, arguments and assignments.
+
+    Each relation is passed over once: its rows get the findings of all rules that look at it as an array.
+    """
     assigned, called = assignments(lines), calls(lines)
-    args = arguments(called)
-    dirty = args.join(tainted_variables(assigned).select("path", "variable"), ["path", "variable"], "left_semi").unionByName(args.filter(F.col("value").rlike(SUPERGLOBALS)))
-    name = F.lower("name")
+    name, value = F.lower("name"), F.col("value")
 
-    def out(rows: DataFrame, rule: str, subject: Column) -> DataFrame:
+    def hit(rule: str, holds: Column, subject: Column) -> Column:
         severity, sure = RULES[rule]
-        return rows.select(F.lit(rule).alias("rule_id"), "path", "line", "seq", subject.alias("subject"), F.lit(severity).alias("severity"), F.lit(sure).alias("confidence")).distinct()
-
-    matching = F.explode(F.filter(F.array(*map(F.lit, SQL_CALLS)), lambda s: name.contains(s)))
-    whole = assigned.withColumn("seq", F.lit(0))
-    loose = F.col("value").rlike(r"""^["'].*\.\.[/\\]""")
-    parts = [
-        out(dirty.select("*", matching.alias("sink")), "SQL-001", F.col("sink")),
-        out(args.filter(name.isin(PDO_CALLS) & F.col("concat")), "SQL-002", F.col("name")),
-        out(dirty.filter(name.isin(OUTPUTS)).join(cleaned_by(assigned, ESCAPES), ["path", "variable"], "left_anti"), "XSS-001", F.col("name")),
-        out(whole.filter(F.col("rhs").rlike(r"\$?_(GET|POST|REQUEST|COOKIE|SERVER)")), "XSS-002", F.col("target")),
-        out(dirty.filter(name.isin(COMMANDS)), "CMD-001", F.col("name")),
-        out(dirty.filter(name.isin(FILES)).join(cleaned_by(assigned, PATH_CHECKS), ["path", "variable"], "left_anti").unionByName(args.filter(name.isin(FILES) & loose)), "PATH-001", F.col("name")),
-        *[out(whole.filter(F.col("text").rlike(portable(p))), "SEC-001", F.lit(f"pattern {k}")) for k, p in enumerate(SECRETS)],
-        out(called.filter(name.isin(CRYPTO)), "CRYPTO-001", name),
-        out(called.filter(name.isin(UNSAFE)), "DESER-001", name),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        return F.when(holds, F.array(F.struct(F.lit(rule).alias("rule_id"), subject.alias("subject"), F.lit(severity).alias("severity"), F.lit(sure).alias("confidence"))))
+
+    def hits(rows: DataFrame, *found: Column) -> DataFrame:
+        none = F.array().cast("array<struct<rule_id:string,subject:string,severity:int,confidence:int>>")
+        every = F.concat(*[F.coalesce(f, none) for f in found])
+        return rows.select("path", "line", "seq", F.explode(every).alias("h")).select("h.rule_id", "path", "line", "seq", "h.subject", "h.severity", "h.confidence")
+
+    # What is known of each variable of a file, in one row: tainted, escaped, checked.
+    marks = [F.col("rhs").rlike(rf"^({'|'.join(names)})\s*\(").cast("int").alias(c) for c, names in (("escaped", ESCAPES), ("checked", PATH_CHECKS))]
+    known = assigned.select("path", F.col("target").alias("variable"), F.lit(0).alias("tainted"), *marks)
+    known = known.unionByName(tainted_variables(assigned).select("path", "variable", F.lit(1).alias("tainted"), F.lit(0).alias("escaped"), F.lit(0).alias("checked")))
+    known = known.groupBy("path", "variable").agg(*[(F.max(c) == 1).alias(c) for c in ("tainted", "escaped", "checked")])
+
+    args = arguments(called).join(known, ["path", "variable"], "left").withColumn("dirty", F.coalesce("tainted", F.lit(False)) | value.rlike(SUPERGLOBALS))
+    dirty, untreated = F.col("dirty"), lambda c: F.col("dirty") & ~F.coalesce(c, F.lit(False))
+    severity, sure = RULES["SQL-001"]
+    sinks = F.filter(F.array(*map(F.lit, SQL_CALLS)), lambda s: name.contains(s))
+    per_sink = F.when(dirty, F.transform(sinks, lambda s: F.struct(F.lit("SQL-001").alias("rule_id"), s.alias("subject"), F.lit(severity).alias("severity"), F.lit(sure).alias("confidence"))))
+    from_args = hits(
+        args,
+        per_sink,
+        hit("SQL-002", name.isin(PDO_CALLS) & F.col("concat"), F.col("name")),
+        hit("XSS-001", name.isin(OUTPUTS) & untreated("escaped"), F.col("name")),
+        hit("CMD-001", name.isin(COMMANDS) & dirty, F.col("name")),
+        hit("PATH-001", name.isin(FILES) & (untreated("checked") | value.rlike(r"""^["'].*\.\.[/\\]""")), F.col("name")),
+    ).distinct()  # several arguments of a call give a finding once
+    from_calls = hits(called, hit("CRYPTO-001", name.isin(CRYPTO), name), hit("DESER-001", name.isin(UNSAFE), name)).distinct()
+    from_assignments = hits(
+        assigned.withColumn("seq", F.lit(0)),
+        hit("XSS-002", F.col("rhs").rlike(r"\$?_(GET|POST|REQUEST|COOKIE|SERVER)"), F.col("target")),
+        *[hit("SEC-001", F.col("text").rlike(portable(p)), F.lit(f"pattern {k}")) for k, p in enumerate(SECRETS)],
+    )
+    return from_args.unionByName(from_calls).unionByName(from_assignments)
 
 
 def summary(found: DataFrame) -> DataFrame:
