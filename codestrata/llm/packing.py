@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import col, written
 from .tokenizing import together, word_ids
 
-#: Rows of (task, length) counts that may be broadcast, some 64 MB; above it they are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of (task, length) counts that may be broadcast, some 50 MB; above it they are joined by shuffle.
+BROADCAST_ROWS = 400_000
 END = np.array([1], "<u4").tobytes()
 
 
