@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Languages by extension, extensions read, and defaults that leave paths out.
@@ -63,3 +63,16 @@ def ignored(path: Column, allowed: list[str] = (), excluded: list[str] = EXCLUDE
     for s in ignore:
         out = out | F.concat(where, F.lit("/")).contains(s)
     return out | ~any_pattern(where, list(allowed)) if allowed else out
+
+
+def to_uri(path: Column) -> Column:
+    return F.concat(F.lit("file://"), path)
+
+
+def from_uri(uri: Column) -> Column:
+    return F.regexp_replace(uri, "^file://", "")
+
+
+def at_most(files: DataFrame, n: int) -> DataFrame:
+    """The first n files by path: a limit that does not depend on the order in which files are met."""
+    return files.orderBy("path").limit(n)

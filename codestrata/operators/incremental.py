@@ -63,3 +63,8 @@ def upsert(index: DataFrame, rows: DataFrame) -> DataFrame:
 def replace_by_path(table: DataFrame, rows: DataFrame, processed: DataFrame) -> DataFrame:
     """A result table after re-analysis: all rows of processed paths are replaced."""
     return table.join(processed.select("path").distinct(), "path", "left_anti").unionByName(rows)
+
+
+def append_new(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Insert or ignore: rows whose keys the table does not have, each key once."""
+    return table.unionByName(rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti"))

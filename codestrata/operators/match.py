@@ -106,3 +106,14 @@ def scan_stats(files: DataFrame, rows: DataFrame, read: Column) -> DataFrame:
     return every.agg(
         F.sum("scanned").alias("files_scanned"), F.sum(1 - F.col("scanned")).alias("files_skipped"), F.sum("n").cast("long").alias("lines_scanned"), F.sum("finding").alias("findings_total")
     )
+
+
+def by_rule(rows: DataFrame) -> DataFrame:
+    """What a report says of each rule: findings, files, and the first place by path, line and column."""
+    first = F.min(F.struct("file", "line", "column"))
+    return rows.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"), first.alias("f")).select("rule_id", "n", "files", "f.file", "f.line", "f.column")
+
+
+def gate(rows: DataFrame) -> DataFrame:
+    """file, has_critical, has_high (exactly high): what a build may stop on."""
+    return rows.groupBy("file").agg(F.bool_or(F.col("severity") == 3).alias("has_critical"), F.bool_or(F.col("severity") == 2).alias("has_high"))

@@ -143,3 +143,10 @@ def symbol_findings(rows: DataFrame) -> DataFrame:
     hits = vulnerable(rows).filter(F.col("kind").isin(SECRET_KINDS) & named)
     text = F.format_string("%s detected in symbol '%s' (%s)", F.lit(SECRET_TEXT), "name", "name_path")
     return hits.select(F.lit(SECRET_RULE).alias("rule_id"), "path", (F.col("start_line") + 1).alias("line"), (F.col("start_char") + 1).alias("column"), "name", text.alias("description"), confidence().alias("confidence"))
+
+
+def outline(rows: DataFrame) -> DataFrame:
+    """path, outline: a file's scopes in order, each two blanks deeper than its parent."""
+    text = F.concat(F.when(F.col("parent_id").isNull(), "").otherwise("  "), F.format_string("%s (%d)", "name", "kind"))
+    entries = F.sort_array(F.collect_list(F.struct("ordinal", text.alias("text"))))
+    return rows.groupBy("path").agg(F.array_join(F.transform(entries, lambda e: e["text"]), "\n").alias("outline"))

@@ -151,3 +151,47 @@ def rule_findings(lines: DataFrame) -> DataFrame:
 def summary(found: DataFrame) -> DataFrame:
     """One row per severity and per rule, from one pass over the findings."""
     return found.groupingSets([["severity"], ["rule_id"]], "severity", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Import statements by language; the first group is what is imported.
+IMPORTS = {
+    "go": r"""^\s*import\s+(?:[A-Za-z_.]+\s+)?"([^"]+)["]""",
+    "python": r"^\s*(?:import|from)\s+([A-Za-z0-9_.]+)",
+    "java": r"^\s*import\s+(?:static\s+)?([A-Za-z0-9_.*]+)\s*;",
+    "javascript": r"""^\s*import\s.*["']([^"']+)["']""",
+    "php": USE,
+}
+SINKS = ["echo", "print", "query", "exec", "system", "mysqli_query"]
+
+
+def imports(lines: DataFrame) -> DataFrame:
+    """path, line, module of the import statements of every language."""
+    module = F.lit(None).cast("string")
+    for language, pattern in IMPORTS.items():
+        own = (F.col("language") == language) & F.col("text").rlike(portable(pattern))
+        module = F.when(own, F.regexp_extract("text", portable(pattern), 1)).otherwise(module)
+    return lines.withColumn("module", module).filter("module IS NOT NULL").select("path", "line", "module")
+
+
+def metrics(lines: DataFrame) -> DataFrame:
+    """path, functions, classes, assignments, calls of every file with lines."""
+    text = F.col("text")
+    marks = [F.when(text.rlike(portable(p)), 1).otherwise(0).alias(c) for c, p in (("functions", FUNCTION), ("classes", CLASS), ("assignments", ASSIGNMENT))]
+    counted = lines.select("path", *marks, F.lit(0).alias("calls")).unionByName(calls(lines).select("path", *[F.lit(0).alias(c) for c in ("functions", "classes", "assignments")], F.lit(1).alias("calls")))
+    return counted.groupBy("path").agg(*[F.sum(c).alias(c) for c in ("functions", "classes", "assignments", "calls")])
+
+
+def taint_paths(lines: DataFrame) -> DataFrame:
+    """path, variable, source_line, sink, sink_line, steps: each tainted variable that stands in a sink's argument, with the
+    first line that taints a variable of its closure's origin in that file."""
+    assigned = assignments(lines)
+    first = assigned.filter("tainted").groupBy("path").agg(F.min("line").alias("source_line"))
+    args = arguments(calls(lines)).filter(F.col("name").isin(SINKS) & F.col("variable").isNotNull())
+    found = args.join(tainted_variables(assigned), ["path", "variable"]).join(first, "path")
+    return found.select("path", "variable", "source_line", F.col("name").alias("sink"), F.col("line").alias("sink_line"), "steps").distinct()
+
+
+def function_findings(lines: DataFrame, names: list[str], confidence: int = 90) -> DataFrame:
+    """path, line, name, wanted, confidence: calls whose names contain one of the texts."""
+    wanted = F.explode(F.filter(F.array(*map(F.lit, names)), lambda n: F.col("name").contains(n))).alias("wanted")
+    return calls(lines).select("path", "line", "seq", "name", wanted).withColumn("confidence", F.lit(confidence))

@@ -52,6 +52,22 @@ def syntax_summary(spark, sf_dir):
     return syntax.summary(syntax.rule_findings(_php(spark, sf_dir)))
 
 
+def syntax_metrics(spark, sf_dir):
+    return syntax.metrics(_php(spark, sf_dir))
+
+
+def imports(spark, sf_dir):
+    return syntax.imports(syntax.source_lines(events_corpus(spark, sf_dir)))
+
+
+def taint_paths(spark, sf_dir):
+    return syntax.taint_paths(_php(spark, sf_dir))
+
+
+def function_findings(spark, sf_dir):
+    return syntax.function_findings(_php(spark, sf_dir), ["query", "mysqli", "serialize"])
+
+
 def use_bindings(spark, sf_dir):
     return graphs.use_bindings(_php(spark, sf_dir))
 
@@ -209,7 +225,7 @@ FINDINGS = " UNION ALL ".join([
 ])
 
 QUERIES = {f.__name__: f for f in (
-    php_functions, php_classes, php_assignments, php_calls, php_last_definitions, tainted_variables, syntax_findings, syntax_summary, use_bindings, inheritance, call_edges, dependency_edges,
+    php_functions, php_classes, php_assignments, php_calls, php_last_definitions, tainted_variables, syntax_findings, syntax_summary, syntax_metrics, imports, taint_paths, function_findings, use_bindings, inheritance, call_edges, dependency_edges,
     dependency_degrees, change_plan, files_to_process, affected_files, index_upsert, cache_validity, cache_eviction, cache_stats, flow_edges, flow_metrics, flow_dot, statement_counts,
 )}
 ORACLES = {
@@ -221,6 +237,12 @@ ORACLES = {
     "tainted_variables": BASE + "SELECT * FROM taint",
     "syntax_findings": BASE + FINDINGS,
     "syntax_summary": BASE + f"SELECT severity, rule_id, count(*) AS n FROM ({FINDINGS}) GROUP BY GROUPING SETS ((severity), (rule_id))",
+    "syntax_metrics": BASE + f"""SELECT p.path, p.functions, p.classes, p.assignments, coalesce(c.calls, 0)::BIGINT AS calls FROM (SELECT path, sum(regexp_matches(text, {_rx(_F)})::INT)::BIGINT AS functions,
+ sum(regexp_matches(text, {_rx(_C)})::INT)::BIGINT AS classes, sum(regexp_matches(text, {_rx(_A)})::INT)::BIGINT AS assignments FROM php GROUP BY path) p LEFT JOIN (SELECT path, count(*) AS calls FROM calls GROUP BY path) c USING (path)""",
+    "imports": f"WITH {SQL} " + " UNION ALL ".join(f"SELECT path, line_no AS line, regexp_extract(text, {_quoted(p)}, 1) AS module FROM code_lines WHERE language = '{k}' AND regexp_matches(text, {_quoted(p)})" for k, p in syntax.IMPORTS.items()),
+    "taint_paths": BASE + f"""SELECT DISTINCT a.path, a.variable, s.source_line, a.name AS sink, a.line AS sink_line, t.steps FROM args a JOIN taint t USING (path, variable)
+ JOIN (SELECT path, min(line) AS source_line FROM assignments WHERE tainted GROUP BY path) s ON s.path = a.path WHERE a.name IN ({_LIST(syntax.SINKS)})""",
+    "function_findings": BASE + "SELECT path, line, seq, name, wanted, 90 AS confidence FROM (SELECT *, unnest(['query', 'mysqli', 'serialize']) AS wanted FROM calls) WHERE contains(name, wanted)",
     "use_bindings": BASE + "SELECT path, line, CASE WHEN alias <> '' THEN alias ELSE regexp_extract(fqn, '([^\\\\]+)$', 1) END AS alias, chr(92) || fqn AS fqn FROM uses",
     "inheritance": BASE + "SELECT * FROM inherits",
     "call_edges": BASE + """SELECT c.path AS caller_path, c.line, c.seq, c.name AS callee, CASE WHEN list_contains(d.paths, c.path) THEN c.path ELSE d.paths[1] END AS callee_path, d.paths IS NOT NULL AS is_direct

@@ -76,6 +76,19 @@ def report_sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sarif_results(_findings(spark, sf_dir))
 
 
+def findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.by_rule(_findings(spark, sf_dir))
+
+
+def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.gate(_findings(spark, sf_dir))
+
+
+def first_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan's limit on files, as a report of what it would read."""
+    return paths.at_most(events_corpus(spark, sf_dir), 100).select("path", paths.to_uri(F.col("path")).alias("uri"), match.line_count(F.col("content")).cast("long").alias("n_lines"))
+
+
 def document_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets assigned in the lines of documents, by the looser pattern of the syntax rules."""
     rule = Rule("SEC-001", "hardcoded_secrets", "Secret", "Hardcoded secret detected in assignment", 3, ("*",), "CWE-798", "A02:2021", "Cryptographic Failures", "", (SECRET,))
@@ -143,6 +156,9 @@ QUERIES = {
     "report_json": report_json,
     "report_sarif_rules": report_sarif_rules,
     "report_sarif_results": report_sarif_results,
+    "findings_by_rule": findings_by_rule,
+    "severity_gate": severity_gate,
+    "first_files": first_files,
     "document_secrets": document_secrets,
 }
 ORACLES = {
@@ -163,6 +179,9 @@ SELECT file, ordinal::INTEGER AS ordinal, md5(block) AS digest, length(block)::I
  || '}},"defaultConfiguration":{{"level":"' || {_LEVEL} || '"}},"properties":{{"tags":["' || type || '","' || {NAME} || '"],"cwe":"' || cwe || '","owasp":"' || owasp || '"}}}}' AS json FROM (SELECT DISTINCT rule_id, title, description, severity, type, cwe, owasp FROM found)""",
     "report_sarif_results": FOUND + f"""SELECT finding_id, pattern, {_LEVEL} AS level, '{{"ruleId":' || to_json(rule_id) || ',"message":{{"text":' || to_json(description) || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(file)
  || '}},"region":{{"startLine":' || line || ',"startColumn":' || "column" || '}}' || CASE WHEN code <> '' THEN ',"contextRegion":{{"snippet":{{"text":' || to_json(code) || '}}}}' ELSE '' END || '}}}}],"level":"' || {_LEVEL} || '"}}' AS json FROM found""",
+    "findings_by_rule": FOUND + ', r AS (SELECT rule_id, count(*) OVER (PARTITION BY rule_id) AS n, file, line, "column", row_number() OVER (PARTITION BY rule_id ORDER BY file, line, "column") AS k FROM found) SELECT rule_id, n, (SELECT count(DISTINCT file) FROM found f WHERE f.rule_id = r.rule_id) AS files, file, line, "column" FROM r WHERE k = 1',
+    "severity_gate": FOUND + "SELECT file, bool_or(severity = 3) AS has_critical, bool_or(severity = 2) AS has_high FROM found GROUP BY file",
+    "first_files": f"WITH {SQL} SELECT path, 'file://' || path AS uri, n_lines::BIGINT AS n_lines FROM code_files ORDER BY path LIMIT 100",
     "document_secrets": f"""WITH doc_lines AS (SELECT doc_id::VARCHAR AS path, lang AS language, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents),
 {hits_sql([Rule("", "", "", "", 3, ("*",), "", "", "", "", (SECRET,))], "doc_lines")}
 SELECT path::BIGINT AS doc_id, line_no::INTEGER AS line, (start + 1)::INTEGER AS "column", trim(text) AS code FROM hits""",

@@ -49,6 +49,10 @@ def symbol_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.symbol_at(rows, positions).select("path", "line", "symbol_id", "name")
 
 
+def symbol_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.outline(_scopes(spark, sf_dir))
+
+
 def symbol_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.symbol_findings(_scopes(spark, sf_dir))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "find_symbol": find_symbol,
     "symbol_at_position": symbol_at_position,
     "symbol_findings": symbol_findings,
+    "symbol_outline": symbol_outline,
 }
 ORACLES = {
     "symbols": SYMBOLS + f"SELECT {', '.join(PLACE)}, symbol_id, parent_id FROM s",
@@ -98,6 +103,7 @@ ORACLES = {
 x AS (SELECT *, start_line * 1000000 + start_char AS a, end_line * 1000000 + end_char AS b FROM s)
 SELECT p.path, p.line, x.symbol_id, x.name FROM p LEFT JOIN x ON p.path = x.path AND p.spot BETWEEN x.a AND x.b
 QUALIFY row_number() OVER (PARTITION BY p.path, p.line ORDER BY b - a, -a, x.symbol_id) = 1""",
+    "symbol_outline": SYMBOLS + "SELECT path, string_agg(CASE WHEN ordinal > 0 THEN '  ' ELSE '' END || name || ' (' || kind || ')', chr(10) ORDER BY ordinal) AS outline FROM s GROUP BY path",
     "symbol_findings": SYMBOLS + f"""SELECT '{ops.SECRET_RULE}' AS rule_id, path, (start_line + 1)::INTEGER AS line, (start_char + 1)::INTEGER AS "column", name,
  '{ops.SECRET_TEXT} detected in symbol ''' || name || ''' (' || name || ')' AS description, confidence FROM v WHERE kind IN (13, 14, 8) AND ({' OR '.join(f"contains(lower(name), '{w}')" for w in ops.SECRET_NAMES)})""",
 }
