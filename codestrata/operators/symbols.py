@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,9 +63,10 @@ def symbols(files: DataFrame) -> DataFrame:
 
         return F.concat(*[of(k, p) for k, p in EXTRACTORS[language]])
 
-    parts = [files.filter(F.col("language") == k).withColumn("found", found(k)) for k in known]
-    parts.append(files.filter(~F.col("language").isin(known)).withColumn("found", found("*")))
-    every = reduce(DataFrame.unionByName, [p.select("path", "language", lines_of(F.col("content")).alias("lines"), F.coalesce("found", kinds).alias("found")) for p in parts])
+    by_language = found("*")
+    for k in known:
+        by_language = F.when(F.col("language") == k, found(k)).otherwise(by_language)
+    every = files.select("path", "language", lines_of(F.col("content")).alias("lines"), F.coalesce(by_language, kinds).alias("found"))
     every = every.filter(F.size("found") > 0).withColumn("starts", line_starts(F.col("lines")))
 
     def placed(x: Column, i: Column) -> Column:
