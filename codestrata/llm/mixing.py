@@ -21,6 +21,8 @@ from .common import WORD, col, written
 
 #: Expected copies are whole numbers of this part, so that sums are exact.
 SCALE_BITS = 24
+#: Rows of (partition, source) that may be broadcast, some 50 MB.
+BROADCAST_ROWS = 400_000
 
 
 def word_count(text: Column) -> Column:
@@ -73,11 +75,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int =
     firsts = laid.groupBy("part", "source").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     firsts = firsts.select("part", F.col("source").alias("s"), "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
-    firsts = firsts.join(targets.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t").withColumnRenamed("part", "p")
+    firsts = written(firsts.join(targets.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t").withColumnRenamed("part", "p"))
 
     # One row per partition and source in it: the ranges cut the ordered table, so these are at most
-    # partitions + sources rows, whatever the input's size.
-    ranked = laid.join(F.broadcast(firsts), (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
+    # partitions + sources rows. Only a corpus of very many sources has too many to send to every task.
+    if firsts.count() <= BROADCAST_ROWS:
+        firsts = F.broadcast(firsts)
+    ranked = laid.join(firsts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
     rank = F.col("earlier") + F.col("place") - F.col("first")
     crossed = F.shiftright((rank + 1) * F.col("step") + F.col("offset"), SCALE_BITS) - F.shiftright(rank * F.col("step") + F.col("offset"), SCALE_BITS)
     return ranked.select(F.col("id").alias(id_col), "size", "source_size", "target", crossed.alias("copies"), (crossed * F.col("size")).alias("taken"), "carried")
