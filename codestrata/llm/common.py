@@ -42,10 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Folders of the tables written so far, for those who know when a table has had its last reader.
+WRITTEN: list[str] = []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete working tables that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and every later
-    reader sees the same rows even if executors are lost."""
+    reader sees the same rows even if executors are lost. The table stays until it is removed."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)

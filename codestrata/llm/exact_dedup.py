@@ -35,7 +35,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     carried; they come back inside ``carried``, so their names cannot clash.
     """
     carried = F.struct(*[col(c).alias(c) if isinstance(c, str) else c for c in carry]) if carry else F.struct(F.lit(True).alias("none"))
-    body = ascii_lower(F.coalesce(col(text_col), F.lit(""))).cast("binary")
+    whole = any(isinstance(c, str) and c == text_col for c in carry)  # then the text goes along once, among what is carried
+    body = F.lit(b"") if whole else ascii_lower(F.coalesce(col(text_col), F.lit(""))).cast("binary")
     head = F.substring(ascii_lower(F.substring(F.coalesce(col(text_col), F.lit("")), 1, FIRST_DIGIT)).cast("binary"), 1, FIRST_DIGIT)
     length = F.octet_length(F.coalesce(col(text_col), F.lit("")))
 
@@ -46,7 +47,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     results = [split.filter("grp IS NULL").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "carried")]
     live, done, width = split.filter("grp IS NOT NULL"), 0, FIRST_DIGIT
     while not live.isEmpty():
-        digits = live.withColumn("digit", F.substring("body", done + 1, width))
+        text = ascii_lower(F.coalesce(F.col("carried")[text_col], F.lit(""))).cast("binary") if whole else F.col("body")
+        digits = live.withColumn("digit", F.substring(text, done + 1, width))
         verdicts = written(digits.groupBy("grp", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.max(F.struct("id", "row")).alias("last")))
         ended = (F.col("n") == 1) | (F.col("length") <= done + width)
         split = written(
