@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, col, written
 
 FIRST_DIGIT = 64
+#: First digits shared by several rows that may be broadcast, some 40 MB.
+BROADCAST_ROWS = 200_000
 GROWTH = 16
 
 
@@ -42,6 +44,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = docs.select(col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), carried.alias("carried"), length.alias("length"), head.alias("digit"), body.alias("body"))
     groups = written(rows.groupBy("length", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("grp")).filter("n > 1").select("length", "digit", "grp"))
+    if groups.count() <= BROADCAST_ROWS:  # else all rows are dealt by their digit, texts included
+        groups = F.broadcast(groups)
     split = written(rows.join(groups, ["length", "digit"], "left").select("id", "row", "carried", "length", "grp", F.when(F.col("grp").isNotNull(), F.col("body")).alias("body")))
 
     results = [split.filter("grp IS NULL").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "carried")]

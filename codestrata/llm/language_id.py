@@ -27,7 +27,7 @@ FEATURE_BITS, GRAM = 17, 4
 FEATURES = 1 << FEATURE_BITS
 UNKNOWN = "und"
 #: Words labelled together, and words whose features are remembered by a task.
-TOGETHER, REMEMBERED = 200_000, 150_000
+TOGETHER, REMEMBERED = 100_000, 150_000
 
 
 def letters(token: str) -> str:

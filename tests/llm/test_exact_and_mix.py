@@ -102,3 +102,11 @@ def test_digest_of_the_query(spark, documents):
 
     got = {r["doc_id"]: r["text_sha256"] for r in op6_exact_dedup(spark, "/root/testdata/sf0.001").collect()}
     assert got == {d["doc_id"]: hashlib.sha256((d["text"] or "").translate(LOWER).encode()).hexdigest() for d in documents.collect()}
+
+
+def test_both_ways_of_the_first_join(documents, monkeypatch):
+    from codestrata.llm import exact_dedup as module
+
+    wanted = sorted(map(str, exact_dedup(documents).collect()))
+    monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
+    assert sorted(map(str, exact_dedup(documents).collect())) == wanted
