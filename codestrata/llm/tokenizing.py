@@ -14,10 +14,10 @@ from itertools import chain
 
 import numpy as np
 
-#: Stems remembered by a worker in each of two generations, and the longest of them in bytes: some 100 MB at most.
-REMEMBERED, LONGEST = 250_000, 64
+#: Stems remembered by a worker in each of two generations, and the longest of them in bytes: some 120 MB at most.
+REMEMBERED, LONGEST = 300_000, 64
 #: Bytes of text that are tokenized together.
-TOGETHER = 2 << 20
+TOGETHER = 4 << 20
 MARKS = b".,;:!?"
 
 
