@@ -7,7 +7,8 @@ long texts, repeated rows, empty tables and further columns are handled as the o
 * language: text that has no letter (null and empty text too), or whose best language is less likely than
   one third over its words, is rejected; all else stays, whatever its language;
 * exact: of texts equal after lower-casing A-Z, the row with the largest doc_id stays;
-* near: of each component of SimHash links over five-word shingles, the row with the smallest doc_id stays;
+* near: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked; of each component of
+  links, the row with the smallest doc_id stays;
 * mix: documents come as often as the mix takes them, so that a doc_id may come again;
 * pack: one row per piece, with its ids, sequence and offset.
 """
@@ -22,10 +23,11 @@ from codestrata.llm.common import col, written
 from codestrata.llm.exact_dedup import exact_dedup
 from codestrata.llm.language_id import UNKNOWN, identify_languages
 from codestrata.llm.mixing import mixed
-from codestrata.llm.near_dedup import near_duplicates
 from codestrata.llm.packing import pack
+from codestrata.llm.similar import similar_duplicates
 
 LEAST_SCORE = 1 / 3
+LEAST_SIMILARITY = 0.8
 CAPACITY = 4096
 
 
@@ -65,7 +67,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _back(near_duplicates(docs, shingle=5, carry=tuple(docs.columns)).filter("kept"), docs.columns)
+    return _back(similar_duplicates(docs, LEAST_SIMILARITY, shingle=5, carry=tuple(docs.columns)).filter("kept"), docs.columns)
 
 
 @_stage
