@@ -3,8 +3,8 @@
 A word's features are its affixes, its character n-grams and the lexicons it stands in; transitions
 between neighbouring words' languages are learned. Training sequences switch language in the
 middle: stretches of documents of different languages, each word labelled with its document's.
-Words are labelled by forward-backward; a text's language is the one with the largest mean
-probability over its words. Documents of similar length go through forward-backward together,
+Words are labelled by forward-backward, which gives runs of words of one language; a text's language is the one
+with the largest mean probability over its words. Documents of similar length go through forward-backward together,
 one numpy step per position.
 """
 
@@ -179,9 +179,22 @@ def fit_field(texts: Iterable[tuple[str, str]], lexicon_size: int = 1000, max_wo
     return field
 
 
-def label_texts(field: Field, texts: list[str | None], known: Emissions) -> tuple[list[str], np.ndarray]:
-    """The language and score of each whole text."""
-    language, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+#: Runs of a text: first words, words after the last, places of languages (-1: unknown), scores.
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def unlabelled(text: str | None) -> Runs:
+    """One run of unknown language over all words of a text; none if it has no word."""
+    n = len((text or "").split())
+    some = int(n > 0)
+    return np.zeros(some, np.int64), np.full(some, n), np.full(some, -1), np.zeros(some)
+
+
+def label_texts(field: Field, texts: list[str | None], known: Emissions) -> tuple[list[str], np.ndarray, list[Runs]]:
+    """The language and score of each whole text, and its runs of words of one language. Words without a
+    letter belong to the run before them, at the beginning to the one after; a run's score is its
+    language's mean probability over its other words."""
+    language, score, runs = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts)
     order = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""), reverse=True)
     at = 0
     while at < len(order):
@@ -194,17 +207,27 @@ def label_texts(field: Field, texts: list[str | None], known: Emissions) -> tupl
             known.forget()
         known.learn(set(chain.from_iterable(tokens for _, tokens in split)))
         rows = ((i, np.fromiter(map(known.row_of.__getitem__, tokens), np.int64, len(tokens))) for i, tokens in split)
-        group = [(i, r[r > 0]) for i, r in rows if r.any()]
+        group = [(i, len(r), np.flatnonzero(r), r[r > 0]) for i, r in rows if r.any()]
         if not group:
             continue
-        group.sort(key=lambda x: len(x[1]), reverse=True)
-        sizes = np.array([len(r) for _, r in group])
-        label, _ = forward_backward(known.rows[np.concatenate([r for _, r in group])], sizes, field.moves)
-        mean = np.add.reduceat(label, np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes[:, None]
-        for (i, _), m in zip(group, mean):
+        group.sort(key=lambda x: len(x[3]), reverse=True)
+        sizes = np.array([len(r) for *_, r in group])
+        label, _ = forward_backward(known.rows[np.concatenate([r for *_, r in group])], sizes, field.moves)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        mean = np.add.reduceat(label, starts) / sizes[:, None]
+        likeliest = label.argmax(axis=1)
+        new = np.ones(len(label), bool)
+        new[1:] = likeliest[1:] != likeliest[:-1]
+        new[starts] = True
+        first = np.flatnonzero(new)
+        sure = np.minimum(1.0, np.add.reduceat(label[np.arange(len(label)), likeliest], first) / np.diff(first, append=len(label)))
+        place, spoken = np.concatenate([p for _, _, p, _ in group])[first], likeliest[first]
+        edges = np.searchsorted(first, [*starts, len(label)])
+        for (i, n, *_), m, a, b in zip(group, mean, edges, edges[1:]):
             best = int(m.argmax())
             language[i], score[i] = field.languages[best], min(1.0, m[best])
-    return language, score
+            runs[i] = np.concatenate([[0], place[a + 1 : b]]), np.append(place[a + 1 : b], n), spoken[a:b], sure[a:b]
+    return language, score, [unlabelled(t) if r is None else r for t, r in zip(texts, runs)]
 
 
 def training_texts(docs: DataFrame, modulus: int, remainder: int, per_language: int, max_languages: int, max_bytes: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
@@ -220,7 +243,10 @@ def training_texts(docs: DataFrame, modulus: int, remainder: int, per_language:
 
 
 def identify_languages(docs: DataFrame, modulus: int = 4, remainder: int = 2, per_language: int = 100, max_languages: int = 64, max_bytes: int = 20_000, max_words: int = 150_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, held_out, lang_pred, score (0 to 1), and struct ``carried``.
+    """One row per document: id, held_out, lang_pred, score (0 to 1), runs, and struct ``carried``.
+
+    ``runs`` are the languages of all words in order: an array of (start, end, lang, score), each for the words
+    (what white space separates, from 0) from start up to but without end. It is empty where there is no word.
 
     The field learns from text and language of rows outside the held-out fold, crc32(id) mod ``modulus`` =
     ``remainder``: at most ``per_language`` whole texts of at most ``max_bytes`` in each of the
@@ -234,12 +260,18 @@ def identify_languages(docs: DataFrame, modulus: int = 4, remainder: int = 2, pe
     field = fit_field(training_texts(docs, modulus, remainder, per_language, max_languages, max_bytes, id_col, text_col, lang_col), max_words=max_words)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, runs: array<struct<start: int, end: int, lang: string, score: double>>>")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Emissions(shared.value) if shared.value else None
+        names = pa.array([*(shared.value.languages if shared.value else []), UNKNOWN], pa.string())
         for text in batches:
-            language, score = label_texts(shared.value, text.to_pylist(), known) if shared.value else ([UNKNOWN] * len(text), np.zeros(len(text)))
-            yield pa.StructArray.from_arrays([pa.array(language, pa.string()), pa.array(score)], names=["lang_pred", "score"])
+            texts = text.to_pylist()
+            language, score, runs = label_texts(shared.value, texts, known) if shared.value else ([UNKNOWN] * len(texts), np.zeros(len(texts)), [unlabelled(t) for t in texts])
+            start, end, spoken, sure = (np.concatenate(x) for x in zip(*runs)) if runs else [np.zeros(0, np.int64)] * 4
+            fields = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), names.take(pa.array(spoken % len(names))), pa.array(sure, pa.float64())]
+            ends = pa.array(np.cumsum([0, *(len(r[0]) for r in runs)]), pa.int32())
+            listed = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, names=["start", "end", "lang", "score"]))
+            yield pa.StructArray.from_arrays([pa.array(language, pa.string()), pa.array(score), listed], names=["lang_pred", "score", "runs"])
 
     found = docs.select(col(id_col).alias(id_col), in_fold(col(id_col), modulus, remainder).alias("held_out"), predicted(col(text_col).cast("string")).alias("found"), carried.alias("carried"))
-    return found.select(col(id_col), "held_out", "found.lang_pred", "found.score", "carried")
+    return found.select(col(id_col), "held_out", "found.lang_pred", "found.score", "found.runs", "carried")

@@ -30,7 +30,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_languages(table(spark, sf_dir, "documents")).drop("carried")
+    return identify_languages(table(spark, sf_dir, "documents")).drop("runs", "carried")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
