@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import portable
+from ..session import written
 from .match import lines_of
 
 NAME = "([a-zA-Z_][a-zA-Z0-9_]*)"
@@ -89,18 +90,19 @@ def arguments(rows: DataFrame) -> DataFrame:
     return rows.select("path", "line", "seq", "name", F.posexplode("args").alias("idx", "value")).select("*", F.nullif(F.regexp_extract(value, rf"^\${NAME}$", 1), F.lit("")).alias("variable"), concat.alias("concat"))
 
 
-def tainted_variables(assigned: DataFrame, depth: int = 10) -> DataFrame:
+def tainted_variables(assigned: DataFrame) -> DataFrame:
     """path, variable, steps: variables that user input reaches through variable-to-variable assignments, and the fewest
-    steps. The closure stops when nothing new is found, after ``depth`` steps at the latest."""
-    edges = assigned.filter(F.col("rhs_name").isNotNull()).select("path", F.col("rhs_name").alias("source"), F.col("target").alias("next")).distinct()
-    edges.createOrReplaceTempView("_taint_edges")
-    assigned.filter("tainted").select("path", F.col("target").alias("variable")).distinct().createOrReplaceTempView("_taint_seeds")
-    return assigned.sparkSession.sql(f"""
-        WITH RECURSIVE reach(path, variable, steps) AS (
-            SELECT path, variable, 0 FROM _taint_seeds
-            UNION ALL
-            SELECT r.path, e.next, r.steps + 1 FROM reach r JOIN _taint_edges e ON r.path = e.path AND r.variable = e.source WHERE r.steps < {int(depth)}
-        ) SELECT path, variable, min(steps) AS steps FROM reach GROUP BY path, variable""")
+    steps. Each round follows the variables found last, and the closure ends when a round finds no new one, so
+    that cycles end too and chains may have any length."""
+    edges = written(assigned.filter(F.col("rhs_name").isNotNull()).select("path", F.col("rhs_name").alias("variable"), F.col("target").alias("next")).distinct())
+    found = last = written(assigned.filter("tainted").select("path", F.col("target").alias("variable"), F.lit(0).alias("steps")).distinct())
+    steps = 0
+    while not last.isEmpty():
+        steps += 1
+        reached = last.join(edges, ["path", "variable"]).select("path", F.col("next").alias("variable")).distinct()
+        last = written(reached.join(found, ["path", "variable"], "left_anti").withColumn("steps", F.lit(steps)))
+        found = written(found.unionByName(last))
+    return found
 
 
 def rule_findings(lines: DataFrame) -> DataFrame:
