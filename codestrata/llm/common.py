@@ -5,6 +5,9 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,35 +34,56 @@ def in_fold(id_column: Column, modulus: int, remainder: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset, as in
-    local tests, a temporary folder is set for the session and used.
+    ``spark.checkpoint.dir`` is read from the session. Only where it is unset and driver and tasks are one process,
+    as in local tests, a temporary folder is set for the session and used.
     """
-    conf = spark.sparkContext.getConf()
-    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
+        if context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="codestrata-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-#: Folders of the tables written so far, for those who know when a table has had its last reader.
-WRITTEN: list[str] = []
+#: Folders of the working tables that were written and not removed.
+WRITTEN: set[str] = set()
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders of the working tables that are written inside, by this thread."""
+    paths: list[str] = []
+    token = _NOTED.set(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.reset(token)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
-    """Delete working tables that nothing reads any more."""
+    """Delete working tables that nothing reads any more; other folders are left alone."""
     for path in paths:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         if path in WRITTEN:
-            WRITTEN.remove(path)
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            WRITTEN.discard(path)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and every later
-    reader sees the same rows even if executors are lost. The table stays until it is removed."""
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``written``, with the folder."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    WRITTEN.add(path)
+    if (paths := _NOTED.get()) is not None:
+        paths.append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, and every later
+    reader sees the same rows even if executors are lost. The table stays until it is removed."""
+    return written_at(df)[0]

@@ -110,7 +110,7 @@ def _counted(arrays: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndar
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[str]]:
     for batch in batches:
-        yield from together(batch.column(column).to_pylist(), GROUP_BYTES)
+        yield from together(batch.column(column), GROUP_BYTES)
 
 
 @dataclass
@@ -272,7 +272,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, id_col: s
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, list[str]]]:
         for batch in batches:
             at = 0
-            for group in together(batch.column(2).to_pylist(), GROUP_BYTES):
+            for group in together(batch.column(2), GROUP_BYTES):
                 yield batch.column(0).slice(at, len(group)), batch.column(1).slice(at, len(group)), group
                 at += len(group)
 

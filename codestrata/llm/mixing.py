@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, WRITTEN, col, remove, written
+from .common import WORD, col, remove, written, written_at
 
 #: Expected copies are whole numbers of this part, so that sums are exact.
 SCALE_BITS = 24
@@ -59,8 +59,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int =
     empty result. Other columns are ignored unless carried, inside ``carried``.
     """
     carried = F.struct(*[col(c).alias(c) for c in carry]) if carry else F.struct(F.lit(True).alias("none"))
-    mark = len(WRITTEN)
-    sized = written(docs.select(col(id_col).alias("id"), col(source_col).alias("source"), word_count(col(text_col)).alias("size"), carried.alias("carried"), F.monotonically_increasing_id().alias("row")))
+    sized, spent = written_at(docs.select(col(id_col).alias("id"), col(source_col).alias("source"), word_count(col(text_col)).alias("size"), carried.alias("carried"), F.monotonically_increasing_id().alias("row")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     part = F.lit(1 << SCALE_BITS)
     targets = written(
@@ -71,7 +70,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int =
 
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("id"), F.col("row")]
     laid = written(sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
-    remove(docs.sparkSession, WRITTEN[mark : mark + 1])  # sized: the targets and the ordered table are written
+    remove(docs.sparkSession, [spent])  # the targets and the ordered table are written
     # monotonically_increasing_id holds the partition above bit 33 and the place within it below.
     laid = laid.withColumn("part", F.shiftright("place", 33))
     firsts = laid.groupBy("part", "source").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))

@@ -42,32 +42,45 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 class BKTree:
-    """Over different fingerprints; a node's children are keyed by their distance to it."""
+    """Over different fingerprints of one or more words; a node's children are keyed by their distance to it. A node
+    with fewer than ``leaf`` others below it keeps them in a bucket, which prunes as well as so few nodes would."""
 
-    def __init__(self, prints: np.ndarray):
-        self.prints = prints
+    def __init__(self, prints: np.ndarray, leaf: int = 1):
+        self.prints = prints.reshape(len(prints), -1)
         self.children: dict[int, dict[int, int]] = {}
-        waiting = [np.arange(len(prints))]
+        self.bucket: dict[int, np.ndarray] = {}
+        waiting = [np.arange(len(prints))] if len(prints) else []
         while waiting:
             own = waiting.pop()
             root, rest = own[0], own[1:]
             self.children[root] = edges = {}
-            if len(rest):
-                far = np.bitwise_count(prints[rest] ^ prints[root])
-                for distance in np.unique(far):
-                    subtree = rest[far == distance]
-                    edges[int(distance)] = subtree[0]
-                    waiting.append(subtree)
-
-    def neighbourhoods(self, radius: int):
-        """For each node, the members within the radius: all members search the tree together."""
-        waiting = [(0, np.arange(len(self.prints)))]
+            if len(rest) < leaf:
+                self.bucket[root] = rest
+                continue
+            far = self._far(self.prints[rest], root)
+            for distance in np.unique(far):
+                subtree = rest[far == distance]
+                edges[int(distance)] = subtree[0]
+                waiting.append(subtree)
+
+    def _far(self, seekers: np.ndarray, node: int) -> np.ndarray:
+        return np.bitwise_count(seekers ^ self.prints[node]).sum(axis=-1, dtype=np.int64)
+
+    def search(self, seekers: np.ndarray, radius: int):
+        """(members, seekers within the radius of them) node by node: all seekers go down the tree together."""
+        seekers = seekers.reshape(len(seekers), -1)
+        waiting = [(0, np.arange(len(seekers)))] if self.children else []
         while waiting:
-            node, seekers = waiting.pop()
-            far = np.bitwise_count(self.prints[seekers] ^ self.prints[node]).astype(np.int64)
-            yield node, seekers[far <= radius]
+            node, who = waiting.pop()
+            far = self._far(seekers[who], node)
+            found = who[far <= radius]
+            yield np.full(len(found), node), found
+            bucket = self.bucket.get(node, ())
+            if len(bucket):
+                at, place = np.nonzero(np.bitwise_count(seekers[who][:, None] ^ self.prints[bucket]).sum(axis=-1, dtype=np.int64) <= radius)
+                yield bucket[place], who[at]
             for distance, child in self.children[node].items():
-                near = seekers[np.abs(far - distance) <= radius]
+                near = who[np.abs(far - distance) <= radius]
                 if len(near):
                     waiting.append((child, near))
 
@@ -77,7 +90,9 @@ def local_roots(prints: np.ndarray, radius: int) -> np.ndarray:
     if len(prints) == 2:
         return np.array([0, 0 if int(prints[0] ^ prints[1]).bit_count() <= radius else 1])
     parent = np.arange(len(prints))
-    for _, found in BKTree(prints).neighbourhoods(radius):
+    for _, found in BKTree(prints).search(prints, radius):
+        if not len(found):
+            continue
         roots = parent[found]
         while not np.array_equal(roots, above := parent[roots]):
             roots = above

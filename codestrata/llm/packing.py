@@ -36,16 +36,18 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, te
     def pieces(batches):
         words, made, part = word_ids(tokenizer), Counter(), TaskContext.get().partitionId()
         for batch in batches:
-            out = defaultdict(list)
-            texts = (words.texts(group) for group in together(batch.column(1).to_pylist()))
-            for row, ids in enumerate(i + END for group in texts for i in group):
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    length = len(own) // 4
-                    for name, value in (("row", row), ("piece", piece), ("start", at // 4), ("length", length), ("place", made[length]), ("ids", own)):
-                        out[name].append(value)
-                    made[length] += 1
-            if out:
+            done = 0
+            for group in together(batch.column(1)):
+                out = defaultdict(list)
+                for row, ids in enumerate(words.texts(group), done):
+                    ids += END
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[at : at + 4 * capacity]
+                        length = len(own) // 4
+                        for name, value in (("row", row), ("piece", piece), ("start", at // 4), ("length", length), ("place", made[length]), ("ids", own)):
+                            out[name].append(value)
+                        made[length] += 1
+                done += len(group)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(out["row"], pa.int64())), pa.array(out["piece"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("start", "length", "place")), pa.array([part] * len(out["row"]), pa.int64()), pa.array(out["ids"], pa.binary())],
                     names=["id", "piece", "start", "length", "place", "part", "ids"],

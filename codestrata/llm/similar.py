@@ -1,32 +1,68 @@
-"""Near-duplicates by similarity: texts whose sets of word shingles have a Jaccard similarity of at least a bound.
-
-Candidates come from min-hashes: a text's signature is cut into ``BANDS`` bands of ``ROWS`` minima, and texts that
-agree on a band share a key. A pair of similarity s shares no key with probability (1 - s**ROWS)**BANDS, at
-0.8 some 1 in 9,000, and less above. All else is exact: a pair is linked if the similarity of its sets reaches the bound.
-
-Not every pair of a key is tried, as a group of N copies has N * N of them. Each key's members are first tried
-against one of them, its centre; then all pairs of members that are not yet in one component are. So the
-components are those of all candidate pairs.
+"""SimHash near-duplicates confirmed by similarity: texts whose sets of word shingles have a Jaccard similarity of at
+least a bound.
+
+A text has several fingerprints, each from its own hashing of the same shingles. They are cut into blocks of ``width``
+bits, and each block shards the texts by its value. Two sets of similarity s have an overlap (cosine) of 2s / (1 + s)
+or more, so a bit of theirs differs with probability acos(2s / (1 + s)) / pi or less; from this follow how many blocks
+it takes until such a pair shares one with probability ``recall``, and the radius within which their
+fingerprints are. The width grows with the logarithm of the number of texts: shards keep their size. A shard's BK-tree
+finds the members within the radius, and a pair is linked if the similarity of its sets reaches the bound.
+
+Not every pair of a shard is tried, as a group of N copies has N * N of them. Each shard's members are first tried
+against one of them, its centre; then BK-trees find the pairs of members that are not yet in one component. They hold
+the members outside the centre's component, in chunks of ``CHUNK``. So the components are those of all candidate
+pairs, and a hot group is neither gathered nor paired.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, written
 from .components import components
+from .near_dedup import BITS, BKTree
 
-ROWS, BANDS = 6, 30
-#: Shingles whose minima are taken together.
+#: Shingles that are fingerprinted together.
 TOGETHER = 100_000
 #: Rows of a table that may be broadcast, some 10 MB.
 BROADCAST_ROWS = 200_000
+#: Texts of a shard on average, members of a tree at most, and members of a bucket in it.
+SHARD, CHUNK, LEAF = 64, 2048, 64
+#: Fingerprints of which the distance is taken.
+COMPARED = 3
+#: Byte -> its eight bits as the bytes of a number, so that 255 of them add up without a carry.
+LANES = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], np.uint64)
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """How texts are fingerprinted and sharded."""
+
+    width: int  # bits of a block
+    keys: int  # blocks of a text
+    prints: int  # fingerprints that hold them
+    radius: int  # over the compared fingerprints
+
+    @classmethod
+    def of(cls, texts: int, least: float, recall: float) -> Blocks:
+        differ = math.acos(2 * least / (1 + least)) / math.pi
+        width = min(BITS // 2, max(8, math.ceil(math.log2(max(1, texts) / SHARD))))
+        keys = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** width)) if differ > 0 else 1
+        prints = -(-keys // (BITS // width))
+        bits = BITS * min(COMPARED, prints)
+        return cls(width, keys, prints, math.ceil(bits * differ + 3 * math.sqrt(bits * differ * (1 - differ))))
+
+    @property
+    def compared(self) -> int:
+        return min(COMPARED, self.prints)
 
 
 def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -36,16 +72,37 @@ def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarra
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.dtype("<u8")))
 
 
-def band_keys(sets: list[np.ndarray], seed: int = 42) -> np.ndarray:
-    """The keys of each set's bands, one row a set."""
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One fingerprint for each run of hashes: the bits that are set in over half of them."""
+    chunks = -(-sizes // 255)
+    first = np.cumsum(chunks) - chunks
+    starts = np.repeat(np.cumsum(sizes) - sizes, chunks) + 255 * (np.arange(chunks.sum()) - np.repeat(first, chunks))
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    sums = np.stack([np.add.reduceat(LANES[octets[:, i]], starts) for i in range(8)], axis=1)
+    ones = np.add.reduceat(sums.view(np.uint8).reshape(-1, BITS), first, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprints(sets: list[np.ndarray], prints: int, seed: int = 42) -> np.ndarray:
+    """The fingerprints of each set, one row a set."""
     rng = np.random.default_rng(seed)
-    flips, factors, mixers = (rng.integers(0, 2**64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1) for _ in range(3))
-    hashes, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    minima = np.empty((ROWS * BANDS, len(sets)), np.uint64)
-    for k in range(ROWS * BANDS):
-        minima[k] = np.minimum.reduceat((hashes ^ flips[k]) * factors[k], starts)
-    minima ^= minima >> np.uint64(29)
-    return (minima * mixers[:, None]).reshape(BANDS, ROWS, -1).sum(axis=1, dtype=np.uint64).T
+    flips, factors, mixers = (rng.integers(0, 2**64, prints, dtype=np.uint64) | np.uint64(1) for _ in range(3))
+    hashes, sizes = np.concatenate(sets), np.array(list(map(len, sets)))
+    out = np.empty((len(sets), prints), np.uint64)
+    for k in range(prints):
+        x = (hashes ^ flips[k]) * factors[k]
+        x = (x ^ x >> np.uint64(32)) * mixers[k]
+        out[:, k] = majority(x ^ x >> np.uint64(29), sizes)
+    return out
+
+
+def across(prints: np.ndarray, roots: np.ndarray, stored: np.ndarray, seeking: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of seeking and stored members within the radius that are in different components."""
+    trees, seekers = np.flatnonzero(stored), np.flatnonzero(seeking)
+    found = [(seekers[who], trees[member]) for member, who in BKTree(prints[trees], LEAF).search(prints[seekers], radius)]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), ())))
+    apart = roots[a] != roots[b]
+    return a[apart], b[apart]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -73,60 +130,105 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return written(sized.join(left, "a").join(right, "b").filter(reaches("grams_a", "grams_b")).select("a", "b"))
 
 
+def distance(left: list[str], right: list[str]) -> Column:
+    """Bits in which fingerprints differ."""
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(left[1:], right[1:])), F.bit_count(F.col(left[0]).bitwiseXOR(F.col(right[0]))))
+
+
 def similar_duplicates(
-    docs: DataFrame, least: float = 0.8, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+    docs: DataFrame, least: float = 0.8, shingle: int = 5, recall: float = 0.99, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per input row: id, component_id, kept, and struct ``carried``.
 
     Two texts are linked if their sets of word shingles have a Jaccard similarity of ``least`` or more; A-Z count
-    as a-z. ``component_id`` is the smallest id reachable over links, the own included; null ids count only where a
+    as a-z. Pairs at the very bound are found with probability ``recall``, others with more. ``component_id`` is the smallest id reachable over links, the own included; null ids count only where a
     component has no other. Null and wordless texts are equal to each other. ``kept`` marks one row of
     each component: the one with its smallest id, and of several such rows (repeated ids) one. An empty
     table gives an empty result. Other columns are ignored unless carried, inside ``carried``.
     """
     whole = text_col in carry  # then the text goes along once, among what is carried
     carried = F.struct(*[col(c).alias(c) for c in carry]) if carry else F.struct(F.lit(True).alias("none"))
+    plan = Blocks.of(docs.count(), least, recall)
+    compared = [f"p{k}" for k in range(plan.compared)]
 
     @F.arrow_udf("array<long>")
-    def keys_of(text: pa.Array) -> pa.Array:
-        found, waiting, size = [np.empty((0, BANDS), np.uint64)], [], 0
+    def prints_of(text: pa.Array) -> pa.Array:
+        found, waiting, size = [np.empty((0, plan.prints), np.uint64)], [], 0
         for t in text:
             waiting.append(shingle_set(t.as_py(), shingle, seed))
             size += len(waiting[-1])
             if size >= TOGETHER:
-                found.append(band_keys(waiting, seed))
+                found.append(fingerprints(waiting, plan.prints, seed))
                 waiting, size = [], 0
         if waiting:
-            found.append(band_keys(waiting, seed))
-        keys = np.concatenate(found)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+            found.append(fingerprints(waiting, plan.prints, seed))
+        values = np.concatenate(found)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * plan.prints, pa.int32()), pa.array(values.reshape(-1).view(np.int64)))
 
     @F.arrow_udf("binary")
     def grams_of(text: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t.as_py(), shingle, seed).tobytes() for t in text], pa.binary())
 
+    @F.arrow_udf("array<struct<a: long, b: long>>")
+    def pairs_of(shards: pa.Array) -> pa.Array:
+        members, ends = shards.values, shards.offsets.to_numpy()
+        values = {c: members.field(c).to_numpy(zero_copy_only=False) for c in ("row", "root", "stored", "seeking", *compared)}
+        prints = np.stack([values[c].view(np.uint64) for c in compared], axis=1)
+        a, b, sizes = [], [], [0]
+        for low, high in zip(ends, ends[1:]):
+            own = slice(low, high)
+            x, y = across(prints[own], values["root"][own], values["stored"][own], values["seeking"][own], plan.radius)
+            a.append(values["row"][own][x])
+            b.append(values["row"][own][y])
+            sizes.append(sizes[-1] + len(x))
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (a, b)], names=["a", "b"])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)
+
     text = col(text_col).cast("string")
     body = F.lit("") if whole else text
-    rows = written(docs.select(col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), carried.alias("carried"), body.alias("body"), keys_of(text).alias("keys")))
-    keys = rows.select("row", F.explode("keys").alias("key"))
-    centre = F.min(F.struct(F.xxhash64("row", "key").alias("order"), F.col("row").alias("row")))["row"]
-    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), centre.alias("centre")).filter("n > 1").select("key", "centre"))
-    members = written(keys.join(_small(shared), "key"))
-    involved = written(members.groupBy("row").agg(F.count(F.lit(1)).alias("n")).select("row"))
+    rows = written(docs.select(col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), carried.alias("carried"), body.alias("body"), prints_of(text).alias("prints")))
+    per, mask = BITS // plan.width, (1 << plan.width) - 1
+    blocks = [F.shiftrightunsigned(F.col("prints")[k // per], k % per * plan.width).bitwiseAND(F.lit(mask)) for k in range(plan.keys)]
+    keys = rows.select("row", *[F.col("prints")[k].alias(c) for k, c in enumerate(compared)], F.posexplode(F.array(*blocks)).alias("block", "value"))
+    keys = keys.select(F.shiftleft(F.col("block").cast("long"), plan.width).bitwiseOR(F.col("value")).alias("key"), "row", *compared)
+
+    centre = F.min(F.struct(F.xxhash64("row", "key").alias("order"), "row", *compared))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), centre.alias("c")).filter("n > 1")
+    shared = written(shared.select("key", "n", F.col("c.row").alias("centre"), *[F.col(f"c.{c}").alias(f"c_{c}") for c in compared]))
+    beside = keys.join(_small(shared), "key").filter(F.col("row") != F.col("centre"))
+    beside = beside.filter(distance(compared, [f"c_{c}" for c in compared]) <= plan.radius)
+    tried = written(beside.groupBy(F.col("row").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n")).select("a", "b"))
     text = rows["carried"][text_col].cast("string") if whole else rows["body"]
-    sets = written(rows.join(_small(involved), "row").select("row", grams_of(text).alias("grams")).select("row", (F.octet_length("grams") / 8).alias("n"), "grams"))
 
-    tried = written(members.filter("row <> centre").groupBy(F.col("row").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n")).select("a", "b"))
-    links = _similar(tried, sets, least)
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        involved = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+        sets = rows.join(_small(involved), "row").select("row", grams_of(text).alias("grams"))
+        return written(sets.select("row", (F.octet_length("grams") / 8).alias("n"), "grams"))
+
+    links = _similar(tried, sets_of(tried), least)
     roots = components(links)
-    placed = written(members.join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("root", "row").alias("root")))
-    parts = written(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).select("key", "root"))
-    apart = parts.join(parts.withColumnRenamed("root", "other"), "key").filter("root < other")
-    left, right = placed.withColumnRenamed("row", "a"), placed.select("key", F.col("row").alias("b"), F.col("root").alias("other"))
-    across = apart.join(left, ["key", "root"]).join(right, ["key", "other"])
-    rest = written(across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"))
+    placed = _small(written(roots.withColumnRenamed("node", "row")))
+    heads = shared.select("key", F.col("centre").alias("row")).join(placed, "row", "left").select("key", F.coalesce("root", "row").alias("head"))
+    sides = keys.join(placed, "row", "left").withColumn("root", F.coalesce("root", "row")).join(_small(written(heads)), "key")
+    sides = sides.withColumn("stored", F.col("root") != F.col("head"))
+    trees = written(sides.filter("stored").groupBy("key").agg(F.count(F.lit(1)).alias("n_stored")))
+    trees = trees.join(shared.select("key", "n"), "key").select("key", *[F.ceil(F.col(c) / CHUNK).cast("int").alias(k) for c, k in (("n", "seek_chunks"), ("n_stored", "tree_chunks"))])
+    sides = sides.drop("head").join(_small(written(trees)), "key")
+    # A shard of one chunk is one group; of a larger one, each chunk of members meets each chunk of its trees.
+    whole_shard = (F.col("seek_chunks") == 1) & (F.col("tree_chunks") == 1)
+    chunk = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda i, j, stored: F.struct(i.alias("i"), j.alias("j"), stored.alias("stored"), (~stored).alias("seeking"))
+    zero = F.lit(0)
+    as_both = F.array(F.struct(zero.alias("i"), zero.alias("j"), F.col("stored").alias("stored"), F.lit(True).alias("seeking")))
+    as_seeker = F.transform(each("tree_chunks"), lambda j: place(chunk("seek_chunks"), j, F.lit(False)))
+    as_stored = F.when(F.col("stored"), F.transform(each("seek_chunks"), lambda i: place(i, chunk("tree_chunks"), F.lit(True)))).otherwise(F.array().cast("array<struct<i: int, j: int, stored: boolean, seeking: boolean>>"))
+    dealt = sides.withColumn("at", F.explode(F.when(whole_shard, as_both).otherwise(F.concat(as_seeker, as_stored))))
+    shards = dealt.groupBy("key", "at.i", "at.j").agg(F.collect_list(F.struct("row", "root", "at.stored", "at.seeking", *compared)).alias("shard"))
+    found = shards.select(F.explode(pairs_of("shard")).alias("pair")).select(F.greatest("pair.a", "pair.b").alias("a"), F.least("pair.a", "pair.b").alias("b"))
+    rest = written(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b").join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        roots = components(links.unionByName(_similar(rest, sets, least)))
+        roots = components(links.unionByName(_similar(rest, sets_of(rest), least)))
 
     own = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "row"))
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 
 from codestrata.llm.components import components
@@ -68,11 +69,12 @@ def test_links_lose_no_near_fingerprint(spark):
     assert {frozenset(k for k in label if label[k] == v) for v in label.values()} == {frozenset(k for k in brute if brute[k] == v) for v in brute.values()}
 
 
-def test_bk_tree_finds_what_a_scan_finds():
+@pytest.mark.parametrize("leaf", [1, 16, 1000])
+def test_bk_tree_finds_what_a_scan_finds(leaf):
     rng = np.random.default_rng(1)
-    prints = np.unique(rng.integers(0, 2**12, 500, dtype=np.uint64))
-    for node, found in BKTree(prints).neighbourhoods(2):
-        assert sorted(found) == list(np.flatnonzero(np.bitwise_count(prints ^ prints[node]) <= 2))
+    prints, seekers = np.unique(rng.integers(0, 2**12, 500, dtype=np.uint64)), rng.integers(0, 2**12, 200, dtype=np.uint64)
+    found = {(int(m), int(s)) for members, near in BKTree(prints, leaf).search(seekers, 2) for m, s in zip(members, near)}
+    assert found == set(zip(*map(np.ndarray.tolist, np.nonzero(np.bitwise_count(prints[:, None] ^ seekers) <= 2))))
 
 
 def test_fingerprint_of_texts_of_every_length():

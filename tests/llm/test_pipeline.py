@@ -3,7 +3,7 @@ from collections import Counter
 import corpus_pipeline
 from codestrata.llm.language_id import identify_languages
 from tests.llm.test_exact_and_mix import LOWER, brute_targets
-from tests.llm.test_near_dedup import brute_components
+from tests.llm.test_similar import brute as similar_components
 
 
 def key(r):
@@ -12,7 +12,6 @@ def key(r):
 
 def test_every_stage_against_brute_force(spark, documents):
     from codestrata.llm.common import written
-    from codestrata.llm.near_dedup import fingerprint
 
     tables = [documents]
     for _, stage in corpus_pipeline.STAGES:
@@ -30,8 +29,7 @@ def test_every_stage_against_brute_force(spark, documents):
         last[t] = max(last.get(t, d["doc_id"]), d["doc_id"])
     assert sorted(map(key, exact)) == sorted(key(d) for d in spoken if last[d["text"].translate(LOWER)] == d["doc_id"])
 
-    found = brute_components([(d["doc_id"], fingerprint(d["text"], 5)) for d in exact])
-    heads = {c for _, _, c in found}
+    heads = {c for _, c in similar_components([(d["doc_id"], d["text"]) for d in exact])}
     assert sorted(map(key, near)) == sorted(key(d) for d in exact if d["doc_id"] in heads)
 
     sizes = {d["doc_id"]: len(d["text"].encode().split()) for d in near}
@@ -71,3 +69,23 @@ def test_awkward_rows_and_empty_tables(spark, awkward, nothing):
         else:
             assert before.columns == awkward.columns
             assert {r["doc_id"] for r in rows.collect()} <= {r["doc_id"] for r in awkward.collect()}
+
+
+def test_two_results_over_one_folder_are_both_whole(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).write.parquet(f"{tmp_path}/documents.parquet")
+    first, second = (corpus_pipeline.run(spark, str(tmp_path)) for _ in range(2))
+    assert sorted(map(key, first.collect())) and sorted(r["doc_id"] for r in first.collect()) == sorted(r["doc_id"] for r in second.collect())
+
+
+def test_the_next_stage_removes_what_rows_no_longer_need(spark, documents):
+    from codestrata.llm import common
+
+    known = set(common.WRITTEN)
+    rows = corpus_pipeline.exact(spark, documents, None)
+    tables = common.WRITTEN - known
+    again, path = common.written_at(rows)
+    n = rows.count()
+    corpus_pipeline.mix(spark, rows, None)  # unwritten rows still read their tables
+    assert rows.count() == n > 0
+    corpus_pipeline.mix(spark, again, None)
+    assert tables and not tables & common.WRITTEN and path in common.WRITTEN
