@@ -30,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """Write a table to a new folder in ``spark.checkpoint.dir`` and read it back, so that its lineage ends there. Only
-    where that is unset, as in local tests, a temporary folder is set for the session and used."""
+    where that is unset and driver and tasks are one process, as in local tests, a temporary folder is set and used."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="codestrata-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"

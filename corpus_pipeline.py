@@ -7,10 +7,10 @@ long texts, repeated rows, empty tables and further columns are handled as the o
 * language: text that has no letter (null and empty text too), or whose best language is less likely than
   one third over its words, is rejected; all else stays, whatever its language;
 * exact: of texts equal after lower-casing A-Z, the row with the largest doc_id stays;
-* near: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked; of each component of
-  links, the row with the smallest doc_id stays;
+* near: texts found near by SimHash and BK-trees whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+  more are linked; of each component of links, the row with the smallest doc_id stays;
 * mix: documents come as often as the mix takes them, so that a doc_id may come again;
-* pack: one row per piece, with its ids, sequence and offset.
+* pack: one row per piece, with its ids (little-endian unsigned 32-bit), their checksum, sequence and offset.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import common
-from codestrata.llm.common import col, written
+from codestrata.llm.common import col, written_at
 from codestrata.llm.exact_dedup import exact_dedup
 from codestrata.llm.language_id import UNKNOWN, identify_languages
 from codestrata.llm.mixing import mixed
@@ -35,21 +35,21 @@ def _back(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.select(*[F.col("carried")[c].alias(c) for c in names])
 
 
-#: Working tables of the last stage called, by input.
-_LEFT: dict[str | None, list[str]] = {}
+#: Under this name a stage's rows say in their columns' metadata, which Parquet keeps, which working tables they came from.
+SPENT = "working_tables"
 
 
 def _stage(stage):
-    """As each stage's rows are written before the next is called, a stage first removes the working tables of
-    the one before it, except those that its rows still read."""
+    """Rows that were written and read again no longer need the working tables they came from: the stage that takes
+    them removes those first. A stage's own result has to be read before its written rows go into the next stage."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _LEFT.get(sf_dir) else []
-        common.remove(spark, [p for p in _LEFT.pop(sf_dir, []) if not any(f"{p}/" in f for f in read)])
-        known = set(common.WRITTEN)
-        rows = stage(spark, docs, sf_dir)
-        _LEFT[sf_dir] = [p for p in common.WRITTEN if p not in known]
-        return rows
+        spent = [p for f in docs.schema for p in f.metadata.get(SPENT, ()) if p in common.WRITTEN]
+        read = docs.inputFiles() if spent else []
+        common.remove(spark, [p for p in spent if not any(f"{p}/" in f for f in read)])
+        with common.noted() as tables:
+            rows = stage(spark, docs, sf_dir)
+        return rows.select(*[col(c).alias(c, metadata={SPENT: [] if k else tables}) for k, c in enumerate(rows.columns)])
 
     return run_stage
 
@@ -80,7 +80,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     packed = pack(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
-    return packed.select(col("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select(col("doc_id"), "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("pack", packing)]
@@ -88,11 +88,11 @@ STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix)
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
-    rows, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    rows, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        rows = written(stage(spark, rows, sf_dir))
-        common.remove(spark, read)
-        read = common.WRITTEN[-1:]
+        rows, path = written_at(stage(spark, rows, sf_dir))
+        common.remove(spark, before)
+        before = [path]
     return STAGES[-1][1](spark, rows, sf_dir)
 
 
