@@ -47,6 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20
 #: Folders of the working tables that were written and not removed.
 WRITTEN: set[str] = set()
 _NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
@@ -72,11 +73,23 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
             WRITTEN.discard(path)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python workers get texts in batches of a few megabytes meanwhile: both sides hold whole batches."""
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+
+
 def written_at(df: DataFrame) -> tuple[DataFrame, str]:
     """As ``written``, with the folder."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     WRITTEN.add(path)
     if (paths := _NOTED.get()) is not None:
         paths.append(path)

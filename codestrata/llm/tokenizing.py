@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words remembered by a worker in each of two generations, and the longest of them in bytes: some 120 MB at most.
-REMEMBERED, LONGEST = 400_000, 64
+#: Words remembered by a worker in each of two generations, and the longest of them in bytes: some 80 MB at most.
+REMEMBERED, LONGEST = 250_000, 64
 #: Bytes of text that are tokenized together.
 TOGETHER = 3 << 20
 #: Stems encoded at a time.
@@ -78,8 +78,9 @@ class WordIds:
 
     def _learn(self, words: list[bytes]) -> None:
         parted = list(map(parts, words))
-        stems = list(set(chain.from_iterable(parted)) - {b""})
-        ids = {b"": b""}
+        stems = set(chain.from_iterable(parted))
+        ids = {s: table[s] for table in (self.old, self.young) for s in stems.intersection(table)} | {b"": b""}
+        stems = list(stems - ids.keys())
         for at in range(0, len(stems), STEMS):
             some = stems[at : at + STEMS]
             ids.update(zip(some, self._encoded(some)))
