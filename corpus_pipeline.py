@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import common
-from codestrata.llm.common import col, written_at
+from codestrata.llm.common import col, written, written_at
 from codestrata.llm.exact_dedup import exact_dedup
 from codestrata.llm.language_id import UNKNOWN, identify_languages
 from codestrata.llm.mixing import mixed
@@ -56,7 +56,7 @@ def _stage(stage):
 
 @_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify_languages(docs, carry=tuple(docs.columns))
+    found = written(identify_languages(docs, carry=tuple(docs.columns)))
     return _back(found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
