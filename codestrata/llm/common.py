@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Session setting of what a Python worker is sent at a time, and the bytes of it.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20
+
+
+def given_back() -> None:
+    """At the end of a Python task: the idle worker keeps no freed memory from the executor's other work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
 #: Folders of the working tables that were written and not removed.
 WRITTEN: set[str] = set()
 _NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, in_fold
+from .common import col, given_back, in_fold
 
 FEATURE_BITS, GRAM = 17, 4
 FEATURES = 1 << FEATURE_BITS
@@ -272,6 +272,7 @@ def identify_languages(docs: DataFrame, modulus: int = 4, remainder: int = 2, pe
             ends = pa.array(np.cumsum([0, *(len(r[0]) for r in runs)]), pa.int32())
             listed = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, names=["start", "end", "lang", "score"]))
             yield pa.StructArray.from_arrays([pa.array(language, pa.string()), pa.array(score), listed], names=["lang_pred", "score", "runs"])
+        given_back()
 
     found = docs.select(col(id_col).alias(id_col), in_fold(col(id_col), modulus, remainder).alias("held_out"), predicted(col(text_col).cast("string")).alias("found"), carried.alias("carried"))
     return found.select(col(id_col), "held_out", "found.lang_pred", "found.score", "found.runs", "carried")

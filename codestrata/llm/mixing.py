@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, col, remove, written, written_at
+from .common import WORD, col, written
 
 #: Expected copies are whole numbers of this part, so that sums are exact.
 SCALE_BITS = 24
@@ -59,7 +59,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int =
     empty result. Other columns are ignored unless carried, inside ``carried``.
     """
     carried = F.struct(*[col(c).alias(c) for c in carry]) if carry else F.struct(F.lit(True).alias("none"))
-    sized, spent = written_at(docs.select(col(id_col).alias("id"), col(source_col).alias("source"), word_count(col(text_col)).alias("size"), carried.alias("carried"), F.monotonically_increasing_id().alias("row")))
+    sized = written(docs.select(col(id_col).alias("id"), col(source_col).alias("source"), word_count(col(text_col)).alias("size"), carried.alias("carried"), F.monotonically_increasing_id().alias("row")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     part = F.lit(1 << SCALE_BITS)
     targets = written(
@@ -68,11 +68,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int =
         .withColumn("offset", F.conv(F.substring(F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, SCALE_BITS // 4), 16, 10).cast("long"))
     )
 
+    # What is ordered is narrow: texts stay where they are until each row's copies are known.
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("id"), F.col("row")]
-    laid = written(sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
-    remove(docs.sparkSession, [spent])  # the targets and the ordered table are written
+    narrow = sized.select("source", "size", "id", "row").repartitionByRange(*order).sortWithinPartitions(*order)
     # monotonically_increasing_id holds the partition above bit 33 and the place within it below.
-    laid = laid.withColumn("part", F.shiftright("place", 33))
+    laid = written(narrow.select("source", "row", F.monotonically_increasing_id().alias("place"))).withColumn("part", F.shiftright("place", 33))
     firsts = laid.groupBy("part", "source").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     firsts = firsts.select("part", F.col("source").alias("s"), "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
@@ -80,12 +80,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int =
 
     # One row per partition and source in it: the ranges cut the ordered table, so these are at most
     # partitions + sources rows. Only a corpus of very many sources has too many to send to every task.
-    if firsts.count() <= BROADCAST_ROWS:
-        firsts = F.broadcast(firsts)
-    ranked = laid.join(firsts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
+    ranked = laid.join(_small(firsts), (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
     rank = F.col("earlier") + F.col("place") - F.col("first")
     crossed = F.shiftright((rank + 1) * F.col("step") + F.col("offset"), SCALE_BITS) - F.shiftright(rank * F.col("step") + F.col("offset"), SCALE_BITS)
-    return ranked.select(F.col("id").alias(id_col), "size", "source_size", "target", crossed.alias("copies"), (crossed * F.col("size")).alias("taken"), "carried")
+    copies = written(ranked.select("row", crossed.alias("copies")))
+    every = sized.join(_small(copies), "row").join(_small(targets.select(F.col("source").alias("t"), "source_size", "target")), F.col("source").eqNullSafe(F.col("t")))
+    return every.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "carried")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast where it is small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -21,20 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, written
-from .tokenizing import together, word_ids
+from .common import col, given_back, written
+from .tokenizing import REMEMBERED, together, word_ids
 
 #: Rows of (task, length) counts that may be broadcast, some 50 MB; above it they are joined by shuffle.
 BROADCAST_ROWS = 400_000
 END = np.array([1], "<u4").tobytes()
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, remembered: int, id_col: str, text_col: str) -> DataFrame:
     """id, piece, start, length, ids (little-endian 32-bit), and part and place: the task that made
     the piece and how many of the same length it had made before."""
 
     def pieces(batches):
-        words, made, part = word_ids(tokenizer), Counter(), TaskContext.get().partitionId()
+        words, made, part = word_ids(tokenizer, remembered), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             done = 0
             for group in together(batch.column(1)):
@@ -52,6 +52,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, te
                     [batch.column(0).take(pa.array(out["row"], pa.int64())), pa.array(out["piece"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("start", "length", "place")), pa.array([part] * len(out["row"]), pa.int64()), pa.array(out["ids"], pa.binary())],
                     names=["id", "piece", "start", "length", "place", "part", "ids"],
                 )
+        given_back()
 
     rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -116,16 +117,17 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[int,
     return plan
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, remembered: int = REMEMBERED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids, sequence_id, offset.
 
     ``tokenizer`` is the path of a tokenizer file, the same on every node. A document is its ids and
     then id 1; only documents longer than the capacity are cut, into pieces of the capacity and
     a last one. Null text counts as empty: the piece is id 1 alone. Repeated rows are documents
     of their own. A null id stays null. Ties between pieces of one length do not matter: they are
-    alike. An empty table gives an empty result. Other columns are ignored.
+    alike. An empty table gives an empty result. Other columns are ignored. ``remembered`` words a worker spare CPU for
+    memory and change nothing else.
     """
-    pieces = written(token_pieces(docs, tokenizer, capacity, id_col, text_col))
+    pieces = written(token_pieces(docs, tokenizer, capacity, remembered, id_col, text_col))
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     counts = written(counts.select("part", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")))

@@ -17,6 +17,7 @@ pairs, and a hot group is neither gathered nor paired.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, written
+from .common import col, given_back, written
 from .components import components
 from .near_dedup import BITS, BKTree
 
@@ -37,7 +38,7 @@ BROADCAST_ROWS = 200_000
 #: Texts of a shard on average, members of a tree at most, and members of a bucket in it.
 SHARD, CHUNK, LEAF = 64, 2048, 64
 #: Fingerprints of which the distance is taken.
-COMPARED = 3
+COMPARED = 2
 #: Byte -> its eight bits as the bytes of a number, so that 255 of them add up without a carry.
 LANES = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], np.uint64)
 
@@ -152,18 +153,20 @@ def similar_duplicates(
     compared = [f"p{k}" for k in range(plan.compared)]
 
     @F.arrow_udf("array<long>")
-    def prints_of(text: pa.Array) -> pa.Array:
-        found, waiting, size = [np.empty((0, plan.prints), np.uint64)], [], 0
-        for t in text:
-            waiting.append(shingle_set(t.as_py(), shingle, seed))
-            size += len(waiting[-1])
-            if size >= TOGETHER:
+    def prints_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            found, waiting, size = [np.empty((0, plan.prints), np.uint64)], [], 0
+            for t in text:
+                waiting.append(shingle_set(t.as_py(), shingle, seed))
+                size += len(waiting[-1])
+                if size >= TOGETHER:
+                    found.append(fingerprints(waiting, plan.prints, seed))
+                    waiting, size = [], 0
+            if waiting:
                 found.append(fingerprints(waiting, plan.prints, seed))
-                waiting, size = [], 0
-        if waiting:
-            found.append(fingerprints(waiting, plan.prints, seed))
-        values = np.concatenate(found)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * plan.prints, pa.int32()), pa.array(values.reshape(-1).view(np.int64)))
+            values = np.concatenate(found)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * plan.prints, pa.int32()), pa.array(values.reshape(-1).view(np.int64)))
+        given_back()
 
     @F.arrow_udf("binary")
     def grams_of(text: pa.Array) -> pa.Array:

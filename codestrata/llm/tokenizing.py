@@ -45,7 +45,8 @@ class WordIds:
     again move to the new young one: frequent words stay. Of new words only the stems are encoded.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -72,7 +73,7 @@ class WordIds:
         for word in new:
             if len(word) > LONGEST:
                 del self.young[word]
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
         return out
 
@@ -109,10 +110,10 @@ class WordIds:
 _LOADED: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
     """One per worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
+    if path not in _LOADED or _LOADED[path].remembered != remembered:
+        _LOADED[path] = WordIds(path, remembered)
     return _LOADED[path]
 
 
