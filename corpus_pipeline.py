@@ -29,6 +29,8 @@ from codestrata.llm.similar import similar_duplicates
 LEAST_SCORE = 1 / 3
 LEAST_SIMILARITY = 0.8
 CAPACITY = 4096
+#: Words that a worker of the last stage remembers: it shares executors with what the stages before have left in memory.
+REMEMBERED = 60_000
 
 
 def _back(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -79,7 +81,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    packed = pack(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
+    packed = pack(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY, REMEMBERED)
     return packed.select(col("doc_id"), "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
