@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.regex import portable
+from ..session import written
 from . import syntax
 
 
@@ -30,37 +31,52 @@ def call_edges(lines: DataFrame) -> DataFrame:
     """caller_path, line, seq, callee, callee_path, is_direct: a call is direct if a function of the program has its name; of
     several, the caller's own file comes first, then the first path."""
     called = syntax.calls(lines).select(F.col("path").alias("caller_path"), "line", "seq", F.col("name").alias("callee"))
-    defined = syntax.functions(lines).groupBy(F.col("name").alias("callee")).agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    joined = called.join(defined, "callee", "left")
-    where = F.when(F.array_contains("paths", F.col("caller_path")), F.col("caller_path")).otherwise(F.col("paths")[0])
-    return joined.select("caller_path", "line", "seq", "callee", where.alias("callee_path"), F.col("paths").isNotNull().alias("is_direct"))
+    defined = syntax.functions(lines).select(F.col("name").alias("callee"), "path").distinct()
+    own = defined.withColumnRenamed("path", "caller_path").withColumn("here", F.lit(True))
+    first = defined.groupBy("callee").agg(F.min("path").alias("first_path"))
+    joined = called.join(own, ["callee", "caller_path"], "left").join(first, "callee", "left")
+    where = F.when(F.col("here"), F.col("caller_path")).otherwise(F.col("first_path"))
+    return joined.select("caller_path", "line", "seq", "callee", where.alias("callee_path"), F.col("first_path").isNotNull().alias("is_direct"))
+
+
+def resolved(folder: Column, target: Column) -> Column:
+    """A path relative to a folder, as an absolute one without ``.`` and ``..``; those above the root stay at the root."""
+    none = F.array().cast("array<string>")
+    parts = F.split(F.concat_ws("/", folder, target), "/")
+    step = lambda done, c: F.when(c.isin("", "."), done).when(c == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(c)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, none, step), "/"))
 
 
 def include_edges(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """from_path, to_path, kind: relative targets are files of the program by name without extension; absolute ones stay."""
-    target = F.regexp_extract("text", portable(syntax.INCLUDE), 2)
-    rows = lines.filter(F.col("text").rlike(portable(syntax.INCLUDE))).select(F.col("path").alias("from_path"), F.regexp_extract("text", portable(syntax.INCLUDE), 1).alias("kind"), target.alias("target"))
-    stems = files.select(F.col("path").alias("to_path"), F.regexp_extract("path", r"([^/.]+)\.[^/]*$", 1).alias("target"))
-    relative = rows.filter(~F.col("target").startswith("/")).join(stems, "target").select("from_path", "to_path", "kind")
-    return relative.unionByName(rows.filter(F.col("target").startswith("/")).select("from_path", F.col("target").alias("to_path"), "kind")).distinct()
+    """from_path, to_path, kind: relative targets start at the folder of the including file and have to be files of the
+    program; absolute ones stay."""
+    pattern = portable(syntax.INCLUDE)
+    rows = lines.filter(F.col("text").rlike(pattern)).select(F.col("path").alias("from_path"), F.regexp_extract("text", pattern, 1).alias("kind"), F.regexp_extract("text", pattern, 2).alias("target"))
+    absolute = F.col("target").startswith("/")
+    relative = rows.filter(~absolute).select("from_path", "kind", resolved(F.regexp_extract("from_path", "^(.*)/[^/]*$", 1), F.col("target")).alias("to_path"))
+    relative = relative.join(files.select(F.col("path").alias("to_path")), "to_path", "left_semi").select("from_path", "to_path", "kind")
+    return relative.unionByName(rows.filter(absolute).select("from_path", F.col("target").alias("to_path"), "kind")).distinct()
 
 
 def dependencies(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """from_path, to_path, kind: includes and resolved class references; the reverse edge is the same row read the other way."""
+    """from_path, to_path, kind: includes of each kind and resolved class references; the reverse edge is the same row read
+    the other way."""
     classes = inheritance(lines).filter("parent_path IS NOT NULL AND parent_path <> path").select(F.col("path").alias("from_path"), F.col("parent_path").alias("to_path"), F.lit("class_ref").alias("kind"))
-    return include_edges(lines, files).withColumn("kind", F.lit("include")).unionByName(classes).distinct()
+    return include_edges(lines, files).unionByName(classes).distinct()
 
 
 def affected(edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
-    """path, distance: changed files and all that depend on them within ``depth`` steps, at their fewest steps. Cycles end by depth."""
-    edges.select("from_path", "to_path").distinct().createOrReplaceTempView("_dependency_edges")
-    changed.select("path").distinct().createOrReplaceTempView("_changed_files")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE reach(path, distance) AS (
-            SELECT path, 0 FROM _changed_files
-            UNION ALL
-            SELECT e.from_path, r.distance + 1 FROM reach r JOIN _dependency_edges e ON e.to_path = r.path WHERE r.distance < {int(depth)}
-        ) SELECT path, min(distance) AS distance FROM reach GROUP BY path""")
+    """path, distance: changed files and all that depend on them within ``depth`` steps, at their fewest steps. Each round
+    follows the files reached last and keeps those that are new, so that cycles and dense graphs end."""
+    steps = written(edges.select(F.col("to_path").alias("path"), F.col("from_path").alias("next")).distinct())
+    found = last = written(changed.select("path", F.lit(0).alias("distance")).distinct())
+    for distance in range(1, depth + 1):
+        reached = last.join(steps, "path").select(F.col("next").alias("path")).distinct()
+        last = written(reached.join(found, "path", "left_anti").withColumn("distance", F.lit(distance)))
+        if last.isEmpty():
+            break
+        found = found.unionByName(last)
+    return found
 
 
 def degree(edges: DataFrame) -> DataFrame:

@@ -80,6 +80,10 @@ def call_edges(spark, sf_dir):
     return graphs.call_edges(_php(spark, sf_dir))
 
 
+def include_edges(spark, sf_dir):
+    return graphs.include_edges(_php(spark, sf_dir), events_corpus(spark, sf_dir))
+
+
 def dependency_edges(spark, sf_dir):
     return graphs.dependencies(_php(spark, sf_dir), events_corpus(spark, sf_dir))
 
@@ -195,8 +199,11 @@ dirty AS (SELECT * FROM args WHERE (path, variable) IN (SELECT path, variable FR
 uses AS (SELECT path, line, regexp_extract(text, {_rx(_U)}, 1) AS fqn, regexp_extract(text, {_rx(_U)}, 2) AS alias FROM php WHERE regexp_matches(text, {_rx(_U)})),
 parents AS (SELECT path, name AS class, 'extends' AS relation, extends AS parent FROM classes WHERE extends IS NOT NULL UNION ALL SELECT path, name, 'implements', unnest(implements) FROM classes),
 inherits AS (SELECT p.*, k.parent_path FROM parents p LEFT JOIN (SELECT name, min(path) AS parent_path FROM classes GROUP BY name) k ON k.name = p.parent),
-includes AS (SELECT DISTINCT i.path AS from_path, c.path AS to_path FROM (SELECT path, regexp_extract(text, {_rx(syntax.INCLUDE)}, 2) AS target FROM php WHERE regexp_matches(text, {_rx(syntax.INCLUDE)})) i JOIN code_files c ON 'f' || c.f = i.target),
-dependencies AS (SELECT from_path, to_path, 'include' AS kind FROM includes UNION SELECT path, parent_path, 'class_ref' FROM inherits WHERE parent_path IS NOT NULL AND parent_path <> path),
+included AS (SELECT path, regexp_extract(text, {_rx(syntax.INCLUDE)}, 1) AS kind, regexp_extract(text, {_rx(syntax.INCLUDE)}, 2) AS target FROM php WHERE regexp_matches(text, {_rx(syntax.INCLUDE)})),
+joined AS (SELECT path, kind, CASE WHEN starts_with(target, '/') THEN target ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' || target END AS target FROM included),
+one_up AS (SELECT path, kind, regexp_replace(target, '/[^/.]+/\\.\\./', '/') AS target FROM joined),
+includes AS (SELECT DISTINCT i.path AS from_path, c.path AS to_path, kind FROM (SELECT path, kind, regexp_replace(target, '/[^/.]+/\\.\\./', '/') AS target FROM one_up) i JOIN code_files c ON c.path = i.target),
+dependencies AS (SELECT from_path, to_path, kind FROM includes UNION SELECT path, parent_path, 'class_ref' FROM inherits WHERE parent_path IS NOT NULL AND parent_path <> path),
 files AS (SELECT path, content, sha256(content) AS sha256, 1700000000 + strlen(content) AS mtime, strlen(content) AS n_bytes FROM code_files),
 plan AS (SELECT path, CASE WHEN n_bytes % 9 = 0 THEN 'new' WHEN n_bytes % 4 = 0 THEN 'changed' ELSE 'up_to_date' END AS action FROM files),
 affected AS (SELECT path, 0 AS distance FROM plan WHERE action = 'changed' UNION ALL SELECT d.from_path, a.distance + 1 FROM affected a JOIN (SELECT DISTINCT from_path, to_path FROM dependencies) d ON d.to_path = a.path WHERE a.distance < 3),
@@ -226,7 +233,7 @@ FINDINGS = " UNION ALL ".join([
 
 QUERIES = {f.__name__: f for f in (
     php_functions, php_classes, php_assignments, php_calls, php_last_definitions, tainted_variables, syntax_findings, syntax_summary, syntax_metrics, imports, taint_paths, function_findings, use_bindings, inheritance, call_edges, dependency_edges,
-    dependency_degrees, change_plan, files_to_process, affected_files, index_upsert, cache_validity, cache_eviction, cache_stats, flow_edges, flow_metrics, flow_dot, statement_counts,
+    include_edges, dependency_degrees, change_plan, files_to_process, affected_files, index_upsert, cache_validity, cache_eviction, cache_stats, flow_edges, flow_metrics, flow_dot, statement_counts,
 )}
 ORACLES = {
     "php_functions": BASE + "SELECT path, line, name, array_to_string(params, ',') AS params FROM functions",
@@ -251,6 +258,7 @@ FROM calls c LEFT JOIN (SELECT name, list_sort(list(DISTINCT path)) AS paths FRO
     "dependency_degrees": BASE + "SELECT path, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM (SELECT from_path AS path, 1 AS o, 0 AS i FROM dependencies UNION ALL SELECT to_path, 0, 1 FROM dependencies) GROUP BY path",
     "change_plan": BASE + "SELECT * FROM plan",
     "files_to_process": BASE + "SELECT path, action AS reason FROM plan WHERE action <> 'up_to_date' UNION ALL SELECT path, 'affected' FROM plan WHERE action = 'up_to_date' AND path IN (SELECT path FROM touched WHERE distance > 0)",
+    "include_edges": BASE + "SELECT from_path, to_path, kind FROM includes",
     "affected_files": BASE + "SELECT path, min(distance) AS distance FROM affected GROUP BY path",
     "index_upsert": BASE + "SELECT path, sha256, mtime::BIGINT AS mtime, CASE WHEN n_bytes % 9 = 0 THEN 1701000000 ELSE 1699000000 END::BIGINT AS created_at, true AS touched FROM files",
     "cache_validity": f"SELECT '/cache/' || event_id AS path, event_type NOT IN ('error', 'click') AND epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts) <= 168 * 3600000000 AS valid FROM events",

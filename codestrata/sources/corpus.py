@@ -22,6 +22,9 @@ FOLDER = "CASE CAST(f % 5 AS INT) WHEN 0 THEN 'src' WHEN 1 THEN 'app' WHEN 2 THE
 PATH = f"'/corpus/' || {FOLDER} || '/f' || CAST(f AS {{s}}) || {EXTENSION}"
 FUNCTION = f"CASE ({LANGUAGE}) WHEN 'php' THEN 'function fn' || {{e}} || '($a, $b) {{' WHEN 'javascript' THEN 'export async function fn' || {{e}} || '(a) {{' WHEN 'python' THEN 'def fn' || {{e}} || '(a):' WHEN 'java' THEN '  public int fn' || {{e}} || '(int a) {{' WHEN 'go' THEN 'func fn' || {{e}} || '(a int) {{' ELSE 'def fn' || {{e}} || '(' END"
 CLASS = f"CASE ({LANGUAGE}) WHEN 'php' THEN 'class Kind' || {{e}} || ' extends Base' || {{m}} || ' implements Has, May {{' WHEN 'javascript' THEN 'class Kind' || {{e}} || ' extends Base' || {{m}} || ' {{' WHEN 'python' THEN 'class Kind' || {{e}} || '(Base' || {{m}} || '):' WHEN 'java' THEN 'public class Kind' || {{e}} || ' {{' ELSE '' END"
+TARGET = "(f + user_id % 7 + 1)"
+UP = "CASE CAST(f % 5 AS INT) WHEN 2 THEN '../../' WHEN 3 THEN '../../' ELSE '../' END"
+INCLUDED = f"{UP} || {FOLDER.replace('f %', TARGET + ' %')} || '/f' || CAST({TARGET} AS {{s}}) || {EXTENSION.replace('f %', TARGET + ' %')}"
 _E, _V, _W, _M = "CAST(event_id AS {s})", "CAST(user_id % 20 AS {s})", "CAST((user_id + 1) % 20 AS {s})", "CAST(user_id % 7 AS {s})"
 TEMPLATES = [
     f"""'$q' || CAST(user_id AS {{s}}) || ' = "SELECT * FROM t WHERE id = " . $_GET["' || event_type || '"];'""",
@@ -45,7 +48,7 @@ TEMPLATES = [
     f"""'mysqli_query($c, $v' || {_V} || ');'""",
     f"""'$v' || {_V} || ' = htmlspecialchars($v' || {_V} || ');'""",
     f"""'md5($x); unserialize($v' || {_V} || ');'""",
-    f"""'include "f' || CAST(f + user_id % 7 + 1 AS {{s}}) || '";'""",
+    f"""CASE CAST(user_id % 3 AS INT) WHEN 0 THEN 'include' WHEN 1 THEN 'require_once' ELSE 'require' END || ' "' || {INCLUDED} || '";'""",
     f"""'use App' || chr(92) || 'Model' || {_M} || ' as Alias' || CAST(user_id % 5 AS {{s}}) || ';'""",
     f"""'echo $v' || {_V} || ';'""",
     """'if ($x > ' || CAST(user_id AS {s}) || ') {'""",

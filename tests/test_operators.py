@@ -125,6 +125,26 @@ def test_affected_files_in_a_cycle(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "d": 3}
 
 
+def test_affected_files_in_a_dense_graph(spark):
+    edges = spark.range(60).selectExpr("concat('f', id) AS from_path").crossJoin(spark.range(60).selectExpr("concat('f', id) AS to_path"))
+    got = {r["path"]: r["distance"] for r in graphs.affected(edges, spark.createDataFrame([("f7",)], "path string"), depth=30).collect()}
+    assert got == {f"f{k}": int(k != 7) for k in range(60)}
+
+
+def test_includes_start_at_the_folder_of_the_file(spark):
+    rows = [("/p/q/a.php", 'include "lib/b.php";'), ("/p/q/a.php", 'require_once "../c.php";'), ("/p/q/a.php", 'require "./x/../d.php";'), ("/p/q/a.php", 'include "b";'), ("/p/q/a.php", 'include "/e.php";')]
+    lines = spark.createDataFrame([(p, k, t) for k, (p, t) in enumerate(rows)], "path string, line int, text string")
+    files = spark.createDataFrame([(p,) for p in ("/p/q/lib/b.php", "/p/c.php", "/p/q/d.php", "/p/lib/b.php", "/z/b.php")], "path string")
+    got = {(r["to_path"], r["kind"]) for r in graphs.include_edges(lines, files).collect()}
+    assert got == {("/p/q/lib/b.php", "include"), ("/p/c.php", "require_once"), ("/p/q/d.php", "require"), ("/e.php", "include")}
+
+
+def test_a_call_is_of_the_own_file_or_of_the_first(spark):
+    rows = [("a", 1, "function f($x) {"), ("b", 1, "function f($x) {"), ("b", 2, "f($x);"), ("c", 1, "f($x);"), ("c", 2, "g($x);")]
+    got = {(r["caller_path"], r["callee"]): r["callee_path"] for r in graphs.call_edges(spark.createDataFrame(rows, "path string, line int, text string")).collect()}
+    assert got["b", "f"] == "b" and got["c", "f"] == "a" and got["c", "g"] is None
+
+
 def test_plan_and_replace(spark):
     files = spark.createDataFrame([("a", "1", 1), ("b", "2", 1), ("c", "3", 1)], "path string, sha256 string, mtime int")
     index = spark.createDataFrame([("a", "1", 1), ("b", "x", 1), ("z", "9", 1)], "path string, sha256 string, mtime int")
