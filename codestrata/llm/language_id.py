@@ -136,13 +136,16 @@ def switched(texts: list[tuple[str, list[str]]], rng: np.random.Generator, short
 
 
 def fit_field(texts: Iterable[tuple[str, str]], lexicon_size: int = 1000, max_words: int = 150_000, rounds: int = 30, seed: int = 11) -> Field | None:
-    """Texts with their languages -> a field; None without any word. Adam on the whole sample's gradient."""
-    rng, total, held = np.random.default_rng(seed), 0, []
+    """Texts with their languages -> a field; None without any word. Adam on the whole sample's gradient. Each language
+    has an equal share of the words, so that rare ones are learned too."""
+    rng, taken, held = np.random.default_rng(seed), Counter(), []
+    texts = list(texts)
+    share = max_words / max(1, len({language for language, _ in texts}))
     for language, text in texts:
         words = [w for w in map(letters, text.split()) if w]
-        if words and total < max_words:
+        if words and taken[language] < share:
             held.append((language, words))
-            total += len(words)
+            taken[language] += len(words)
     if not held:
         return None
     languages = sorted({language for language, _ in held})
@@ -231,26 +234,32 @@ def label_texts(field: Field, texts: list[str | None], known: Emissions) -> tupl
 
 
 def training_texts(docs: DataFrame, modulus: int, remainder: int, per_language: int, max_languages: int, max_bytes: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """Up to ``per_language`` whole texts of each of the commonest languages, by smallest hashed id."""
+    """Up to ``per_language`` whole texts of each language, by smallest hashed id. More than ``max_languages`` are an error:
+    a field of that many needs another bound, not fewer labels."""
     usable = docs.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    usable = usable.filter(~in_fold(F.col("id"), modulus, remainder) & (F.octet_length("text").between(1, max_bytes)))
-    common = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
+    usable = usable.filter(~in_fold(F.col("id"), modulus, remainder) & (F.octet_length("text") >= 1))
+    common = usable.groupBy("lang").agg(F.min(F.octet_length("text")).alias("shortest"))
+    if common.limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"more than {max_languages} languages are labelled; raise max_languages if the field fits in memory")
+    # A language without a text of max_bytes or less is learned from its shortest ones.
+    common = common.select("lang", F.greatest("shortest", F.lit(max_bytes)).alias("most"))
+    usable = usable.join(F.broadcast(common), "lang").filter(F.octet_length("text") <= F.col("most")).drop("most")
     # The group limit works on each task's rows before they are shuffled, so a hot language sends as little as any.
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = usable.select("id", "lang").join(F.broadcast(common), "lang").withColumn("place", place).filter(F.col("place") <= per_language).select("id", "lang")
+    ids = usable.select("id", "lang").withColumn("place", place).filter(F.col("place") <= per_language).select("id", "lang")
     rows = usable.join(F.broadcast(ids), ["id", "lang"], "left_semi").orderBy(F.xxhash64("id"), "id", "text").limit(per_language * max_languages).collect()
     return [(r["lang"], r["text"]) for r in rows]
 
 
-def identify_languages(docs: DataFrame, modulus: int = 4, remainder: int = 2, per_language: int = 100, max_languages: int = 64, max_bytes: int = 20_000, max_words: int = 150_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+def identify_languages(docs: DataFrame, modulus: int = 4, remainder: int = 2, per_language: int = 100, max_languages: int = 256, max_bytes: int = 20_000, max_words: int = 150_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, held_out, lang_pred, score (0 to 1), runs, and struct ``carried``.
 
     ``runs`` are the languages of all words in order: an array of (start, end, lang, score), each for the words
     (what white space separates, from 0) from start up to but without end. It is empty where there is no word.
 
     The field learns from text and language of rows outside the held-out fold, crc32(id) mod ``modulus`` =
-    ``remainder``: at most ``per_language`` whole texts of at most ``max_bytes`` in each of the
-    ``max_languages`` commonest languages, and ``max_words`` words in all. Only text is an input of a prediction, and
+    ``remainder``: at most ``per_language`` whole texts of at most ``max_bytes`` (or the language's shortest) in each
+    language, and ``max_words`` words in all, shared alike. More than ``max_languages`` languages are an error. Only text is an input of a prediction, and
     all of it. Null text and text without a letter are ``und`` with score 0, as is everything if nothing
     could be learned. Null ids are not held out and not learned from; rows with null language are not
     learned from. Repeated rows get equal rows; ties go to the first language by name. An empty table gives an

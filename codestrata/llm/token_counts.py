@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +35,21 @@ class TokenRollup:
         at = jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
+    def _claim(self, batch_id: str) -> str:
+        return f"{self.path}/_commits/{batch_id}"
+
+    def _held(self, claim: str) -> str:
+        """The folder that a commit file names; empty where its writer was lost before it wrote it."""
+        fs, at = self._fs(claim)
+        stream = fs.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
     def committed(self, batch_id: str) -> bool:
-        fs, at = self._fs(f"{self.path}/batch={batch_id}")
-        return fs.exists(at)
+        fs, at = self._fs(self._claim(batch_id))
+        return fs.exists(at) and bool(self._held(self._claim(batch_id)))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Whether the batch took effect; False if it had been committed before."""
@@ -52,14 +65,28 @@ class TokenRollup:
             F.when(op == "insert", 1).when(op == "delete", -1).when(op == "revise", 0).otherwise(wrong).cast("long").alias("docs"),
             F.when(op == "insert", n).when(op == "delete", -n).when(op == "revise", n - old).otherwise(wrong).alias("tokens"),
         )
-        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
-        signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(staged)
-        fs, source = self._fs(staged)
-        _, target = self._fs(f"{self.path}/batch={batch_id}")
-        return bool(fs.rename(source, target))  # the commit: whole or not at all, and only the first of a batch
+        delta = f"delta-{uuid.uuid4().hex}"
+        signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.path}/{delta}")
+        # The commit: the batch belongs to the writer that creates its file, and only deltas that such a file names count.
+        fs, at = self._fs(self._claim(batch_id))
+        lost = fs.exists(at) and not self._held(self._claim(batch_id))
+        try:
+            stream = fs.create(at, bool(lost))
+        except Py4JJavaError:
+            if not fs.exists(at):
+                raise
+            fs.delete(self._fs(f"{self.path}/{delta}")[1], True)
+            return False
+        stream.write(bytearray(delta.encode()))
+        stream.close()
+        return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens of every group that is not back at zero."""
-        deltas = self.spark.read.schema("source string, lang string, tokenizer_version string, docs long, tokens long").parquet(f"{self.path}/batch=*")
+        fs, at = self._fs(f"{self.path}/_commits")
+        named = [self._held(str(f.getPath())) for f in fs.listStatus(at)] if fs.exists(at) else []
+        schema = "source string, lang string, tokenizer_version string, docs long, tokens long"
+        paths = [f"{self.path}/{delta}" for delta in named if delta]
+        deltas = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         sums = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 OR n_tokens <> 0")

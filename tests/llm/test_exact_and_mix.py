@@ -110,3 +110,21 @@ def test_both_ways_of_the_first_join(documents, monkeypatch):
     wanted = sorted(map(str, exact_dedup(documents).collect()))
     monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
     assert sorted(map(str, exact_dedup(documents).collect())) == wanted
+
+
+def test_of_two_writers_of_a_batch_one_commits(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("insert", "a", "en", "v1", 5, None)], "op string, source string, lang string, tokenizer_version string, n_tokens long, old_n_tokens long")
+    first, second = (TokenRollup(spark, str(tmp_path / "shared")) for _ in range(2))
+    monkeypatch.setattr(second, "committed", lambda batch_id: False)  # it looked before the first had committed
+    assert first.commit("b1", rows) and not second.commit("b1", rows)
+    assert [tuple(r) for r in first.totals().collect()] == [("a", "en", "v1", 1, 5)]
+
+
+def test_a_lost_writers_batch_can_be_committed_again(spark, tmp_path):
+    rows = spark.createDataFrame([("insert", "a", "en", "v1", 5, None)], "op string, source string, lang string, tokenizer_version string, n_tokens long, old_n_tokens long")
+    rollup = TokenRollup(spark, str(tmp_path / "lost"))
+    assert rollup.totals().count() == 0
+    (tmp_path / "lost" / "_commits").mkdir(parents=True)
+    (tmp_path / "lost" / "_commits" / "b1").touch()
+    assert rollup.totals().count() == 0 and rollup.commit("b1", rows) and not rollup.commit("b1", rows)
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 1, 5)]

@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from codestrata.llm.language_id import Emissions, Field, fit_field, forward_backward, identify_languages, label_texts, word_features
+from codestrata.llm.language_id import Emissions, Field, fit_field, forward_backward, identify_languages, label_texts, training_texts, word_features
 from codestrata.llm.quality import NAMES, Forest, fit_forest, score_quality, statistics
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +101,12 @@ def test_quality_of_held_out_documents(spark, awkward, nothing):
 def test_statistics_of_odd_texts():
     for text in (None, "", " ", "\n\n", "A", "é" * 10, "a b " * 100_000):
         assert np.isfinite(statistics(text)).all() and len(statistics(text)) == len(NAMES)
+
+
+def test_every_labelled_language_is_learned_or_the_limit_is_an_error(spark):
+    rows = [(k, f"w{k % 70}x " * 30 if k % 70 else "rare " * 9000, f"l{k % 70:02}") for k in range(280)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = training_texts(docs, 4, 2, 100, 70, 1000, "doc_id", "text", "lang")
+    assert fit_field(texts, max_words=7000, rounds=2).languages == [f"l{k:02}" for k in range(70)]
+    with pytest.raises(ValueError):
+        identify_languages(docs, max_languages=69)
