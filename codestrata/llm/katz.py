@@ -1,25 +1,29 @@
-"""Language-model scores of whole texts by Katz backoff.
-
-Three tables hold the model: counts of every training token (by word hash), counts of every pair of
-neighbours (in shards of the pair's hash), and what each history needs to back off. Pairs are over at
-most 65,533 frequent words, by a rule on the counts, and one class for all other words: the
-probability of the class after a history is Katz's, and is shared among its words by their own counts,
-one more type standing for all unseen words. So the table of histories has a fixed bound and may be
-sent to every task, while counts of words and of pairs grow with the corpus and never are.
-
-Probabilities are exactly normalised: seen pairs get Good-Turing discounted shares of a history, what
-the discounts leave is spread over the unseen classes in proportion to their own probability.
-
-To score, each task asks for the pairs of a few megabytes of text, each once; a shard returns their counts, and
-the sums by document are made where all answers to such a group of texts meet. No text is shuffled, and what a
-group sends and gets back does not depend on the number of shards.
+"""Language-model scores of whole texts by Katz backoff over pairs of words.
+
+Every pair of every word counts, at every size of the corpus: nothing of the model is broadcast or collected but the
+number of tokens, the number of types and seven counts of counts.
+
+Documents are read and split once, in groups of a few megabytes. A group is one row of a written table: its different
+words, its different pairs with their training counts, and in which documents each pair occurs. All else is an exchange
+of small packed arrays between groups and shards of a table that is cut by hash range:
+
+1. Words: shards add up the training counts of each word and return the totals.
+2. Pairs: shards add up the training counts of each pair, return the totals, and tell one of the groups that the
+   pair is its own; counts of counts give the Good-Turing discounts.
+3. Histories: each group sums over its own pairs what a history needs to be normalised: its count, how many of its pairs are
+   rare, and the counts of the words that follow it. Shards add these up, whole numbers all, and return the history's
+   scale and backoff weight.
+4. Each group evaluates its tokens: the pair if training has it, else the backoff weight times the word, else times the
+   one type that stands for all unseen words. Seen pairs get discounted shares; what discounts leave is spread
+   over all other words, so probabilities of every history sum to one exactly.
+
+A word, pair or history is sent once by a group, however often it occurs there, so a hot one is one entry per group. The
+number of shards follows the number of entries. Words are known by 64-bit hashes, pairs by 64-bit mixtures of two.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +32,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, in_fold, written
-from .packed import pack, pack_sorted, unpack, unpack_sorted
+from .common import col, given_back, in_fold, written
+from .packed import pack, pack_bits, pack_sorted, unpack, unpack_bits, unpack_sorted
 from .tokenizing import together
 
-#: Word ids of pairs: 0 is the class of all words that are not frequent, 1 the end of a text.
-OTHER, END, START, MOST_FREQUENT = 0, 1, 65_535, 65_533
-#: Stands for the end of a text among word hashes.
-END_HASH = -1
-SHARD_TOKENS, GROUP_BYTES, HELD, REMEMBERED = 4_000_000, 8 << 20, 3_000_000, 250_000
+#: Stand for the end and the start of a text among word hashes.
+END_HASH, START_HASH = np.uint64(2**64 - 1), np.uint64(2**64 - 2)
+#: Entries sent to a shard, bytes of text in a group, words whose hash a task remembers.
+SHARD_ENTRIES, GROUP_BYTES, REMEMBERED = 1_000_000, 8 << 20, 250_000
 #: Counts above this are not discounted.
 RELIABLE = 5
 
+GROUPS = pa.schema(
+    [(c, pa.int64()) for c in ("grp", "n_words", "n_pairs")]
+    + [(c, pa.binary()) for c in ("words", "word_counts", "history", "word", "pair_counts", "times", "doc")]
+    + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))]
+)
+GROUPS_SQL = (
+    "grp long, n_words long, n_pairs long, words binary, word_counts binary, history binary, word binary, pair_counts binary, times binary, doc binary, "
+    "ids array<long>, held array<boolean>, sizes array<long>"
+)
+#: What a group sends to a shard: sorted keys and packed arrays that go with them.
+SENT = pa.schema([("shard", pa.int64()), ("grp", pa.int64()), ("keys", pa.binary()), ("values", pa.list_(pa.binary()))])
+SENT_SQL = "shard long, grp long, keys binary, values array<binary>"
+#: What comes back, in the order of the keys; ``sums`` has figures of the whole shard, in one of its rows.
+BACK = pa.schema([("grp", pa.int64()), ("step", pa.int64()), ("shard", pa.int64()), ("values", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
+BACK_SQL = "grp long, step long, shard long, values array<binary>, sums array<long>"
+WORDS, PAIRS, HISTORIES = 0, 1, 2
+
 
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -49,94 +69,25 @@ class Hashes(dict):
         return h
 
 
-class Ids(dict):
-    """word -> its id in pairs."""
-
-    def __init__(self, frequent: dict[int, int]):
-        self.frequent = frequent
-
-    def __missing__(self, word: bytes) -> int:
-        i = self.frequent.get(xxhash.xxh3_64_intdigest(word), OTHER)
-        if len(self) < REMEMBERED:
-            self[word] = i
-        return i
-
-
 def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def pairs_of(texts: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
-    """(history << 16 | word) of every token of the texts, ends included, and the text of each."""
-    split = [words_of(t) for t in texts]
-    sizes = np.array([len(w) + 1 for w in split], np.int64)
-    ends = np.cumsum(sizes)
-    word = np.full(ends[-1] if len(ends) else 0, END, np.uint32)
-    inside = np.ones(len(word), bool)
-    inside[ends - 1] = False
-    word[inside] = np.fromiter((i for w in split for i in map(ids.__getitem__, w)), np.uint32, int(inside.sum()))
-    history = np.empty_like(word)
-    history[1:] = word[:-1]
-    history[ends - sizes] = START
-    return history << 16 | word, np.repeat(np.arange(len(texts)), sizes)
-
-
-def shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
-    mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-    return (mixed * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return unique, np.bincount(place, np.concatenate(counts), len(unique)).astype(np.int64)
-
-
-def _counted(arrays: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Different keys with their counts, added up within a task as far as memory allows."""
-    keys, counts = [], []
-    for a in arrays:
-        k, c = np.unique(a, return_counts=True)
-        keys.append(k)
-        counts.append(c)
-        if sum(map(len, keys)) > HELD:
-            k, c = _summed(keys, counts)
-            keys, counts = [k], [c]
-            if len(k) > HELD // 2:
-                yield k, c
-                keys, counts = [], []
-    if keys:
-        yield _summed(keys, counts)
-
-
-def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[str]]:
-    for batch in batches:
-        yield from together(batch.column(column), GROUP_BYTES)
-
-
-@dataclass
-class Model:
-    frequent: dict[int, int]  # word hash -> id
-    counts: np.ndarray  # of each id; of the class, all its words together
-    tokens: int
-    types: int
-    other_types: int
-    shards: int
-    discounts: np.ndarray | None = None  # of counts up to RELIABLE
-    scale: np.ndarray | None = None  # of each history: log10 of what a seen pair's discounted count is multiplied with
-    alpha: np.ndarray | None = None  # of each history: log10 of its backoff weight
-
-    @property
-    def unigram(self) -> np.ndarray:
-        return (self.counts + 1) / (self.counts.sum() + len(self.counts))
-
-    def discounted(self, r: np.ndarray) -> np.ndarray:
-        return np.where(r <= RELIABLE, r * self.discounts[np.minimum(r, RELIABLE)], r)
-
-    def log_probabilities(self, pairs: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """log10 of each pair's class probability; r: its training count. An unseen pair backs off to the word alone."""
-        history, word = pairs >> 16, pairs & 0xFFFF
-        seen = np.log10(np.maximum(self.discounted(r), 1e-300)) + self.scale[history]
-        return np.where(r > 0, seen, self.alpha[history] + np.log10(self.unigram)[word])
+def mixed(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each pair of word hashes."""
+    x = history * np.uint64(0x9E3779B97F4A7C15) + word
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def shards_of(keys: np.ndarray, shards: int) -> list[tuple[int, slice]]:
+    """The shards on which sorted keys fall and where; shards are equal ranges of keys."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]).tolist()
+    return [(int(shard[a]), slice(a, b)) for a, b in zip(edges, edges[1:]) if a < b]
 
 
 def good_turing(n: np.ndarray) -> np.ndarray:
@@ -152,106 +103,174 @@ def good_turing(n: np.ndarray) -> np.ndarray:
     return d
 
 
-def backoff(model: Model, history: np.ndarray, count: np.ndarray, mass: np.ndarray, seen: np.ndarray) -> None:
-    """Set scale and alpha from each history's count, discounted mass of seen pairs and unigram mass of their words."""
-    model.scale, model.alpha = np.zeros(START + 1), np.zeros(START + 1)
-    unseen = 1 - seen
-    scale = 1 / count
+def backoff(count: np.ndarray, rare: list[np.ndarray], seen: np.ndarray, discounts: np.ndarray, mass_of_all: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each history: what a seen pair's discounted count is multiplied with, and its backoff weight.
+
+    count: its training tokens; rare[r - 1]: its pairs of count r; seen: add-one counts of the words that follow it,
+    of ``mass_of_all``, which has one more for unseen words, so that some mass is always left. A history
+    without training tokens backs off whole.
+    """
+    mass = count - sum(r * (1 - discounts[r]) * n for r, n in enumerate(rare, 1))
+    scale = 1 / np.maximum(count, 1)
     full = mass * scale > 1 - 1e-9  # no count was discounted: leave what one more count would have got
     scale = np.where(full, 1 / (count + 1), scale)
-    none = unseen < 1e-12  # every class was seen
-    scale = np.where(none, 1 / mass, scale)
-    model.scale[history] = np.log10(scale)
-    model.alpha[history] = np.log10(np.where(none, 1.0, (1 - mass * scale) / np.where(none, 1.0, unseen)))
+    return scale, (1 - mass * scale) * mass_of_all / (mass_of_all - seen)
+
+
+class Group:
+    """What a row of the table of groups says of its words and pairs."""
 
+    def __init__(self, row: dict):
+        self.words = unpack_sorted(row["words"])
+        self.history, self.word = (f(row[c]).astype(np.int64) for f, c in ((unpack_sorted, "history"), (unpack, "word")))
+        self.counts = unpack(row["pair_counts"]).astype(np.int64)
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """text -> (hash, count) of every word and of the ends of texts."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of the pairs, and the pair of each."""
+        keys = mixed(self.words[self.history], self.words[self.word])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+    def totals(self, back: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Training counts of words and of pairs, and which pairs are this group's own."""
+        words, pairs = (_of(back, step) for step in (WORDS, PAIRS))
+        _, order = self.pairs()
+        total, own = np.empty(len(order), np.int64), np.empty(len(order), bool)
+        total[order] = np.concatenate([unpack(v[0]) for v in pairs]).astype(np.int64)
+        own[order] = np.concatenate([unpack_bits(v[1]) for v in pairs])
+        return np.concatenate([unpack(v[0]) for v in words]).astype(np.int64), total, own
 
-        def groups() -> Iterator[np.ndarray]:
-            for group in _texts(batches):
-                split = [words_of(t) for t in group]
-                own = np.fromiter((h for w in split for h in map(hashes.__getitem__, w)), np.uint64, sum(map(len, split))).view(np.int64)
-                yield np.concatenate([own, np.full(len(group), END_HASH)])
 
-        for k, c in _counted(groups()):
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["hash", "count"])
+def _of(back: list[dict], step: int) -> list[list[bytes]]:
+    return [r["values"] for r in sorted((r for r in back if r["step"] == step), key=lambda r: r["shard"])]
 
-    return texts.mapInArrow(count, "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count"))
 
+def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
-def pair_counts(texts: DataFrame, model: Model) -> DataFrame:
-    """text -> one row per shard: its pairs and their counts."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(shared.value.frequent)
-        for pairs, counts in _counted(pairs_of(group, ids)[0] for group in _texts(batches)):
-            shard = shard_of(pairs, model_shards)
-            order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(model_shards + 1))
-            rows = [(k, pack_sorted(pairs[order[a:b]]), pack(counts[order[a:b]])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["shard", "pairs", "counts"])
+def read_groups(docs: DataFrame) -> DataFrame:
+    """(id, held, text) -> the table of groups, in one pass over the texts."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, made = Hashes(), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            at = 0
+            for texts in together(batch.column(2), GROUP_BYTES):
+                ids, held = (batch.column(c).slice(at, len(texts)).to_pylist() for c in (0, 1))
+                at += len(texts)
+                split = [words_of(t) for t in texts]
+                sizes = np.fromiter((len(w) + 1 for w in split), np.int64, len(split))
+                ends = np.cumsum(sizes)
+                token = np.full(ends[-1] + 1, END_HASH, np.uint64)
+                token[-1] = START_HASH
+                inside = np.ones(len(token), bool)
+                inside[ends - 1] = inside[-1] = False
+                token[inside] = np.fromiter((h for w in split for h in map(hashes.__getitem__, w)), np.uint64, int(ends[-1]) - len(split))
+                del split
+                words, place = np.unique(token, return_inverse=True)
+                word, history = place[:-1], np.empty(len(place) - 1, np.int64)
+                history[1:] = word[:-1]
+                history[ends - sizes] = place[-1]
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                learned = ~np.array(held, bool)[doc]
+                key = history * len(words) + word
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                pair = key[starts]
+                row = (
+                    made, len(words), len(pair), pack_sorted(words), pack(np.bincount(word[learned], minlength=len(words))), pack_sorted(pair // len(words)), pack(pair % len(words)),
+                    pack(np.add.reduceat(learned[order].astype(np.int64), starts)), pack(np.diff(starts, append=len(key))), pack(doc[order]), ids, held, sizes.tolist(),
+                )
+                made += 1
+                yield from _table(GROUPS, [row]).to_batches()
+        given_back()
+
+    return docs.mapInArrow(read, GROUPS_SQL)
+
+
+def sent_words(groups: DataFrame, shards: int) -> DataFrame:
+    """Each group's words and their training counts, cut by shard."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, counts = unpack_sorted(r["words"]), unpack(r["word_counts"])
+                yield from _table(SENT, [(s, r["grp"], pack_sorted(keys[x]), [pack(counts[x])]) for s, x in shards_of(keys, shards)]).to_batches()
+
+    return groups.select("grp", "words", "word_counts").mapInArrow(send, SENT_SQL)
 
-    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+
+def sent_pairs(groups: DataFrame, shards: int) -> DataFrame:
+    """Each group's pairs and their training counts, cut by shard."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                group = Group(r)
+                keys, order = group.pairs()
+                counts = group.counts[order]
+                yield from _table(SENT, [(s, r["grp"], pack_sorted(keys[x]), [pack(counts[x])]) for s, x in shards_of(keys, shards)]).to_batches()
+
+    return groups.select("grp", "words", "history", "word", "pair_counts").mapInArrow(send, SENT_SQL)
+
+
+def added_up(sent: DataFrame, step: int) -> DataFrame:
+    """Training counts of each key over all groups; ``sums``: tokens, types and counts of counts of the shard."""
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        own = sorted(rows.to_pylist(), key=lambda r: r["grp"])
+        keys, counts = [unpack_sorted(r["keys"]) for r in own], np.concatenate([unpack(r["values"][0]) for r in own]).astype(np.int64)
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        total = np.bincount(place, counts, len(first)).astype(np.int64)
+        owned = np.zeros(len(place), bool)
+        owned[first] = True
+        sums = [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(total, RELIABLE + 2), minlength=RELIABLE + 3).tolist()]
+        back = [[pack(t), pack_bits(o)] for t, o in zip(np.split(total[place], ends), np.split(owned, ends))]
+        return _table(BACK, [(r["grp"], step, key[0].as_py(), b, None if k else sums) for k, (r, b) in enumerate(zip(own, back))])
+
+    return sent.groupBy("shard").applyInArrow(add, BACK_SQL)
+
+
+def _sums(back: DataFrame) -> list[int]:
+    """The figures of all shards together: one row."""
+    n = RELIABLE + 5
+    return list(back.agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)).alias(f"s{k}") for k in range(n)]).first())
+
+
+def weighed_histories(groups: DataFrame, back: DataFrame, shards: int, discounts: np.ndarray, mass_of_all: int) -> DataFrame:
+    """Scale and backoff weight of the histories of each group."""
+
+    def send(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        group = Group(rows.to_pylist()[0])
+        word_totals, totals, own = group.totals(answers.to_pylist())
+        places, at = np.unique(group.history, return_inverse=True)
+        whole = lambda of, weights=None: np.bincount(at[of], None if weights is None else weights[of], len(places)).astype(np.int64)
+        trained = own & (totals > 0)
+        values = [whole(slice(None), group.counts), whole(trained, word_totals[group.word] + 1), *(whole(own & (totals == r)) for r in range(1, RELIABLE + 1))]
+        keys = group.words[places]
+        return _table(SENT, [(s, key[0].as_py(), pack_sorted(keys[x]), [pack(v[x]) for v in values]) for s, x in shards_of(keys, shards)])
+
+    def weigh(key: tuple, rows: pa.Table) -> pa.Table:
         own = rows.to_pylist()
-        pairs, counts = _summed([unpack_sorted(r["pairs"]) for r in own], [unpack(r["counts"]) for r in own])
-        return pa.table({"shard": [key[0].as_py()], "pairs": [pack_sorted(pairs)], "counts": [pack(counts)]})
-
-    model_shards = model.shards
-    return texts.mapInArrow(count, "shard long, pairs binary, counts binary").groupBy("shard").applyInArrow(merge, "shard long, pairs binary, counts binary")
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for row in batch.select(["pairs", "counts"]).to_pylist():
-            yield unpack_sorted(row["pairs"]).astype(np.int64), unpack(row["counts"]).astype(np.int64)
-
-
-def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, its table of word counts and its table of pair counts."""
-    words = written(word_counts(texts))
-    level = F.floor(10 * F.log2("count")).cast("int")
-    by_level = words.filter(F.col("hash") != END_HASH).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()  # a few hundred rows
-    room, lowest = MOST_FREQUENT - 1, None
-    for r in sorted(by_level, key=lambda r: -r["level"]):
-        room -= r["n"]
-        if room < 0:
-            break
-        lowest = r["level"]
-    total = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("hash") == END_HASH, F.col("count"))), F.lit(0))).first()
-    frequent = words.filter((F.col("hash") != END_HASH) & (level >= lowest)).collect() if lowest is not None else []  # MOST_FREQUENT rows at most
-    frequent.sort(key=lambda r: (-r["count"], r["hash"]))
-    counts = np.array([0, total[2], *(r["count"] for r in frequent)], np.int64)
-    counts[OTHER] = total[0] - counts.sum()
-    model = Model({r["hash"] % (1 << 64): i + 2 for i, r in enumerate(frequent)}, counts, total[0], total[1], total[1] - len(frequent) - (total[2] > 0), 1 + total[0] // SHARD_TOKENS)
-    pairs = written(pair_counts(texts, model))
-
-    def spectrum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum((np.bincount(np.minimum(c, RELIABLE + 2), minlength=RELIABLE + 3) for _, c in _shards(batches)), np.zeros(RELIABLE + 3, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RELIABLE + 2)), pa.array(n[: RELIABLE + 2])], names=["r", "n"])
-
-    n = np.zeros(RELIABLE + 2, np.int64)
-    for r in pairs.mapInArrow(spectrum, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect():
-        n[r["r"]] = r["n"]
-    model.discounts = good_turing(n)
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-
-    def histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigram = shared.value.unigram
-        for p, c in _shards(batches):
-            history, place = np.unique(p >> 16, return_inverse=True)
-            sums = [np.bincount(place, x, len(history)) for x in (c, shared.value.discounted(c), unigram[p & 0xFFFF])]
-            yield pa.RecordBatch.from_arrays([pa.array(history), *map(pa.array, sums)], names=["history", "count", "mass", "seen"])
-
-    sums = pairs.mapInArrow(histories, "history long, count double, mass double, seen double").groupBy("history").agg(*[F.sum(c).alias(c) for c in ("count", "mass", "seen")])
-    rows = sums.toArrow()  # one row per history: 65,536 at most
-    backoff(model, *(rows.column(c).to_numpy() for c in ("history", "count", "mass", "seen")))
-    return model, words, pairs
+        keys = [unpack_sorted(r["keys"]) for r in own]
+        unique, place = np.unique(np.concatenate(keys), return_inverse=True)
+        count, seen, *rare = (_added(place, np.concatenate([unpack(r["values"][k]) for r in own]), len(unique)) for k in range(RELIABLE + 2))
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        scale, alpha = (np.split(np.log10(x)[place], ends) for x in backoff(count, rare, seen, discounts, mass_of_all))
+        return _table(BACK, [(r["grp"], HISTORIES, key[0].as_py(), [s.tobytes(), a.tobytes()], None) for r, s, a in zip(own, scale, alpha)])
+
+    known = groups.select("grp", "words", "history", "word", "pair_counts").groupBy("grp").cogroup(back.select("grp", "step", "shard", "values").groupBy("grp"))
+    return known.applyInArrow(send, SENT_SQL).groupBy("shard").applyInArrow(weigh, BACK_SQL)
+
+
+def _added(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers by place, exact whatever their size."""
+    total = np.zeros(n, np.int64)
+    np.add.at(total, place, values.astype(np.int64))
+    return total
 
 
 def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,104 +280,38 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, id_col: s
     model learns from all documents but the held-out fold, crc32(id) mod ``modulus`` = ``remainder``.
     ``score`` is the log10 probability of the text, ``base_score`` that of add-one unigrams. Null text counts as
     empty: its one token is the end. Ids are integers; a null id is not held out. Repeated rows count in training as
-    often as they come and get equal rows. With no training text every probability is that of
+    often as they come and each get a row. With no training text every probability is that of
     one unseen type. An empty table gives an empty result. Other columns are ignored.
     """
-    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    model, words, pairs = train(docs.filter(~in_fold(col(id_col), modulus, remainder)).select(text.alias("text")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    keyed = docs.select(col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, list[str]]]:
-        for batch in batches:
-            at = 0
-            for group in together(batch.column(2), GROUP_BYTES):
-                yield batch.column(0).slice(at, len(group)), batch.column(1).slice(at, len(group)), group
-                at += len(group)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each group of texts: a row for each shard with the group's pairs in it, and a row (of no shard) that
-        says how often each of these pairs occurs and in which documents."""
-        ids, part, made = Ids(shared.value.frequent), TaskContext.get().partitionId() << 32, 0
-        for doc_ids, ties, group in groups(batches):
-            found, doc = pairs_of(group, ids)
-            if not len(found):
-                continue
-            shard = shard_of(found, shared.value.shards)
-            order = np.lexsort((doc, found, shard))
-            found, shard = found[order], shard[order]
-            new = np.ones(len(found), bool)
-            new[1:] = found[1:] != found[:-1]
-            starts = np.flatnonzero(new)
-            pairs_here, shards_here = found[starts], shard[starts]
-            edges = np.searchsorted(shards_here, np.arange(shared.value.shards + 1))
-            rows = [(part + made, k, pack_sorted(pairs_here[x:y]), None, None, None, None) for k, (x, y) in enumerate(zip(edges, edges[1:])) if x < y]
-            rows.append((part + made, None, None, pack(np.diff(starts, append=len(found))), pack(doc[order]), doc_ids.to_pylist(), ties.to_pylist()))
-            made += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), ASKED.types)], schema=ASKED)
-
-    def answer(key: tuple, asked: pa.Table, table: pa.Table) -> pa.Table:
-        known, counts = next(_shards(iter(table.to_batches())), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-        out = []
-        for r in asked.to_pylist():
-            found = unpack_sorted(r["pairs"]).astype(np.int64)
-            at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
-            out.append(pack(np.where(known[at] == found, counts[at], 0) if len(known) else np.zeros(len(found), np.int64)))
-        return pa.table({"grp": asked["grp"], "shard": asked["shard"], "pairs": asked["pairs"], "counts": pa.array(out, pa.binary())})
-
-    def add_up(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
-        own, parts = own.to_pylist()[0], sorted(answers.to_pylist(), key=lambda r: r["shard"])
-        found, counts = (np.concatenate([f(r[c]) for r in parts]).astype(np.int64) for f, c in ((unpack_sorted, "pairs"), (unpack, "counts")))
-        logs = np.repeat(shared.value.log_probabilities(found, counts), unpack(own["times"]).astype(np.int64))
-        score = np.bincount(unpack(own["docs"]).astype(np.int64), logs, len(own["ids"]))
-        return pa.table({"id": pa.array(own["ids"], pa.int64()), "tie": pa.array(own["ties"], pa.int64()), "score": pa.array(score)})
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of sums over its frequent tokens for each document, and one for each of its other words."""
-        m, hashes = shared.value, Hashes()
-        base = np.log10((m.counts + 1) / (m.tokens + m.types + 1))
-        ids = Ids(m.frequent)
-        for doc_ids, ties, group in groups(batches):
-            split = [words_of(t) for t in group]
-            sizes = np.array([len(w) for w in split], np.int64)
-            at = np.fromiter((i for w in split for i in map(ids.__getitem__, w)), np.int64, int(sizes.sum()))
-            doc = np.repeat(np.arange(len(group)), sizes)
-            common, n = at != OTHER, len(group)
-            words = chain.from_iterable(split)
-            rare = np.fromiter((hashes[w] for w in compress(words, ~common)), np.uint64, int((~common).sum())).view(np.int64)
-            order = np.lexsort((rare, doc[~common]))
-            rare, owner = rare[order], doc[~common][order]
-            new = np.ones(len(rare), bool)
-            new[1:] = (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])
-            first = np.flatnonzero(new)
-            known = np.bincount(doc[common], m.counts[at[common]] > 0, n).astype(np.int64) + int(m.counts[END] > 0)
-            score = np.bincount(doc[common], base[at[common]], n) + base[END]
-            none = np.zeros(len(first), np.int64)
-            rows = pa.array(np.concatenate([np.arange(n), owner[first]]))
-            columns = [np.concatenate(x) for x in ((np.zeros(n, np.int64), rare[first]), (np.zeros(n, np.int64), np.diff(first, append=len(rare))), (sizes + 1, none), (known, none), (score, none.astype(np.float64)))]
-            if n:
-                yield pa.RecordBatch.from_arrays([doc_ids.take(rows), ties.take(rows), *map(pa.array, columns)], names=["id", "tie", "hash", "times", "tokens", "known", "base"])
-
-    described = keyed.mapInArrow(describe, "id long, tie long, hash long, times long, tokens long, known long, base double").join(words, "hash", "left")
-    c, n = F.coalesce("count", F.lit(0)), F.col("times")
-    own = described.select(
-        "id", "tie", (F.col("tokens") > 0).cast("long").alias("copies"), "tokens", (F.col("known") + F.when(c > 0, n).otherwise(0)).alias("known"),
-        (F.col("base") + n * F.log10((c + 1) / F.lit(float(model.tokens + model.types + 1)))).alias("base"),
-        (n * F.log10((c + 1) / F.lit(float(int(model.counts[OTHER]) + model.other_types + 1)))).alias("score"),
-    )
-    asked = written(keyed.mapInArrow(ask, "grp long, shard long, pairs binary, times binary, docs binary, ids array<long>, ties array<long>"))
-    wanted = asked.filter("shard IS NOT NULL").select("grp", "shard", "pairs")
-    counted = wanted.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(answer, "grp long, shard long, pairs binary, counts binary")
-    whose = asked.filter("shard IS NULL").select("grp", "times", "docs", "ids", "ties")
-    answered = whose.groupBy("grp").cogroup(counted.groupBy("grp")).applyInArrow(add_up, "id long, tie long, score double")
-    zero = F.lit(0).cast("long")
-    every = own.unionByName(answered.select("id", "tie", zero.alias("copies"), zero.alias("tokens"), zero.alias("known"), F.lit(0.0).alias("base"), "score"))
-    sums = every.groupBy("id", "tie").agg(*[F.sum(x).alias(x) for x in ("copies", "tokens", "known", "base", "score")])
-    each = lambda x: (F.col(x) / F.col("copies")).cast("long")  # noqa: E731  whole, as equal rows have equal sums
-    return sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
-        F.col("id").alias(id_col), in_fold(F.col("id"), modulus, remainder).alias("held_out"), each("tokens").alias("n_tokens"), each("known").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"),
-    )
-
-
-ASKED = pa.schema([(c, pa.int64()) for c in ("grp", "shard")] + [(c, pa.binary()) for c in ("pairs", "times", "docs")] + [(c, pa.list_(pa.int64())) for c in ("ids", "ties")])
+    keyed = docs.select(col(id_col).cast("long").alias("id"), in_fold(col(id_col), modulus, remainder).alias("held"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    groups = written(read_groups(keyed))
+    n_words, n_pairs = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_pairs")]).first()
+    word_shards, pair_shards = 1 + n_words // SHARD_ENTRIES, 1 + n_pairs // SHARD_ENTRIES
+    words = written(added_up(sent_words(groups, word_shards), WORDS))
+    tokens, types, *_ = _sums(words)
+    pairs = written(added_up(sent_pairs(groups, pair_shards), PAIRS))
+    discounts, mass_of_all = good_turing(np.array([0, *_sums(pairs)[3 : RELIABLE + 4]])), tokens + types + 1
+    counted = words.unionByName(pairs)
+    histories = weighed_histories(groups, counted, word_shards, discounts, mass_of_all)
+
+    def score(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        row, back = rows.to_pylist()[0], answers.to_pylist()
+        group = Group(row)
+        word_totals, totals, _ = group.totals(back)
+        base = np.log10((word_totals + 1) / mass_of_all)
+        scale, alpha = (np.concatenate([np.frombuffer(v[k]) for v in _of(back, HISTORIES)]) for k in (0, 1))
+        _, at = np.unique(group.history, return_inverse=True)
+        discounted = np.where(totals <= RELIABLE, totals * discounts[np.minimum(totals, RELIABLE)], totals)
+        log = np.where(totals > 0, np.log10(np.maximum(discounted, 1e-300)) + scale[at], alpha[at] + base[group.word])
+        times, doc, n = unpack(row["times"]).astype(np.int64), unpack(row["doc"]).astype(np.int64), len(row["ids"])
+        by_doc = lambda x: np.bincount(doc, np.repeat(x, times), n)
+        known = by_doc(word_totals[group.word] > 0).astype(np.int64)
+        return pa.table({
+            "id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(row["sizes"], pa.int64()), "n_known": pa.array(known),
+            "train_tokens": pa.array(np.full(n, tokens, np.int64)), "base_score": pa.array(by_doc(base[group.word])), "score": pa.array(by_doc(log)),
+        })
+
+    back = counted.unionByName(histories).select("grp", "step", "shard", "values")
+    whole = groups.drop("n_words", "n_pairs", "word_counts").groupBy("grp").cogroup(back.groupBy("grp"))
+    scored = whole.applyInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumnRenamed("id", id_col)

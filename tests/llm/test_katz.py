@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from codestrata.llm.katz import RELIABLE, good_turing, score_texts, train
+from codestrata.llm import katz
+from codestrata.llm.katz import RELIABLE, backoff, good_turing, score_texts
 
 
 def words_of(text):
@@ -13,7 +14,7 @@ def words_of(text):
 
 
 def brute(docs):
-    """Word for word: base score, known tokens and Katz score of each document, for fewer types than the model holds apart."""
+    """Word for word: base score, known tokens and Katz score of each document."""
     split = [(k, words_of(t)) for k, t in docs]
     held = {k for k, _ in split if k is not None and zlib.crc32(str(k).encode()) % 7 == 2}
     train_docs = [w for k, w in split if k not in held]
@@ -38,7 +39,6 @@ def brute(docs):
         base = score = 0.0
         for a, b in zip([0, *w], [*w, None]):
             base += math.log10((uni[b] + 1) / (n + v + 1))
-            a = a if a == 0 or a in uni else "other"
             scale, alpha = state.get(a, (1, 1))
             r = pair[(a, b)]
             score += math.log10(r * (d[r] if r <= RELIABLE else 1) * scale if r else alpha * p1.get(b, p1_other))
@@ -75,18 +75,25 @@ def test_no_training_text(spark):
     assert r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"])
 
 
-def test_probabilities_sum_to_one(documents):
-    model, _, pairs = train(documents.select(F.coalesce("text", F.lit("")).alias("text")))
-    from codestrata.llm.katz import _shards
+def test_many_shards_and_groups(documents, monkeypatch):
+    monkeypatch.setattr(katz, "SHARD_ENTRIES", 500)
+    monkeypatch.setattr(katz, "GROUP_BYTES", 20_000)
+    some = documents.filter(F.octet_length("text") < 1500)
+    compare(score_texts(some), [tuple(r) for r in some.select("doc_id", "text").collect()])
+
 
-    counts = {}
-    for batch in pairs.toArrow().to_batches():
-        for p, c in _shards(iter([batch])):
-            counts |= dict(zip(p.tolist(), c.tolist()))
-    for history in [0, 1, 2, 3, 50, 65_535]:
-        own = (history << 16) + np.arange(len(model.counts))
-        logs = model.log_probabilities(own, np.array([counts.get(int(p), 0) for p in own]))
-        assert abs((10.0**logs).sum() - 1) < 1e-9
+def test_probabilities_of_a_history_sum_to_one():
+    rng = np.random.default_rng(5)
+    for discounts in (np.ones(RELIABLE + 1), np.array([1, 0.4, 0.6, 0.8, 0.9, 0.95])):
+        types = rng.integers(1, 50, 300)
+        for followers in (1, 7, 300):
+            r = rng.integers(1, 12, followers)
+            seen = rng.choice(300, followers, replace=False)
+            whole = int(types.sum()) + 300 + 1
+            (scale,), (alpha,) = backoff(np.array([r.sum()]), [np.array([(r == k).sum()]) for k in range(1, RELIABLE + 1)], np.array([(types[seen] + 1).sum()]), discounts, whole)
+            share = alpha * np.append(types + 1, 1) / whole
+            share[seen] = np.where(r <= RELIABLE, r * discounts[np.minimum(r, RELIABLE)], r) * scale
+            assert (share > 0).all() and abs(share.sum() - 1) < 1e-12
 
 
 def test_better_than_unigrams_on_held_out_text(documents):
