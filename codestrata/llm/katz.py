@@ -3,7 +3,7 @@
 Every pair of every word counts, at every size of the corpus: nothing of the model is broadcast or collected but the
 number of tokens, the number of types and seven counts of counts.
 
-Documents are read and split once, in groups of a few megabytes. A group is one row of a written table: its different
+Documents are read and split once, in groups of some two million tokens. A group is one row of a bucketed table, which is never shuffled: its different
 words, its different pairs with their training counts, and in which documents each pair occurs. All else is an exchange
 of small packed arrays between groups and shards of a table that is cut by hash range:
 
@@ -32,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, given_back, in_fold, written
+from .common import bucketed, col, given_back, in_fold, written
 from .packed import pack, pack_bits, pack_sorted, unpack, unpack_bits, unpack_sorted
 from .tokenizing import together
 
 #: Stand for the end and the start of a text among word hashes.
 END_HASH, START_HASH = np.uint64(2**64 - 1), np.uint64(2**64 - 2)
-#: Entries sent to a shard, bytes of text in a group, words whose hash a task remembers.
-SHARD_ENTRIES, GROUP_BYTES, REMEMBERED = 1_000_000, 8 << 20, 250_000
+#: Entries sent to a shard, tokens of a group of texts, words whose hash a task remembers, bytes of text for each bucket of groups.
+SHARD_ENTRIES, GROUP_TOKENS, REMEMBERED, BUCKET_BYTES = 1_000_000, 2_000_000, 250_000, 64 << 20
 #: Counts above this are not discounted.
 RELIABLE = 5
 
@@ -152,39 +152,47 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 def read_groups(docs: DataFrame) -> DataFrame:
     """(id, held, text) -> the table of groups, in one pass over the texts."""
 
+    def row(number: int, ids: list, held: list, texts: list[np.ndarray]) -> tuple:
+        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        token = np.full(ends[-1] + 1, END_HASH, np.uint64)
+        token[-1] = START_HASH
+        inside = np.ones(len(token), bool)
+        inside[ends - 1] = inside[-1] = False
+        token[inside] = np.concatenate(texts)
+        words, place = np.unique(token, return_inverse=True)
+        word, history = place[:-1], np.empty(len(place) - 1, np.int64)
+        history[1:] = word[:-1]
+        history[ends - sizes] = place[-1]
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        learned = ~np.array(held, bool)[doc]
+        key = history * len(words) + word
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        pair = key[starts]
+        return (
+            number, len(words), len(pair), pack_sorted(words), pack(np.bincount(word[learned], minlength=len(words))), pack_sorted(pair // len(words)), pack(pair % len(words)),
+            pack(np.add.reduceat(learned[order].astype(np.int64), starts)), pack(np.diff(starts, append=len(key))), pack(doc[order]), ids, held, sizes.tolist(),
+        )
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, made = Hashes(), TaskContext.get().partitionId() << 32
+        hashes, number = Hashes(), TaskContext.get().partitionId() << 32
+        ids, held, texts, tokens = [], [], [], 0
         for batch in batches:
-            at = 0
-            for texts in together(batch.column(2), GROUP_BYTES):
-                ids, held = (batch.column(c).slice(at, len(texts)).to_pylist() for c in (0, 1))
-                at += len(texts)
-                split = [words_of(t) for t in texts]
-                sizes = np.fromiter((len(w) + 1 for w in split), np.int64, len(split))
-                ends = np.cumsum(sizes)
-                token = np.full(ends[-1] + 1, END_HASH, np.uint64)
-                token[-1] = START_HASH
-                inside = np.ones(len(token), bool)
-                inside[ends - 1] = inside[-1] = False
-                token[inside] = np.fromiter((h for w in split for h in map(hashes.__getitem__, w)), np.uint64, int(ends[-1]) - len(split))
-                del split
-                words, place = np.unique(token, return_inverse=True)
-                word, history = place[:-1], np.empty(len(place) - 1, np.int64)
-                history[1:] = word[:-1]
-                history[ends - sizes] = place[-1]
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                learned = ~np.array(held, bool)[doc]
-                key = history * len(words) + word
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                pair = key[starts]
-                row = (
-                    made, len(words), len(pair), pack_sorted(words), pack(np.bincount(word[learned], minlength=len(words))), pack_sorted(pair // len(words)), pack(pair % len(words)),
-                    pack(np.add.reduceat(learned[order].astype(np.int64), starts)), pack(np.diff(starts, append=len(key))), pack(doc[order]), ids, held, sizes.tolist(),
-                )
-                made += 1
-                yield from _table(GROUPS, [row]).to_batches()
+            ids_here, held_here, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
+            for some in together(batch.column(2)):
+                for text in some:
+                    split = words_of(text)
+                    texts.append(np.fromiter(map(hashes.__getitem__, split), np.uint64, len(split)))
+                    ids.append(ids_here[at])
+                    held.append(held_here[at])
+                    at, tokens = at + 1, tokens + len(split) + 1
+                    if tokens >= GROUP_TOKENS:
+                        yield from _table(GROUPS, [row(number, ids, held, texts)]).to_batches()
+                        ids, held, texts, tokens, number = [], [], [], 0, number + 1
+        if texts:
+            yield from _table(GROUPS, [row(number, ids, held, texts)]).to_batches()
         given_back()
 
     return docs.mapInArrow(read, GROUPS_SQL)
@@ -259,8 +267,9 @@ def weighed_histories(groups: DataFrame, back: DataFrame, shards: int, discounts
         unique, place = np.unique(np.concatenate(keys), return_inverse=True)
         count, seen, *rare = (_added(place, np.concatenate([unpack(r["values"][k]) for r in own]), len(unique)) for k in range(RELIABLE + 2))
         ends = np.cumsum([len(k) for k in keys])[:-1]
-        scale, alpha = (np.split(np.log10(x)[place], ends) for x in backoff(count, rare, seen, discounts, mass_of_all))
-        return _table(BACK, [(r["grp"], HISTORIES, key[0].as_py(), [s.tobytes(), a.tobytes()], None) for r, s, a in zip(own, scale, alpha)])
+        scale, alpha = backoff(count, rare, seen, discounts, mass_of_all)
+        divisor, alpha = np.rint(1 / scale)[place].astype(np.int64), np.log10(alpha)[place]  # scales are one over whole numbers
+        return _table(BACK, [(r["grp"], HISTORIES, key[0].as_py(), [pack(d), a.tobytes()], None) for r, d, a in zip(own, np.split(divisor, ends), np.split(alpha, ends))])
 
     known = groups.select("grp", "words", "history", "word", "pair_counts").groupBy("grp").cogroup(back.select("grp", "step", "shard", "values").groupBy("grp"))
     return known.applyInArrow(send, SENT_SQL).groupBy("shard").applyInArrow(weigh, BACK_SQL)
@@ -284,7 +293,10 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, id_col: s
     one unseen type. An empty table gives an empty result. Other columns are ignored.
     """
     keyed = docs.select(col(id_col).cast("long").alias("id"), in_fold(col(id_col), modulus, remainder).alias("held"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    groups = written(read_groups(keyed))
+    total = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    conf = docs.sparkSession.conf
+    buckets = min(max(int(conf.get("spark.sql.shuffle.partitions")), 1 + total // BUCKET_BYTES), int(conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    groups = bucketed(read_groups(keyed), "grp", buckets)
     n_words, n_pairs = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_pairs")]).first()
     word_shards, pair_shards = 1 + n_words // SHARD_ENTRIES, 1 + n_pairs // SHARD_ENTRIES
     words = written(added_up(sent_words(groups, word_shards), WORDS))
@@ -299,7 +311,8 @@ def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, id_col: s
         group = Group(row)
         word_totals, totals, _ = group.totals(back)
         base = np.log10((word_totals + 1) / mass_of_all)
-        scale, alpha = (np.concatenate([np.frombuffer(v[k]) for v in _of(back, HISTORIES)]) for k in (0, 1))
+        weights = _of(back, HISTORIES)
+        scale, alpha = -np.log10(np.concatenate([unpack(v[0]) for v in weights])), np.concatenate([np.frombuffer(v[1]) for v in weights])
         _, at = np.unique(group.history, return_inverse=True)
         discounted = np.where(totals <= RELIABLE, totals * discounts[np.minimum(totals, RELIABLE)], totals)
         log = np.where(totals > 0, np.log10(np.maximum(discounted, 1e-300)) + scale[at], alpha[at] + base[group.word])

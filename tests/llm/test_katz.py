@@ -77,7 +77,7 @@ def test_no_training_text(spark):
 
 def test_many_shards_and_groups(documents, monkeypatch):
     monkeypatch.setattr(katz, "SHARD_ENTRIES", 500)
-    monkeypatch.setattr(katz, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(katz, "GROUP_TOKENS", 3_000)
     some = documents.filter(F.octet_length("text") < 1500)
     compare(score_texts(some), [tuple(r) for r in some.select("doc_id", "text").collect()])
 
