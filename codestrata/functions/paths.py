@@ -38,30 +38,35 @@ def folder(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
-def matches_pattern(path: Column, pattern: str) -> Column:
-    """An absolute pattern is a prefix. A relative one is a prefix, a run of whole components, or a glob over
-    the path or one component."""
-    if pattern.startswith("/"):
-        return path.startswith(pattern)
-    glob = re.escape(pattern).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-    run = F.concat(F.lit("/"), path, F.lit("/")).contains("/" + pattern.strip("/") + "/")
-    return path.startswith(pattern) | run | path.rlike(f"^(.*/)?{glob}(/.*)?$" if "/" not in pattern else f"^{glob}$")
+def pattern_regex(patterns: list[str]) -> str:
+    """One regular expression for all patterns. An absolute pattern is a prefix. A relative one is a prefix, a run of
+    whole components, or a glob over the path or one component."""
+    prefixes, runs, globs = [re.escape(p) for p in patterns], [], []
+    for p in patterns:
+        if not p.startswith("/"):
+            glob = re.escape(p).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+            runs.append(re.escape(p.strip("/")))
+            (globs if "/" in p else runs).append(glob)
+    either = lambda xs: "(?:" + "|".join(dict.fromkeys(xs)) + ")"
+    parts = ["^" + either(prefixes)] + [f"(?:^|/){either(runs)}(?:/|$)"] * bool(runs) + [f"^{either(globs)}$"] * bool(globs)
+    return "|".join(parts)
 
 
 def any_pattern(path: Column, patterns: list[str]) -> Column:
-    found = F.lit(False)
-    for p in patterns:
-        found = found | matches_pattern(path, p)
-    return found
+    return path.rlike(pattern_regex(patterns)) if patterns else F.lit(False)
+
+
+def matches_pattern(path: Column, pattern: str) -> Column:
+    return any_pattern(path, [pattern])
 
 
 def ignored(path: Column, allowed: list[str] = (), excluded: list[str] = EXCLUDED, ignore: list[str] = IGNORED) -> Column:
     """Whether a file's folder is left out: by the allow list, then exclusions, then plain substrings. A
     component pattern holds for a folder if it holds for one above it, so the file's own folder decides."""
     where = folder(path)
-    out = any_pattern(where, list(excluded))
-    for s in ignore:
-        out = out | F.concat(where, F.lit("/")).contains(s)
+    inside = [re.escape(s.removesuffix("/")) + ("(?:/|$)" if s.endswith("/") else "") for s in ignore]
+    left_out = "|".join(([pattern_regex(list(excluded))] if excluded else []) + inside)
+    out = where.rlike(left_out) if left_out else F.lit(False)
     return out | ~any_pattern(where, list(allowed)) if allowed else out
 
 

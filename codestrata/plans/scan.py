@@ -61,7 +61,7 @@ def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.text_blocks(_findings(spark, sf_dir)).select("file", "ordinal", F.md5(F.col("block").cast("binary")).alias("digest"), F.length("block").alias("size"))
+    return report.text_blocks(_findings(spark, sf_dir)).select("file", F.col("ordinal").cast("int").alias("ordinal"), F.md5(F.col("block").cast("binary")).alias("digest"), F.length("block").alias("size"))
 
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ s AS (SELECT *, extension IN ({', '.join(map(_quoted, paths.EXTENSIONS))}) AS re
 _LANG = "CASE extension WHEN '.php' THEN 'php' WHEN '.js' THEN 'javascript' WHEN '.py' THEN 'python' WHEN '.java' THEN 'java' WHEN '.go' THEN 'go' WHEN '.rb' THEN 'ruby' ELSE 'unknown' END"
 _JSON = """'{"finding_id":' || to_json(finding_id) || ',"rule_id":' || to_json(rule_id) || ',"type":' || to_json(type) || ',"severity":' || severity || ',"file":' || to_json(file) || ',"line":' || line || ',"column":' || "column" || ',"code":' || to_json(code) || ',"cwe":' || to_json(cwe) || ',"confidence":' || confidence || '}'"""
 _BLOCK = """'[' || ordinal || '] ' || title || chr(10) || '    Severity: ' || upper(name) || chr(10) || '    File: ' || file || ':' || line || ':' || "column" || chr(10) || '    Type: ' || type || chr(10) ||
- '    Rule: ' || rule_id || chr(10) || '    CWE: ' || cwe || chr(10) || '    OWASP: ' || owasp || ' (' || category || ')' || chr(10) || '    Description: ' || description || chr(10) || '    Code: ' || code || chr(10) ||
+ '    Rule: ' || rule_id || chr(10) || '    CWE: ' || cwe || chr(10) || '    OWASP: ' || owasp || ' (' || category || ')' || chr(10) || '    Description: ' || description || CASE WHEN code <> '' THEN chr(10) || '    Code: ' || code ELSE '' END || chr(10) || '    Context:' || chr(10) ||
  '      ' || replace(context, chr(10), chr(10) || '      ') || chr(10) || '    Remediation: ' || remediation || chr(10) || '    Confidence: ' || confidence || '%'"""
 _LEVEL = "CASE WHEN severity IN (2, 3) THEN 'error' WHEN severity = 0 THEN 'note' ELSE 'warning' END"
 _LITERALS = " UNION ALL ".join(f"SELECT path, line_no, text, {s} AS pattern, strlen(split_part(text, {_quoted(p)}, 1)) AS start FROM code_lines WHERE contains(text, {_quoted(p)})" for s, p in enumerate(LITERAL.literals))
@@ -172,7 +172,7 @@ SELECT 'LOCAL-001-' || path || '-' || line_no || '-' || start AS finding_id, pat
     "selected_files": _FILES + f"SELECT path, extension, {_LANG} AS scanner_language, {_LANG} AS parser_language, readable, ignored, ignored_by_list, n_lines::BIGINT AS n_lines, sha256(content) AS sha256 FROM s",
     "scan_stats": FOUND.replace("WITH ", _FILES + ", ", 1).replace(f"{SQL}, every", "every", 1)
     + "SELECT (SELECT count(*) FROM s WHERE readable AND NOT ignored) AS files_scanned, (SELECT count(*) FROM s WHERE NOT readable OR ignored) AS files_skipped, (SELECT sum(n_lines)::BIGINT FROM s WHERE readable AND NOT ignored) AS lines_scanned, (SELECT count(*) FROM found JOIN s ON s.path = file WHERE readable AND NOT ignored) AS findings_total",
-    "report_text": FOUND + f""", r AS (SELECT *, {NAME} AS name, row_number() OVER (PARTITION BY file {_ORDERED}) AS ordinal FROM found), b AS (SELECT file, ordinal, {_BLOCK} AS block FROM r)
+    "report_text": FOUND + f""", r AS (SELECT *, {NAME} AS name, row_number() OVER ({_ORDERED}) AS ordinal FROM found), b AS (SELECT file, ordinal, {_BLOCK} AS block FROM r)
 SELECT file, ordinal::INTEGER AS ordinal, md5(block) AS digest, length(block)::INTEGER AS size FROM b""",
     "report_json": FOUND + f"SELECT finding_id, pattern, {_JSON} AS json FROM found",
     "report_sarif_rules": FOUND + f"""SELECT rule_id, '{{"id":' || to_json(rule_id) || ',"name":' || to_json(title) || ',"shortDescription":{{"text":' || to_json(title) || '}},"fullDescription":{{"text":' || to_json(description)

@@ -1,5 +1,6 @@
 import json
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 from codestrata.functions import paths
 from codestrata.functions.regex import match_offsets, match_spans, portable
 from codestrata.operators import flow, graphs, incremental, match, report, symbols, syntax
-from codestrata.operators.rules import RULES, chosen, parse_severity
+from codestrata.operators.rules import RULES, SEVERITIES, chosen, parse_severity
+from codestrata.scan import scan
 from codestrata.streaming import reanalysis
 
 PHP = """<?php
@@ -59,17 +61,56 @@ def test_findings(files):
     assert (stats["files_scanned"], stats["lines_scanned"], stats["findings_total"]) == (4, 13, len(rows))
 
 
+def whole(folder):
+    """A report's files, one after another."""
+    return "".join(p.read_text() for p in sorted(Path(folder).glob("part-*")))
+
+
 def test_reports(spark, files, tmp_path):
-    found = match.findings(files)
+    found = match.findings(files).withColumn("severity", F.when(F.col("line") > 5, 3).otherwise(1))
+    stats = match.scan_stats(files, found, F.lit(True))
+    n = found.count()
     for kind in ("text", "json", "SARIF", ""):
-        out = str(tmp_path / (kind or "plain"))
-        report.write_report(found, out, kind)
-        lines = [r["value"] for r in spark.read.text(out).collect()]
-        assert lines
-        if kind in ("json", "SARIF"):
-            assert all(json.loads(x) for x in lines)
+        report.write_report(found, stats, str(tmp_path / (kind or "plain")), kind)
+    text = whole(tmp_path / "text")
+    assert text == whole(tmp_path / "plain") and text.startswith("=== Security Scanner Report ===\n\nFiles scanned: 4\n") and "    Context:\n" in text
+    heads = [line for line in text.split("\n") if line.startswith("[")]
+    assert [line.split("]")[0] for line in heads] == [f"[{k + 1}" for k in range(n)]
+    places = [SEVERITIES.index(line.split(": ")[1].lower()) for line in text.split("\n") if line.startswith("    Severity: ")]
+    assert places == sorted(places, reverse=True) and len(set(places)) > 1
+    one = json.loads(whole(tmp_path / "json"))
+    assert len(one["findings"]) == n == one["statistics"]["findings_total"] == sum(one["statistics"]["by_severity"].values())
+    log = json.loads(whole(tmp_path / "SARIF"))
+    (run,) = log["runs"]
+    assert len(run["results"]) == n and {r["id"] for r in run["tool"]["driver"]["rules"]} == {r["ruleId"] for r in run["results"]}
+    nothing = found.limit(0)
+    report.write_report(nothing, match.scan_stats(files, nothing, F.lit(True)), str(tmp_path / "none"))
+    assert whole(tmp_path / "none").endswith(report.NONE_FOUND + "\n")
+    for kind in ("json", "sarif"):
+        report.write_report(nothing, match.scan_stats(files, nothing, F.lit(True)), str(tmp_path / f"none-{kind}"), kind)
+        assert json.loads(whole(tmp_path / f"none-{kind}"))
+    with pytest.raises(ValueError):
+        report.write_report(found, stats, str(tmp_path / "bad"), "xml")
+
+
+def test_scan_of_a_folder(spark, tmp_path):
+    for name, text in (("src/a.php", '$password = "longenough";\n'), ("src/b.php", "echo 1;"), ("vendor/c.php", '$password = "longenough";'), ("src/d.txt", "x"), ("lib/e.php", "echo 1;\n$q;")):
+        p = tmp_path / "in" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    root = str(tmp_path / "in")
+    every = scan(spark, root, ["hardcoded_secrets"])
+    assert [r["file"] for r in every.findings.collect()] == [f"{root}/src/a.php"]
+    row = every.stats.first()
+    assert (row["files_scanned"], row["files_skipped"], row["findings_total"]) == (3, 2, 1)
+    assert every.passes("critical") and not every.passes("high")
+    assert scan(spark, root, disabled=["hardcoded_secrets"]).findings.isEmpty()
+    assert scan(spark, root, allow_dirs=[f"{root}/lib"]).stats.first()["files_scanned"] == 1
+    assert scan(spark, root, exclude_dirs=["src"]).stats.first()["files_scanned"] == 1
+    assert scan(spark, root, max_files=2).stats.first()["files_scanned"] == 2
+    assert scan(spark, root, severity="critical").document().filter(F.col("text").contains(report.NONE_FOUND)).count() == 1
     with pytest.raises(ValueError):
-        report.write_report(found, str(tmp_path / "bad"), "xml")
+        every.document("xml")
 
 
 def test_paths(spark):
