@@ -17,6 +17,28 @@ def use_bindings(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("text").rlike(portable(syntax.USE))).select("path", "line", F.when(alias != "", alias).otherwise(F.regexp_extract(fqn, r"([^\\]+)$", 1)).alias("alias"), F.concat(F.lit("\\"), fqn).alias("fqn"))
 
 
+def resolved_names(lines: DataFrame) -> DataFrame:
+    """path, kind, name, fqn, via: what the names of parents, contracts and called functions stand for in their file.
+
+    A class is what the file's last use of that alias binds it to, else a class of the file's namespace. A function that is
+    written in full stands for itself; else the file's use decides, then a function of that name in the program, then the
+    file's namespace (its first; none is the global one).
+    """
+    own = syntax.classes(lines)
+    classes = own.select("path", F.explode(F.array_compact(F.concat(F.array("extends"), F.coalesce("implements", F.array().cast("array<string>"))))).alias("name"))
+    names = classes.withColumn("kind", F.lit("class")).unionByName(syntax.calls(lines).select("path", "name", F.lit("function").alias("kind"))).distinct()
+    uses = use_bindings(lines).groupBy("path", F.col("alias").alias("name")).agg(F.max_by("fqn", "line").alias("bound"))
+    pattern = portable(syntax.NAMESPACE)
+    spaces = lines.filter(F.col("text").rlike(pattern)).groupBy("path").agg(F.min_by(F.regexp_extract("text", pattern, 1), "line").alias("space"))
+    program = syntax.functions(lines).select("name", F.lit("function").alias("kind")).distinct().withColumn("known", F.lit(True))
+    joined = names.join(uses, ["path", "name"], "left").join(program, ["name", "kind"], "left").join(spaces, "path", "left")
+    whole = (F.col("kind") == "function") & F.col("name").startswith("\\")
+    via = F.when(whole, "name").when(F.col("bound").isNotNull(), "use").when(F.col("known"), "global").otherwise("namespace")
+    local = F.concat(F.lit("\\"), F.coalesce(F.concat("space", F.lit("\\")), F.lit("")), "name")
+    fqn = F.when(whole, F.col("name")).when(F.col("bound").isNotNull(), F.col("bound")).when(F.col("known"), F.concat(F.lit("\\"), "name")).otherwise(local)
+    return joined.select("path", "kind", "name", fqn.alias("fqn"), via.alias("via"))
+
+
 def inheritance(lines: DataFrame) -> DataFrame:
     """path, class, relation, parent, parent_path: resolved against the classes of the program; null path if not among them."""
     own = syntax.classes(lines)

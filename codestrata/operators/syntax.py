@@ -20,6 +20,7 @@ ASSIGNMENT = rf"\${NAME}\s*=\s*(.+);"
 CALL = rf"{NAME}\s*\(([^)]*)\)"
 PRINTED = rf"^\s*(echo|print)\s+([^;]+);"
 USE = r"^\s*use\s+([A-Za-z0-9_\\]+)(?:\s+as\s+([A-Za-z0-9_]+))?\s*;"
+NAMESPACE = r"^\s*namespace\s+([A-Za-z0-9_\\]+)\s*[;{]"
 INCLUDE = r"""^\s*(include|include_once|require|require_once)\s*\(?\s*["']([^"']+)["']"""
 SUPERGLOBALS = r"\$_(GET|POST|REQUEST|COOKIE|FILES|SERVER)"
 CONSTRUCTS = ["if", "for", "foreach", "while", "switch", "catch", "function", "array", "isset", "empty", "list", "return", "echo", "print"]

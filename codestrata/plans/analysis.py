@@ -72,6 +72,10 @@ def use_bindings(spark, sf_dir):
     return graphs.use_bindings(_php(spark, sf_dir))
 
 
+def resolved_names(spark, sf_dir):
+    return graphs.resolved_names(_php(spark, sf_dir))
+
+
 def inheritance(spark, sf_dir):
     return graphs.inheritance(_php(spark, sf_dir))
 
@@ -232,7 +236,7 @@ FINDINGS = " UNION ALL ".join([
 ])
 
 QUERIES = {f.__name__: f for f in (
-    php_functions, php_classes, php_assignments, php_calls, php_last_definitions, tainted_variables, syntax_findings, syntax_summary, syntax_metrics, imports, taint_paths, function_findings, use_bindings, inheritance, call_edges, dependency_edges,
+    php_functions, php_classes, php_assignments, php_calls, php_last_definitions, tainted_variables, syntax_findings, syntax_summary, syntax_metrics, imports, taint_paths, function_findings, use_bindings, resolved_names, inheritance, call_edges, dependency_edges,
     include_edges, dependency_degrees, change_plan, files_to_process, affected_files, index_upsert, cache_validity, cache_eviction, cache_stats, flow_edges, flow_metrics, flow_dot, statement_counts,
 )}
 ORACLES = {
@@ -251,6 +255,14 @@ ORACLES = {
  JOIN (SELECT path, min(line) AS source_line FROM assignments WHERE tainted GROUP BY path) s ON s.path = a.path WHERE a.name IN ({_LIST(syntax.SINKS)})""",
     "function_findings": BASE + "SELECT path, line, seq, name, wanted, 90 AS confidence FROM (SELECT *, unnest(['query', 'mysqli', 'serialize']) AS wanted FROM calls) WHERE contains(name, wanted)",
     "use_bindings": BASE + "SELECT path, line, CASE WHEN alias <> '' THEN alias ELSE regexp_extract(fqn, '([^\\\\]+)$', 1) END AS alias, chr(92) || fqn AS fqn FROM uses",
+    "resolved_names": BASE + f""", n AS (SELECT path, parent AS name, 'class' AS kind FROM parents UNION SELECT path, name, 'function' FROM calls),
+u AS (SELECT path, CASE WHEN alias <> '' THEN alias ELSE regexp_extract(fqn, '([^\\\\]+)$', 1) END AS name, arg_max(chr(92) || fqn, line) AS bound FROM uses GROUP BY ALL),
+sp AS (SELECT path, arg_min(regexp_extract(text, {_rx(syntax.NAMESPACE)}, 1), line) AS space FROM php WHERE regexp_matches(text, {_rx(syntax.NAMESPACE)}) GROUP BY path)
+SELECT n.path, n.kind, n.name,
+ CASE WHEN n.kind = 'function' AND starts_with(n.name, chr(92)) THEN n.name WHEN bound IS NOT NULL THEN bound WHEN n.kind = 'function' AND n.name IN (SELECT name FROM functions) THEN chr(92) || n.name
+  ELSE chr(92) || coalesce(space || chr(92), '') || n.name END AS fqn,
+ CASE WHEN n.kind = 'function' AND starts_with(n.name, chr(92)) THEN 'name' WHEN bound IS NOT NULL THEN 'use' WHEN n.kind = 'function' AND n.name IN (SELECT name FROM functions) THEN 'global' ELSE 'namespace' END AS via
+FROM n LEFT JOIN u ON u.path = n.path AND u.name = n.name LEFT JOIN sp ON sp.path = n.path""",
     "inheritance": BASE + "SELECT * FROM inherits",
     "call_edges": BASE + """SELECT c.path AS caller_path, c.line, c.seq, c.name AS callee, CASE WHEN list_contains(d.paths, c.path) THEN c.path ELSE d.paths[1] END AS callee_path, d.paths IS NOT NULL AS is_direct
 FROM calls c LEFT JOIN (SELECT name, list_sort(list(DISTINCT path)) AS paths FROM functions GROUP BY name) d ON d.name = c.name""",

@@ -66,6 +66,17 @@ def whole(folder):
     return "".join(p.read_text() for p in sorted(Path(folder).glob("part-*")))
 
 
+def test_names_are_resolved(spark):
+    text = "<?php\nnamespace Shop\\Web;\nuse App\\Model as M;\nuse Lib\\send;\nclass A extends M implements Near {\nfunction local($x) {\nsend($x);\nlocal($x);\nelsewhere($x);\n"
+    other = "<?php\nclass B extends M {\n"
+    rows = spark.createDataFrame([("/a.php", "php", text), ("/b.php", "php", other)], "path string, language string, content string")
+    got = {(r["path"], r["kind"], r["name"]): (r["fqn"], r["via"]) for r in graphs.resolved_names(syntax.source_lines(rows, "php")).collect()}
+    assert got["/a.php", "class", "M"] == ("\\App\\Model", "use") and got["/b.php", "class", "M"] == ("\\M", "namespace")
+    assert got["/a.php", "class", "Near"] == ("\\Shop\\Web\\Near", "namespace")
+    assert got["/a.php", "function", "send"] == ("\\Lib\\send", "use") and got["/a.php", "function", "local"] == ("\\local", "global")
+    assert got["/a.php", "function", "elsewhere"] == ("\\Shop\\Web\\elsewhere", "namespace")
+
+
 def test_reports(spark, files, tmp_path):
     found = match.findings(files).withColumn("severity", F.when(F.col("line") > 5, 3).otherwise(1))
     stats = match.scan_stats(files, found, F.lit(True))
