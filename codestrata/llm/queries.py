@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .byte_bpe import ByteBPE
 from .common import ascii_lower, shared_dir, written
 from .exact_dedup import exact_dedup
 from .katz import score_texts
@@ -14,9 +17,11 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import score_quality
+from .spelling import group_variants, words_of
 from .substring_dedup import remove_repeats
 from .token_counts import TokenRollup
 from .top_k import exact_top_k
+from .vector_codes import encode, train
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -146,9 +151,84 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_re
        sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)"""
 
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    bpe = ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
+    return ids.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256")
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = train(vectors)
+    digest = hashlib.sha256(books.text().encode()).hexdigest()
+    coded = written(encode(vectors, books, carry=[F.col("label")]).select("id", "codes", "error", "carried.label"))
+    totals = coded.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "of_label")
+    code = F.lower(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    return coded.join(totals, F.col("label").eqNullSafe(F.col("of_label"))).select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def _assigned(book: str) -> str:
+    """The nearest entry of each part: (r, k, e, d)."""
+    apart = " + ".join(f"(p.c[{i}] - b.c[{i}]) * (p.c[{i}] - b.c[{i}])" for i in range(1, 5))
+    return f"SELECT r, k, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT p.r, p.k, b.e, {apart} AS d FROM parts p JOIN {book} b USING (k)) GROUP BY r, k"
+
+
+_DOWN = lambda i: f"(sum(p.c[{i}]) - ((sum(p.c[{i}]) % count(*)) + count(*)) % count(*)) // count(*)"  # noqa: E731  rounds down, below 0 too
+
+
+def _updated(book: str, assigned: str) -> str:
+    means = ", ".join(f"({_DOWN(i)})::BIGINT" for i in range(1, 5))
+    return f"SELECT b.k, b.e, coalesce(m.c, b.c) AS c FROM {book} b LEFT JOIN (SELECT a.k, a.e, [{means}] AS c FROM {assigned} a JOIN parts p USING (r, k) GROUP BY a.k, a.e) m ON m.k = b.k AND m.e = b.e"
+
+
+#: For vectors of 64 components, so that a part has four.
+OP12_SQL = f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS MATERIALIZED (SELECT r, k, v[4 * k + 1:4 * k + 4] AS c FROM v, (SELECT unnest(range(16)) AS k)),
+b0 AS MATERIALIZED (SELECT k, r - 1 AS e, c FROM parts WHERE r <= 64),
+a0 AS MATERIALIZED ({_assigned("b0")}), b1 AS MATERIALIZED ({_updated("b0", "a0")}),
+a1 AS MATERIALIZED ({_assigned("b1")}), b2 AS MATERIALIZED ({_updated("b1", "a1")}),
+a2 AS MATERIALIZED ({_assigned("b2")}),
+coded AS (SELECT r, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY k) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN coded USING (r), digest"""
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(words_of(table(spark, sf_dir, "documents")))
+
+
+#: crc32 by its table of 256 values, which follow from the polynomial. Words that share a deletion or a gap are compared.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+bytes AS MATERIALIZED (SELECT doc_id, run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+hashed AS (SELECT run, n, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS h FROM bytes, crc),
+words AS MATERIALIZED (SELECT w AS word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS w FROM hashed)
+                       GROUP BY w HAVING length(w) >= 6 AND sum(n) >= 5),
+gaps AS (SELECT word, n, unnest(list_transform(range(length(word)), lambda i: word[1:i] || '_' || word[i + 2:])) AS g FROM words),
+shorter AS (SELECT DISTINCT word, n, replace(g, '_', '') AS g FROM gaps),
+near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b USING (g) WHERE a.word <> b.word
+         UNION SELECT s.word, s.n, w.word, w.n FROM shorter s JOIN words w ON w.word = s.g UNION SELECT w.word, w.n, s.word, s.n FROM shorter s JOIN words w ON w.word = s.g),
+best AS (SELECT word, count(*) AS n_near, arg_max(near, near_n) FILTER (place = 1) AS form, max(near_n) AS form_n
+         FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS place FROM near) GROUP BY word),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.form_n >= 5 * w.n THEN b.form END AS form, CASE WHEN b.form_n >= 5 * w.n THEN b.form_n END AS form_n FROM words w LEFT JOIN best b USING (word)),
+chain AS (SELECT word, word AS at, form AS next FROM formed UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.next)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.at AS root FROM formed f JOIN chain c ON c.word = f.word AND c.next IS NULL"""
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_spelling": op13_spelling,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op4_katz": op4_katz,
@@ -161,6 +241,8 @@ QUERIES = {
 ORACLES = {
     "op2_mixing": OP2_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_spelling": OP13_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_top_k": OP8_SQL,
     "op9_token_counts": OP9_SQL,
