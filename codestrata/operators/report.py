@@ -15,7 +15,7 @@ KEYS = ["severity", "file", "line", "column", "finding_id"]
 NONE_FOUND = "No findings match the specified severity criteria."
 TITLE, BY_SEVERITY, DETAILS = "=== Security Scanner Report ===", "Findings by Severity:", "=== Detailed Findings ==="
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
-SARIF_HEAD = '{"version":"2.1.0","$schema":"' + SARIF_SCHEMA + '","runs":[{"tool":{"driver":{"name":"security-scanner","version":"1.0.0","rules":['
+SARIF_HEAD = '{"version":"2.1.0","$schema":"' + SARIF_SCHEMA + '","runs":[{"tool":{"driver":{"name":"codestrata","version":"1.0.0","rules":['
 
 
 def ordered(rows: DataFrame) -> DataFrame:
