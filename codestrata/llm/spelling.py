@@ -91,7 +91,8 @@ def neighbour_keys(words: list[str], symbols: int) -> Iterator[tuple[np.ndarray,
 
 
 def _keyed(words: DataFrame, symbols: int, near: bool) -> DataFrame:
-    """id, word (null if long), n, key: the keys of the words' neighbourhoods, or of themselves."""
+    """id, word, key: the keys of the words' neighbourhoods, or of themselves. Short words come without an id, long ones without
+    their letters: each key's row is to be small."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,24 +105,26 @@ def _keyed(words: DataFrame, symbols: int, near: bool) -> DataFrame:
                     some = own[a : a + block]
                     of = [texts[k] for k in some]
                     for at, keys in neighbour_keys(of, symbols) if near else [(np.arange(len(of)), own_keys(of, symbols))]:
-                        taken = batch.take(pa.array(some[at]))
-                        word = taken.column("word") if size <= LONG else pa.nulls(len(at), pa.string())
-                        yield pa.RecordBatch.from_arrays([taken.column("id"), word, taken.column("n"), pa.array(keys.view(np.int64))], names=["id", "word", "n", "key"])
+                        taken, short = batch.take(pa.array(some[at])), size <= LONG
+                        word = taken.column("word") if short else pa.nulls(len(at), pa.string())
+                        ids = pa.nulls(len(at), pa.int64()) if short else taken.column("id")
+                        yield pa.RecordBatch.from_arrays([ids, word, pa.array(keys.view(np.int64))], names=["id", "word", "key"])
         given_back()
 
-    return words.select("id", "word", "n").mapInArrow(rows, "id long, word string, n long, key long")
+    return words.select("id", "word").mapInArrow(rows, "id long, word string, key long")
 
 
 def near_pairs(words: DataFrame, symbols: int) -> DataFrame:
-    """id, word, n, near_id, near, near_n: every two different words one edit apart, both ways. words: id, word, n."""
-    left, right = _keyed(words, symbols, True), _keyed(words, symbols, False).select(F.col("id").alias("near_id"), F.col("word").alias("near"), F.col("n").alias("near_n"), "key")
-    met = left.join(right, "key").filter("id <> near_id").drop("key")
+    """word, near: every two different words one edit apart, both ways. words: id, word, the words distinct."""
+    left, right = _keyed(words, symbols, True), _keyed(words, symbols, False).select(F.col("id").alias("near_id"), F.col("word").alias("near"), "key")
+    met = left.join(right, "key").drop("key")
     one = F.levenshtein(F.col("word"), F.col("near"), 1) == 1
-    short = met.filter("word IS NOT NULL AND near IS NOT NULL").filter(one)
-    # Long words: few meet, and they fetch their letters once they do. Their keys come in parts, so a pair may meet twice.
-    long = met.filter("word IS NULL OR near IS NULL").select("id", "near_id").distinct()
-    whole = long.join(words, "id").join(words.select(F.col("id").alias("near_id"), F.col("word").alias("near"), F.col("n").alias("near_n")), "near_id")
-    return short.unionByName(whole.filter(one).select(short.columns))
+    short = met.filter("word IS NOT NULL AND near IS NOT NULL").filter(one).select("word", "near")
+    # Long words fetch their letters once they have met. Their keys come in parts, so a pair may meet twice.
+    long = met.filter("word IS NULL OR near IS NULL").distinct()
+    for c, text in (("id", "word"), ("near_id", "near")):
+        long = long.join(words.select(F.col("id").alias(c), F.col("word").alias("letters")), c, "left").withColumn(text, F.coalesce(text, "letters")).drop("letters")
+    return short.unionByName(long.filter(one).select("word", "near"))
 
 
 def group_variants(words: DataFrame, least_length: int = 6, least_n: int = 5, times: int = 5, symbols: int | None = None) -> DataFrame:
@@ -136,7 +139,7 @@ def group_variants(words: DataFrame, least_length: int = 6, least_n: int = 5, ti
     counted = words.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").cast("long").alias("n")).filter((F.length("word") >= least_length) & (F.col("n") >= least_n))
     kept = written(counted.select(F.monotonically_increasing_id().alias("id"), "word", "n"))
     size, most = kept.agg(F.count(F.lit(1)), F.max("n")).first()
-    pairs = near_pairs(kept, symbols or max(4, math.ceil(size ** (1 / 8))))
+    pairs = near_pairs(kept, symbols or max(4, math.ceil(size ** (1 / 8)))).join(kept.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     best = F.max_by(F.struct("near", "near_n"), F.struct("near_n", F.col("order"))).alias("b")
     found = pairs.withColumn("order", _descending(F.col("near"))).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
     better = F.col("b.near_n") >= times * F.col("n")
