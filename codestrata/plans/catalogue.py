@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis, scan, symbols
+from . import analysis, scan, symbols, units
 
-MODULES = [scan, symbols, analysis]
+MODULES = [scan, symbols, analysis, units]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
