@@ -160,7 +160,19 @@ def cache_stats(spark, sf_dir):
 
 
 def flow_edges(spark, sf_dir):
-    return flow.edges(flow.statements(_php(spark, sf_dir)))
+    return flow.edges(flow.statements(_php(spark, sf_dir))).drop("seq")
+
+
+def flow_nodes(spark, sf_dir):
+    return flow.nodes(flow.statements(_php(spark, sf_dir)))
+
+
+def flow_loops(spark, sf_dir):
+    return flow.loops(flow.statements(_php(spark, sf_dir)), connected=True)
+
+
+def flow_dominators(spark, sf_dir):
+    return flow.dominators(flow.statements(_php(spark, sf_dir)), connected=True)
 
 
 def flow_metrics(spark, sf_dir):
@@ -168,7 +180,7 @@ def flow_metrics(spark, sf_dir):
 
 
 def flow_dot(spark, sf_dir):
-    return flow.dot(flow_edges(spark, sf_dir))
+    return flow.dot(flow.statements(_php(spark, sf_dir)))
 
 
 def statement_counts(spark, sf_dir):
@@ -212,8 +224,37 @@ files AS (SELECT path, content, sha256(content) AS sha256, 1700000000 + strlen(c
 plan AS (SELECT path, CASE WHEN n_bytes % 9 = 0 THEN 'new' WHEN n_bytes % 4 = 0 THEN 'changed' ELSE 'up_to_date' END AS action FROM files),
 affected AS (SELECT path, 0 AS distance FROM plan WHERE action = 'changed' UNION ALL SELECT d.from_path, a.distance + 1 FROM affected a JOIN (SELECT DISTINCT from_path, to_path FROM dependencies) d ON d.to_path = a.path WHERE a.distance < 3),
 touched AS (SELECT path, 0 AS distance FROM plan WHERE action <> 'up_to_date' UNION ALL SELECT d.from_path, a.distance + 1 FROM touched a JOIN (SELECT DISTINCT from_path, to_path FROM dependencies) d ON d.to_path = a.path WHERE a.distance < 3),
-kinds AS (SELECT path AS unit, line, CASE lower(regexp_extract(text, '^\\s*([A-Za-z]+)', 1)) WHEN 'if' THEN 'if' WHEN 'for' THEN 'loop' WHEN 'foreach' THEN 'loop' WHEN 'while' THEN 'loop' WHEN 'switch' THEN 'switch' WHEN 'try' THEN 'try' WHEN 'return' THEN 'return' WHEN 'throw' THEN 'throw' ELSE 'basic' END AS kind FROM php)
+kinds AS (SELECT path AS unit, line, CASE lower(regexp_extract(text, '^\\s*([A-Za-z]+)', 1)) WHEN 'if' THEN 'if' WHEN 'for' THEN 'loop' WHEN 'foreach' THEN 'loop' WHEN 'while' THEN 'loop' WHEN 'switch' THEN 'switch' WHEN 'try' THEN 'try' WHEN 'return' THEN 'return' WHEN 'throw' THEN 'throw' WHEN 'break' THEN 'break' ELSE 'basic' END AS kind FROM php)
 """
+
+
+def _flow(connected: bool) -> str:
+    """The graphs of all units, written out case by case: made(unit, node, kind), linked(unit, from_node, to_node, label)."""
+    added = [("if", [("conditional", ""), ("basic", ""), ("basic", ""), ("basic", "")]), ("loop", [("loop", ""), ("basic", ""), ("basic", "")]), ("switch", [("conditional", ""), ("basic", ""), ("basic", "")]),
+             ("try", [("try", ""), ("catch", ""), ("finally", ""), ("basic", "")]), ("return", [("block", ""), ("basic", "")]), ("throw", [("block", ""), ("basic", "")]), ("break", [("block", ""), ("basic", "")])]
+    shapes = ", ".join(f"('{kind}', {i + 1}, '{node}')" for kind, nodes in added for i, (node, _) in enumerate(nodes))
+    arcs = {"if": "c>1 1>2:true 1>3:false 2>4 3>4", "loop": "c>1 1>2:true 1>3:false 2>1", "switch": "c>1 1>3 3>2", "try": "c>1 1>2:throw 1>3 2>3 3>4", "return": "c>1 1>x:return", "throw": "c>1 1>x:throw", "break": "c>1"}
+    place = lambda p: {"c": "came", "x": "2"}.get(p, f"base + {p}")
+    rows = " UNION ALL ".join(
+        f"SELECT unit, {place(a.split('>')[0])} AS from_node, {place(a.split('>')[1].split(':')[0])} AS to_node, '{(a.split(':') + [''])[1]}' AS label FROM spots WHERE kind = '{kind}'" for kind, text in arcs.items() for a in text.split()
+    )
+    ends = ("SELECT unit, 1, 3, '' FROM ended WHERE plain = 1 UNION ALL SELECT unit, finish, 2, '' FROM ended" if connected else "SELECT unit, 1, finish, '' FROM ended WHERE finish <> 1")
+    return f""", widths(kind, width, leaves) AS (VALUES ('if', 4, 4), ('loop', 3, 3), ('switch', 3, 2), ('try', 4, 4), ('return', 2, 2), ('throw', 2, 2), ('break', 2, 2), ('basic', 0, NULL)),
+counted AS (SELECT unit, line, kind, width, leaves, max(CASE WHEN kind = 'basic' THEN 1 ELSE 0 END) OVER (PARTITION BY unit) AS plain, count(*) OVER (PARTITION BY unit) AS stmts FROM kinds JOIN widths USING (kind)),
+based AS (SELECT *, 2 + plain + coalesce(sum(width) OVER (PARTITION BY unit ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM counted),
+spots AS (SELECT *, coalesce((SELECT max(b.base + b.leaves) FROM based b WHERE b.unit = o.unit AND b.line < o.line AND b.leaves IS NOT NULL), CASE WHEN plain = 1 THEN 3 ELSE 1 END) AS came FROM based o),
+ended AS (SELECT unit, max(plain) AS plain, max(base + width) AS n, max(stmts) AS stmts, arg_max(coalesce(base + leaves, came), line) AS finish FROM spots GROUP BY unit),
+linked(unit, from_node, to_node, label) AS ({rows} UNION ALL {ends}),
+own(kind, i, node) AS (VALUES {shapes}),
+made AS (SELECT unit, base + i AS node, o.node AS kind, CASE WHEN o.node = 'block' THEN stmts END AS stmts FROM spots JOIN own o USING (kind) UNION ALL SELECT unit, 1, 'entry', NULL FROM ended UNION ALL SELECT unit, 2, 'exit', NULL FROM ended UNION ALL SELECT unit, 3, 'block', stmts FROM ended WHERE plain = 1)"""
+
+
+#: avoided(unit, without, node): nodes that some root reaches on a path without another node; what is missing there is dominated.
+_PATHS = """, roots AS (SELECT unit, node FROM made WHERE node = 1 OR (unit, node) NOT IN (SELECT unit, to_node FROM linked)),
+walked AS (SELECT DISTINCT unit, 1 AS node FROM made UNION SELECT w.unit, l.to_node FROM walked w JOIN linked l ON w.unit = l.unit AND w.node = l.from_node),
+avoided AS (SELECT m.unit, m.node AS without, r.node FROM made m JOIN roots r ON r.unit = m.unit AND r.node <> m.node
+  UNION SELECT a.unit, a.without, l.to_node FROM avoided a JOIN linked l ON l.unit = a.unit AND l.from_node = a.node AND l.to_node <> a.without),
+over AS (SELECT m.unit, d.node AS dominator, m.node FROM made m JOIN made d ON d.unit = m.unit WHERE d.node = m.node OR (m.unit, d.node, m.node) NOT IN (SELECT unit, without, node FROM avoided))"""
 _SANE = lambda names: f"(path, coalesce(variable, '')) NOT IN (SELECT path, target FROM assignments WHERE regexp_matches(rhs, '^({'|'.join(names)})\\s*\\('))"
 
 
@@ -235,9 +276,19 @@ FINDINGS = " UNION ALL ".join([
     _rule("DESER-001", "calls", "lower(name)", _NAME_IN(syntax.UNSAFE)),
 ])
 
+#: Metrics of the graphs of kinds(unit, line, kind).
+METRICS_SQL = _flow(True) + _PATHS + """, e AS (SELECT unit, count(*) AS edges FROM linked GROUP BY unit), r AS (SELECT unit, count(*) AS reachable FROM walked GROUP BY unit),
+b AS (SELECT l.unit, count(*) AS loops FROM linked l JOIN over o ON o.unit = l.unit AND o.dominator = l.to_node AND o.node = l.from_node GROUP BY l.unit),
+d AS (SELECT o.unit, count(*) AS dominated FROM over o JOIN walked w ON w.unit = o.unit AND w.node = o.node WHERE o.dominator <> o.node GROUP BY o.unit),
+stop AS (SELECT unit, min(line) AS line, arg_min(kind, line) AS kind FROM kinds WHERE kind IN ('return', 'throw', 'break') GROUP BY unit),
+deep AS (SELECT k.unit, max(CASE WHEN k.kind = 'basic' THEN 1 ELSE 0 END) + sum(CASE WHEN s.line IS NOT NULL AND k.line >= s.line THEN 0 WHEN k.kind IN ('if', 'switch', 'try') THEN 3 WHEN k.kind = 'loop' THEN 2 ELSE 0 END) + max(CASE WHEN s.kind IN ('return', 'throw') THEN 2 ELSE 1 END) AS max_depth
+  FROM kinds k LEFT JOIN stop s ON s.unit = k.unit GROUP BY k.unit)
+SELECT x.unit, x.n::BIGINT AS nodes, e.edges, (e.edges - x.n + 2)::BIGINT AS complexity, r.reachable, (x.n - r.reachable)::BIGINT AS unreachable, coalesce(b.loops, 0)::BIGINT AS loops, (2 * coalesce(b.loops, 0))::BIGINT AS loop_nodes, deep.max_depth::BIGINT AS max_depth, coalesce(d.dominated, 0)::BIGINT AS dominated
+FROM ended x LEFT JOIN e USING (unit) LEFT JOIN r USING (unit) LEFT JOIN b USING (unit) LEFT JOIN d USING (unit) LEFT JOIN deep USING (unit)"""
+
 QUERIES = {f.__name__: f for f in (
     php_functions, php_classes, php_assignments, php_calls, php_last_definitions, tainted_variables, syntax_findings, syntax_summary, syntax_metrics, imports, taint_paths, function_findings, use_bindings, resolved_names, inheritance, call_edges, dependency_edges,
-    include_edges, dependency_degrees, change_plan, files_to_process, affected_files, index_upsert, cache_validity, cache_eviction, cache_stats, flow_edges, flow_metrics, flow_dot, statement_counts,
+    include_edges, dependency_degrees, change_plan, files_to_process, affected_files, index_upsert, cache_validity, cache_eviction, cache_stats, flow_edges, flow_nodes, flow_loops, flow_dominators, flow_metrics, flow_dot, statement_counts,
 )}
 ORACLES = {
     "php_functions": BASE + "SELECT path, line, name, array_to_string(params, ',') AS params FROM functions",
@@ -277,5 +328,14 @@ FROM calls c LEFT JOIN (SELECT name, list_sort(list(DISTINCT path)) AS paths FRO
     "cache_eviction": f"""WITH e AS (SELECT '/cache/' || event_id AS path, ts, user_id * 10 + 1 AS n, epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts) > 168 * 3600000000 AS expired FROM events)
 SELECT path, NOT expired AND sum(n) OVER (PARTITION BY expired ORDER BY ts DESC, path DESC ROWS UNBOUNDED PRECEDING) <= 300000 AS keep FROM e""",
     "cache_stats": "SELECT CASE WHEN event_type = 'error' THEN '0' ELSE '1' END AS version, count(*) AS entries, sum(user_id * 10 + 1)::BIGINT AS total_size FROM events GROUP BY ALL",
+    "flow_edges": BASE + _flow(False) + " SELECT unit, from_node::BIGINT AS from_node, to_node::BIGINT AS to_node, label FROM linked",
+    "flow_nodes": BASE + _flow(False) + " SELECT unit, node::BIGINT AS node, kind, stmts FROM made",
+    "flow_dominators": BASE + _flow(True) + _PATHS + """, ranked AS (SELECT unit, node, dominator, count(*) OVER (PARTITION BY unit, node) - 1 AS depth FROM over)
+SELECT m.unit, m.node::BIGINT AS node, (SELECT arg_max(o.dominator, r.depth) FROM over o JOIN (SELECT DISTINCT unit, node, depth FROM ranked) r ON r.unit = o.unit AND r.node = o.dominator WHERE o.unit = m.unit AND o.node = m.node AND o.dominator <> m.node)::BIGINT AS dominator, m.depth
+FROM (SELECT DISTINCT unit, node, depth FROM ranked) m""",
+    "flow_loops": BASE + _flow(True) + _PATHS + """, backs AS (SELECT l.unit, to_node AS header, from_node AS latch FROM linked l JOIN over o ON o.unit = l.unit AND o.dominator = l.to_node AND o.node = l.from_node),
+bodies AS (SELECT unit, header, latch, latch AS node FROM backs UNION SELECT b.unit, b.header, b.latch, l.from_node FROM bodies b JOIN linked l ON l.unit = b.unit AND l.to_node = b.node WHERE b.node <> b.header)
+SELECT unit, header::BIGINT AS header, latch::BIGINT AS latch, node::BIGINT AS node FROM (SELECT * FROM bodies UNION SELECT unit, header, latch, header FROM backs)""",
+    "flow_metrics": BASE + METRICS_SQL,
     "statement_counts": BASE + "SELECT unit, kind, count(*) AS n, any_value(c.n_lines)::BIGINT AS n_lines FROM kinds JOIN code_files c ON c.path = unit GROUP BY unit, kind",
 }

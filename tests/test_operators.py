@@ -2,6 +2,9 @@ import json
 import re
 from pathlib import Path
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,22 +156,80 @@ def test_syntax_rules(files):
     assert (f["name"], f["params"]) == ("find", ["id", "name"])
 
 
-@pytest.mark.parametrize("kinds, n, wanted, seen", [
-    ([], 2, [], {1}),
-    (["basic", "basic"], 3, [(1, 3)], {1, 3}),
-    (["basic", "if"], 7, [(3, 4), (4, 5), (4, 6), (5, 7), (6, 7), (1, 7)], {1, 7}),
-])
-def test_control_flow(kinds, n, wanted, seen):
-    nodes, edges = flow.unit_edges(kinds)
-    assert len(nodes) == n and [e[:2] for e in edges] == wanted and flow.reachable(edges) == seen
+def graph_of(spark, kinds, connected=False):
+    rows = spark.createDataFrame([("u", k, kind) for k, kind in enumerate(kinds)], "unit string, line int, kind string")
+    pairs = [(r["from_node"], r["to_node"]) for r in flow.edges(rows, connected).orderBy("seq").collect()]
+    return rows, flow.Graph(flow.nodes(rows).count(), pairs)
 
 
-def test_dominators_are_nodes_no_path_avoids():  # where every node can be reached
-    nodes, edges = flow.unit_edges(["if", "loop", "basic", "try", "switch"], connected=True)
-    found, seen = flow.dominators(len(nodes), edges), flow.reachable(edges)
-    for u in seen - {flow.ENTRY}:
-        without = flow.reachable([e for e in edges if u not in e[:2]])
-        assert {v for v in seen if u in found[v]} == seen - without
+@pytest.mark.parametrize("kinds, n, wanted, seen, depth", [
+    (["basic", "basic"], 3, [(1, 3)], {1, 3}, 1),
+    (["basic", "if"], 7, [(3, 4), (4, 5), (4, 6), (5, 7), (6, 7), (1, 7)], {1, 7}, 1),
+    (["return", "loop"], 7, [(1, 3), (3, 2), (4, 5), (5, 6), (5, 7), (6, 5), (1, 7)], {1, 2, 3, 7}, 2),
+    (["try", "throw"], 8, [(1, 3), (3, 5), (5, 6), (3, 4), (4, 5), (6, 7), (7, 2), (1, 8)], {1, 2, 3, 4, 5, 6, 7, 8}, 5),
+])
+def test_control_flow(spark, kinds, n, wanted, seen, depth):
+    _, graph = graph_of(spark, kinds)
+    found, deepest = graph.search()
+    assert graph.n == n and graph.pairs == wanted and {v for v in range(n + 1) if found[v]} == seen and deepest == depth
+
+
+def test_dominators_are_nodes_no_path_avoids():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(2, 12)
+        graph = flow.Graph(n, [(rng.randint(1, n), rng.randint(2, n)) for _ in range(rng.randint(0, 20))])
+        above, _ = graph.immediate_dominators()
+        roots = [v for v in range(1, n + 1) if v == flow.ENTRY or not graph.ahead[v]]
+
+        def reached(without):
+            seen, waiting = set(), [r for r in roots if r != without]
+            while waiting:
+                v = waiting.pop()
+                if v not in seen and v != without:
+                    seen.add(v)
+                    waiting += graph.after[v]
+            return seen
+
+        everywhere = reached(None)
+        for v in everywhere:
+            chain, u = set(), v
+            while u:
+                chain.add(u)
+                u = above[u]
+            assert chain == {u for u in everywhere if u == v or v not in reached(u)}
+        for header, latch, inside in graph.loops():
+            assert {header, latch} <= set(inside) and (latch, header) in graph.pairs
+
+
+def test_fifty_thousand_statements_in_a_unit(spark):
+    kinds = ["if", "loop", "basic", "try", "switch"] * 10_000
+    rows, _ = graph_of(spark, kinds[:5])
+    rows = spark.range(50_000).selectExpr("'u' AS unit", "int(id) AS line", "element_at(array('if', 'loop', 'basic', 'try', 'switch'), int(id % 5) + 1) AS kind")
+    start = time.perf_counter()
+    (m,) = flow.metrics(rows, connected=True).collect()
+    assert time.perf_counter() - start < 60
+    assert (m["nodes"], m["edges"], m["loops"], m["loop_nodes"], m["unreachable"], m["max_depth"]) == (140_003, 170_002, 10_000, 20_000, 0, 110_002)
+
+
+def test_dot(spark):
+    rows, _ = graph_of(spark, ["basic", "return"])
+    (r,) = flow.dot(rows).collect()
+    assert r["dot"] == """digraph CFG {
+  rankdir=TB;
+  node [shape=box];
+
+  1 [label="ENTRY", shape=ellipse];
+  2 [label="EXIT", shape=ellipse];
+  3 [label="Block 3\\n(2 stmts)", shape=box];
+  4 [label="Block 4\\n(2 stmts)", shape=box];
+  5 [label="Block 5", shape=box];
+
+  3 -> 4 [label="", style=solid];
+  4 -> 2 [label="return", style=bold];
+  1 -> 5 [label="", style=solid];
+}
+"""
 
 
 def test_affected_files_in_a_cycle(spark):
