@@ -5,11 +5,11 @@ Every relation has path and line. Classes, functions, calls and assignments are
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import portable
-from ..session import written
 from .match import lines_of
 
 NAME = "([a-zA-Z_][a-zA-Z0-9_]*)"
@@ -91,21 +91,66 @@ def arguments(rows: DataFrame) -> DataFrame:
     return rows.select("path", "line", "seq", "name", F.posexplode("args").alias("idx", "value")).select("*", F.nullif(F.regexp_extract(value, rf"^\${NAME}$", 1), F.lit("")).alias("variable"), concat.alias("concat"))
 
 
-def tainted_variables(assigned: DataFrame) -> DataFrame:
-    """path, variable, steps: variables that user input reaches through variable-to-variable assignments, and the fewest
-    steps. Each round follows the variables found last, and the closure ends when a round finds no new one, so
-    that cycles end too and chains may have any length."""
-    edges = written(assigned.filter(F.col("rhs_name").isNotNull()).select("path", F.col("rhs_name").alias("variable"), F.col("target").alias("next")).distinct())
-    found = last = written(assigned.filter("tainted").select("path", F.col("target").alias("variable"), F.lit(0).alias("steps")).distinct())
-    steps = 0
-    while not last.isEmpty():
+def _followed(seeds: list[tuple[str, int]], edges: list[tuple[str, str, int]]) -> dict[str, tuple[int, int, str | None, int]]:
+    """variable -> (steps, line of the source, the variable before, line of the assignment from it; for a source its own line). Breadth first, so
+    that steps are the fewest; of equals the earliest source decides, then the predecessor's name, then the line."""
+    onward: dict[str, list[tuple[str, int]]] = {}
+    for variable, target, line in edges:
+        onward.setdefault(variable, []).append((target, line))
+    found: dict[str, tuple[int, int, str | None, int]] = {}
+    for variable, line in sorted(seeds, key=lambda s: s[1]):
+        found.setdefault(variable, (0, line, None, line))
+    last, steps = list(found), 0
+    while last:
         steps += 1
-        reached = last.join(edges, ["path", "variable"]).select("path", F.col("next").alias("variable")).distinct()
-        last = written(reached.join(found, ["path", "variable"], "left_anti").withColumn("steps", F.lit(steps)))
-        found = written(found.unionByName(last))
+        reached: dict[str, tuple[int, str, int]] = {}
+        for variable in last:
+            for target, line in onward.get(variable, ()):
+                if target not in found:
+                    way = (found[variable][1], variable, line)
+                    if target not in reached or way < reached[target]:
+                        reached[target] = way
+        found.update({target: (steps, *way) for target, way in reached.items()})
+        last = list(reached)
     return found
 
 
+def _closures(assigned: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """path, variable, steps, source_line, previous, line; with ``wanted`` (path, variable) only these, and the lines of the whole way as ``trail``."""
+    picked = assigned.filter("tainted OR rhs_name IS NOT NULL").select("path", F.struct("line", "target", "rhs_name", "tainted").alias("a"))
+    files = picked.groupBy("path").agg(F.collect_list("a").alias("a"), F.max("a.tainted").alias("any")).filter("any")
+    if wanted is None:
+        files = files.withColumn("wanted", F.lit(None).cast("array<string>"))
+    else:
+        files = files.join(wanted.groupBy("path").agg(F.collect_set("variable").alias("wanted")), "path")
+
+    @F.arrow_udf("array<struct<variable: string, steps: int, source_line: int, previous: string, line: int, trail: array<int>>>")
+    def followed(column: pa.Array, wanted_of: pa.Array) -> pa.Array:
+        out = []
+        for rows, names in zip(column.to_pylist(), wanted_of.to_pylist()):
+            found = _followed([(r["target"], r["line"]) for r in rows if r["tainted"]], [(r["rhs_name"], r["target"], r["line"]) for r in rows if r["rhs_name"] is not None])
+            own = []
+            for variable in found if names is None else [n for n in names if n in found]:
+                steps, source, previous, line = found[variable]
+                trail, at = [], None if names is None else variable
+                while at is not None:
+                    trail.append(found[at][3])
+                    at = found[at][2]
+                own.append({"variable": variable, "steps": steps, "source_line": source, "previous": previous, "line": line, "trail": trail[::-1]})
+            out.append(own)
+        kind = pa.struct([("variable", pa.string()), ("steps", pa.int32()), ("source_line", pa.int32()), ("previous", pa.string()), ("line", pa.int32()), ("trail", pa.list_(pa.int32()))])
+        return pa.array(out, pa.list_(kind))
+
+    return files.select("path", F.explode(followed("a", "wanted")).alias("t")).select("path", "t.*")
+
+
+def tainted_variables(assigned: DataFrame) -> DataFrame:
+    """path, variable, steps, source_line, previous, line: variables that user input reaches through variable-to-variable assignments, the fewest
+    steps, the line of the assignment that took the input in, and the variable and assignment it comes from last. Each file's assignments come
+    together in one shuffle and are followed once, so chains of any length and cycles take no further rounds."""
+    return _closures(assigned).drop("trail")
+
+
 def rule_findings(lines: DataFrame) -> DataFrame:
     """rule_id, path, line, seq, subject, severity, confidence of the rules over calls, arguments and assignments.
 
@@ -185,13 +230,12 @@ def metrics(lines: DataFrame) -> DataFrame:
 
 
 def taint_paths(lines: DataFrame) -> DataFrame:
-    """path, variable, source_line, sink, sink_line, steps: each tainted variable that stands in a sink's argument, with the
-    first line that taints a variable of its closure's origin in that file."""
-    assigned = assignments(lines)
-    first = assigned.filter("tainted").groupBy("path").agg(F.min("line").alias("source_line"))
+    """path, variable, source_line, sink, sink_line, steps, trail: each tainted variable that stands in a sink's argument, with the line
+    that took the input in and the lines it passed from there."""
     args = arguments(calls(lines)).filter(F.col("name").isin(SINKS) & F.col("variable").isNotNull())
-    found = args.join(tainted_variables(assigned), ["path", "variable"]).join(first, "path")
-    return found.select("path", "variable", "source_line", F.col("name").alias("sink"), F.col("line").alias("sink_line"), "steps").distinct()
+    sinks = args.select("path", "variable", "name", "line").distinct()
+    found = _closures(assignments(lines), sinks).withColumnRenamed("line", "last_line")
+    return sinks.join(found, ["path", "variable"]).select("path", "variable", "source_line", F.col("name").alias("sink"), F.col("line").alias("sink_line"), "steps", "trail")
 
 
 def function_findings(lines: DataFrame, names: list[str], confidence: int = 90) -> DataFrame:

@@ -61,7 +61,7 @@ def imports(spark, sf_dir):
 
 
 def taint_paths(spark, sf_dir):
-    return syntax.taint_paths(_php(spark, sf_dir))
+    return syntax.taint_paths(_php(spark, sf_dir)).withColumn("trail", F.array_join(F.col("trail").cast("array<string>"), ","))
 
 
 def function_findings(spark, sf_dir):
@@ -208,9 +208,15 @@ found AS (SELECT path, line, unnest(list_concat(list_filter(list_zip(regexp_extr
   CASE WHEN regexp_matches(text, {_rx(_P)}) THEN [row('', '')] ELSE [] END), 1) - 1 AS seq FROM php),
 calls AS (SELECT path, line, seq::INTEGER AS seq, c[1] AS name, CASE WHEN trim(c[2]) = '' THEN [] ELSE list_transform(string_split(c[2], ','), lambda x: trim(x)) END AS args FROM found),
 args AS (SELECT path, line, seq, name, value, nullif(regexp_extract(value, '^\\$([a-zA-Z_][a-zA-Z0-9_]*)$', 1), '') AS variable, regexp_matches(value, '["''$A-Za-z0-9_\\])]\\s*[.+]\\s*["''$]') AS concat FROM (SELECT path, line, seq, name, unnest(args) AS value FROM calls)),
-reach AS (SELECT DISTINCT path, target AS variable, 0 AS steps FROM assignments WHERE tainted
-  UNION ALL SELECT r.path, e.target, r.steps + 1 FROM reach r JOIN (SELECT DISTINCT path, rhs_name, target FROM assignments WHERE rhs_name IS NOT NULL) e ON e.path = r.path AND e.rhs_name = r.variable WHERE r.steps < 10),
-taint AS (SELECT path, variable, min(steps) AS steps FROM reach GROUP BY ALL),
+seeds AS (SELECT path, target AS variable, min(line) AS line FROM assignments WHERE tainted GROUP BY ALL),
+moves AS (SELECT path, rhs_name AS variable, target, line FROM assignments WHERE rhs_name IS NOT NULL),
+reach AS (SELECT path, variable, 0 AS steps FROM seeds UNION SELECT r.path, e.target, r.steps + 1 FROM reach r JOIN moves e USING (path, variable) WHERE r.steps < 20),
+fewest AS (SELECT path, variable, min(steps) AS steps FROM reach GROUP BY ALL),
+way AS (SELECT path, variable, 0 AS steps, line AS source_line, line::VARCHAR AS trail, NULL::VARCHAR AS previous, line FROM seeds
+  UNION ALL SELECT * EXCLUDE (place) FROM (SELECT w.path, e.target AS variable, w.steps + 1 AS steps, w.source_line, w.trail || ',' || e.line AS trail, w.variable AS previous, e.line,
+    row_number() OVER (PARTITION BY w.path, e.target ORDER BY w.source_line, w.variable, e.line) AS place
+    FROM way w JOIN moves e ON e.path = w.path AND e.variable = w.variable JOIN fewest f ON f.path = w.path AND f.variable = e.target AND f.steps = w.steps + 1) WHERE place = 1),
+taint AS (SELECT * FROM way),
 dirty AS (SELECT * FROM args WHERE (path, variable) IN (SELECT path, variable FROM taint) UNION ALL SELECT * FROM args WHERE regexp_matches(value, {_SG})),
 uses AS (SELECT path, line, regexp_extract(text, {_rx(_U)}, 1) AS fqn, regexp_extract(text, {_rx(_U)}, 2) AS alias FROM php WHERE regexp_matches(text, {_rx(_U)})),
 parents AS (SELECT path, name AS class, 'extends' AS relation, extends AS parent FROM classes WHERE extends IS NOT NULL UNION ALL SELECT path, name, 'implements', unnest(implements) FROM classes),
@@ -296,14 +302,13 @@ ORACLES = {
     "php_assignments": BASE + "SELECT path, line, target, rhs, rhs_name, tainted FROM assignments",
     "php_calls": BASE + "SELECT path, line, seq, name, array_to_string(args, '|') AS args FROM calls",
     "php_last_definitions": BASE + "SELECT path, target AS variable, max(line) AS line, arg_max(tainted, line) AS tainted FROM assignments GROUP BY ALL",
-    "tainted_variables": BASE + "SELECT * FROM taint",
+    "tainted_variables": BASE + "SELECT path, variable, steps::INTEGER AS steps, source_line, previous, line FROM taint",
     "syntax_findings": BASE + FINDINGS,
     "syntax_summary": BASE + f"SELECT severity, rule_id, count(*) AS n FROM ({FINDINGS}) GROUP BY GROUPING SETS ((severity), (rule_id))",
     "syntax_metrics": BASE + f"""SELECT p.path, p.functions, p.classes, p.assignments, coalesce(c.calls, 0)::BIGINT AS calls FROM (SELECT path, sum(regexp_matches(text, {_rx(_F)})::INT)::BIGINT AS functions,
  sum(regexp_matches(text, {_rx(_C)})::INT)::BIGINT AS classes, sum(regexp_matches(text, {_rx(_A)})::INT)::BIGINT AS assignments FROM php GROUP BY path) p LEFT JOIN (SELECT path, count(*) AS calls FROM calls GROUP BY path) c USING (path)""",
     "imports": f"WITH {SQL} " + " UNION ALL ".join(f"SELECT path, line_no AS line, regexp_extract(text, {_quoted(p)}, 1) AS module FROM code_lines WHERE language = '{k}' AND regexp_matches(text, {_quoted(p)})" for k, p in syntax.IMPORTS.items()),
-    "taint_paths": BASE + f"""SELECT DISTINCT a.path, a.variable, s.source_line, a.name AS sink, a.line AS sink_line, t.steps FROM args a JOIN taint t USING (path, variable)
- JOIN (SELECT path, min(line) AS source_line FROM assignments WHERE tainted GROUP BY path) s ON s.path = a.path WHERE a.name IN ({_LIST(syntax.SINKS)})""",
+    "taint_paths": BASE + f"""SELECT DISTINCT a.path, a.variable, t.source_line, a.name AS sink, a.line AS sink_line, t.steps::INTEGER AS steps, t.trail FROM args a JOIN taint t USING (path, variable) WHERE a.name IN ({_LIST(syntax.SINKS)})""",
     "function_findings": BASE + "SELECT path, line, seq, name, wanted, 90 AS confidence FROM (SELECT *, unnest(['query', 'mysqli', 'serialize']) AS wanted FROM calls) WHERE contains(name, wanted)",
     "use_bindings": BASE + "SELECT path, line, CASE WHEN alias <> '' THEN alias ELSE regexp_extract(fqn, '([^\\\\]+)$', 1) END AS alias, chr(92) || fqn AS fqn FROM uses",
     "resolved_names": BASE + f""", n AS (SELECT path, parent AS name, 'class' AS kind FROM parents UNION SELECT path, name, 'function' FROM calls),
