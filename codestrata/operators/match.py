@@ -108,6 +108,16 @@ def scan_stats(files: DataFrame, rows: DataFrame, read: Column) -> DataFrame:
     )
 
 
+def listing_stats(listed: DataFrame, scanned: DataFrame, rows: DataFrame) -> DataFrame:
+    """As ``scan_stats``, of a listing (path) and what of it was read: scanned(path, n lines). Other files count as skipped."""
+    zero = F.lit(0).cast("long")
+    every = listed.select(F.lit(1).cast("long").alias("listed"), zero.alias("read"), zero.alias("n"), zero.alias("finding"))
+    every = every.unionByName(scanned.select(zero.alias("listed"), F.lit(1).cast("long").alias("read"), "n", zero.alias("finding")))
+    every = every.unionByName(rows.select(zero.alias("listed"), zero.alias("read"), zero.alias("n"), F.lit(1).cast("long").alias("finding")))
+    sums = every.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("listed", "read", "n", "finding")])
+    return sums.select(F.col("read").alias("files_scanned"), (F.col("listed") - F.col("read")).alias("files_skipped"), F.col("n").alias("lines_scanned"), F.col("finding").alias("findings_total"))
+
+
 def by_rule(rows: DataFrame) -> DataFrame:
     """What a report says of each rule: findings, files, and the first place by path, line and column."""
     first = F.min(F.struct("file", "line", "column"))

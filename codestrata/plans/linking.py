@@ -41,7 +41,7 @@ def _program(spark: SparkSession, sf_dir: str) -> linking.Program:
         text = F.replace(F.replace(text, F.lit(f"{{{k}}}"), (e + k).cast("string")), F.lit(f"{{s{k}}}"), ((e + k) % 7).cast("string"))
     text = F.replace(text, F.lit("{extends}"), F.when(e % 4 == 3, "").otherwise("extends Base "))
     files = table(spark, sf_dir, "events").select(F.format_string("/link/e%d.php", "event_id").alias("path"), F.lit("php").alias("language"), text.alias("content"))
-    return linking.link(written(tokens(files)))
+    return linking.link(written(tokens(files.repartition(spark.sparkContext.defaultParallelism, "path"))))
 
 
 def linked_uses(spark, sf_dir) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
 from .operators import match, report
 from .operators.rules import chosen, parse_severity
 from .session import written
-from .sources.corpus import folder_corpus
+from .sources.corpus import folder_corpus, folder_listing, listed_path
 
 
 @dataclass(frozen=True)
@@ -45,21 +45,27 @@ def scan(
     given), is excluded, or holds an ignored part; of the rest the first ``max_files`` by path are read (0: all).
     Exclusions and relative patterns look at paths below the folder, so where it lies does not matter.
 
-    The content of files that are skipped is not looked at. Findings are written to the shared folder once, as reports
-    and statistics read them several times.
+    The folder is listed first, and only files that are scanned are opened, whatever lies beside them. Files that cannot be
+    read, or exceed the session's limit of ``binaryFile``, count as skipped; bytes that are not UTF-8 do no harm. Spark's listings leave out files without a byte, so they are not counted. Findings are written to the shared folder
+    once, as reports and statistics read them several times.
     """
-    files = folder_corpus(spark, folder)
-    path = F.col("path")
-    root = re.sub("^[a-z]+:(//[^/]*)?", "", folder).rstrip("/")
-    below = F.regexp_replace(path, f"^{re.escape(root)}/", "./")
-    read = paths.readable(path) & ~paths.ignored(below, [], [*paths.EXCLUDED, *exclude_dirs], list(ignore))
-    if allow_dirs:
-        absolute = [d for d in allow_dirs if d.startswith("/")]
-        relative = [d for d in allow_dirs if not d.startswith("/")]
-        read = read & (paths.any_pattern(paths.folder(path), absolute) | paths.any_pattern(paths.folder(below), relative))
+    listed = written(folder_listing(spark, folder))
+    root = re.sub("^[a-z0-9+.-]+:(//[^/]*)?", "", folder).rstrip("/")
+    absolute = [d for d in allow_dirs if d.startswith("/")]
+    relative = [d for d in allow_dirs if not d.startswith("/")]
+
+    def read(path: Column) -> Column:
+        below = F.regexp_replace(path, f"^{re.escape(root)}/", "./")
+        out = paths.readable(path) & ~paths.ignored(below, [], [*paths.EXCLUDED, *exclude_dirs], list(ignore))
+        if allow_dirs:
+            out = out & (paths.any_pattern(paths.folder(path), absolute) | paths.any_pattern(paths.folder(below), relative))
+        return out if last is None else out & (path <= last)
+
+    last = None
     if max_files > 0:
-        first = paths.at_most(files.filter(read).select("path"), max_files).withColumn("read", F.lit(True))
-        files = files.join(first, "path", "left")
-        read = F.coalesce(F.col("read"), F.lit(False))
-    found = written(match.findings(files.filter(read), chosen(enabled, disabled)))
-    return Scan(found, written(match.scan_stats(files, found, read)), parse_severity(severity))
+        last = listed.filter(read(F.col("path"))).select("path").orderBy("path").limit(max_files).agg(F.max("path")).first()[0]
+    files = folder_corpus(spark, folder, keep=read(listed_path()))
+    found = written(match.findings(files, chosen(enabled, disabled)))
+    lines = files.select("path", match.line_count(F.col("content")).cast("long").alias("n"))
+    stats = written(match.listing_stats(listed, lines, found))
+    return Scan(found, stats, parse_severity(severity))

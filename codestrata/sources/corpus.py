@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import language_of
@@ -75,11 +75,38 @@ def events_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.expr(PATH.replace("{s}", "STRING")).alias("path"), F.expr(LANGUAGE).alias("language"), F.array_join(F.col("lines.text"), "\n").alias("content"))
 
 
-def folder_corpus(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """files(path, language, content, n_bytes, sha256, mtime) of a folder, read recursively by Spark."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    path = F.regexp_replace("path", "^[a-z]+:(//[^/]*)?", "")
-    return read.select(
-        path.alias("path"), language_of(path).alias("language"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("n_bytes"),
+def decoded(content: Column) -> Column:
+    """Bytes as text. Of bytes that are not UTF-8 throughout, every one beyond ASCII becomes a question mark, so that offsets
+    stay those of the bytes."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.decode(content, "ISO-8859-1"), "[^\\x00-\\x7F]", "?"))
+
+
+def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    return read.option("pathGlobFilter", pattern).load(root)
+
+
+def listed_path() -> Column:
+    """A file's path, known from the listing: a filter on it decides which files are opened."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z0-9+.-]+:(//[^/]*)?", "")
+
+
+def folder_listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """path, n_bytes, mtime of a folder's files, at any depth. No file is opened."""
+    return _listed(spark, root, pattern).select(listed_path().alias("path"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("mtime"))
+
+
+def folder_corpus(spark: SparkSession, root: str, pattern: str = "*", keep: Column | None = None) -> DataFrame:
+    """files(path, language, content, n_bytes, sha256, mtime) of a folder, read recursively by Spark.
+
+    ``keep`` is a condition on ``listed_path()``; Spark applies it to the listing, so other files are never opened. Files above the session's
+    ``spark.sql.sources.binaryFile.maxLength`` are left out likewise, and those that cannot be read are passed over.
+    """
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+    read = _listed(spark, root, pattern).filter(F.col("_metadata.file_size") <= most)
+    read = read if keep is None else read.filter(keep)
+    return read.select(listed_path().alias("path"), "content", "length", "modificationTime").select(
+        "path", language_of(F.col("path")).alias("language"), decoded(F.col("content")).alias("content"), F.col("length").alias("n_bytes"),
         F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("mtime"),
-    )
+    )

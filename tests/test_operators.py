@@ -286,3 +286,30 @@ def test_folder_corpus(spark, tmp_path):
     (tmp_path / "src" / "a.php").write_text(PHP)
     (r,) = folder_corpus(spark, str(tmp_path)).collect()
     assert r["path"] == str(tmp_path / "src" / "a.php") and r["language"] == "php" and r["content"] == PHP
+
+
+def test_a_folder_of_anything(spark, tmp_path):
+    line = b'$q = "SELECT * FROM t WHERE id = " . $_GET["id"];\n'
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "sub folder+é").mkdir()
+    (tmp_path / "plain.php").write_bytes(b"<?php\n" + line)
+    (tmp_path / "latin.php").write_bytes(b"<?php // caf\xe9\n\xe9\xe8 " + line)
+    (tmp_path / "sub folder+é" / "deep.php").write_bytes(line)
+    (tmp_path / "binary.php").write_bytes(bytes(range(256)) * 4)
+    (tmp_path / "empty.php").write_bytes(b"")
+    (tmp_path / "node_modules" / "huge.php").write_bytes(line * 100)
+    (tmp_path / "huge.php").write_bytes(line * 100)
+    (tmp_path / "image.png").write_bytes(b"\x89PNG")
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength", None)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")
+    try:
+        found = scan(spark, str(tmp_path))
+        places = {(Path(r["file"]).name, r["line"], r["column"]) for r in found.findings.collect()}
+        (stats,) = found.stats.collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength") if before is None else spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+    plain = {p[2] for p in places if p[0] == "plain.php"}
+    assert plain and {p[2] for p in places if p[0] == "deep.php"} == plain
+    assert {p[2] for p in places if p[0] == "latin.php"} == {c + 3 for c in plain}, "offsets are those of the bytes"
+    assert {p[0] for p in places} == {"plain.php", "latin.php", "deep.php"}
+    assert (stats["files_scanned"], stats["files_skipped"], stats["lines_scanned"]) == (4, 3, 2 + 2 + 1 + 5) and stats["findings_total"] == len(places)
