@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis, linking, scan, symbols, units
+from . import analysis, hir, linking, scan, symbols, units
 
-MODULES = [scan, symbols, analysis, units, linking]
+MODULES = [scan, symbols, analysis, units, linking, hir]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
