@@ -29,21 +29,35 @@ ANNULUS = 256
 def integer_vectors(vectors: DataFrame, is_query: Column, scale: int, id_col: str, vector_col: str) -> DataFrame:
     """id, v (array of floor(scale * x)), row and is_query of each vector that takes part."""
     v, finite = col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
-    whole = F.transform(v, lambda x: F.floor(x.cast("double") * scale))
+    fits = lambda x: F.abs(x.cast("double") * scale) < float(1 << 62)
+    whole = F.transform(v, lambda x: F.when(fits(x), F.floor(x.cast("double") * scale)).otherwise(F.raise_error(F.lit("a component does not fit in a long")).cast("long")))
     return vectors.filter(col(id_col).isNotNull() & v.isNotNull() & F.forall(v, finite)).select(
         col(id_col).cast("long").alias("id"), whole.alias("v"), F.monotonically_increasing_id().alias("row"), F.coalesce(is_query, F.lit(False)).alias("is_query")
     )
 
 
-def _matrix(v: pa.Array, width: int) -> np.ndarray:
-    """Lists of numbers as rows of floats, shorter ones filled with 0. Integers below 2**53 stay exact."""
-    values, ends = v.values.to_numpy(zero_copy_only=False).astype(np.float64), v.offsets.to_numpy()
+def _whole(v: pa.Array, width: int) -> np.ndarray:
+    """Lists of integers as rows, shorter ones filled with 0."""
+    values, ends = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()
     sizes = np.diff(ends)
-    out = np.zeros((len(v), width))
+    out = np.zeros((len(v), width), np.int64)
     out[np.arange(width) < sizes[:, None]] = values[ends[0] : ends[-1]]
     return out
 
 
+def _matrix(v: pa.Array, width: int) -> np.ndarray:
+    """As ``_whole``, in floats: for distances, which may be rounded."""
+    return _whole(v, width).astype(np.float64)
+
+
+def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products. The arrays hold floats where all products are exact in them, else Python integers."""
+    found = queries @ vectors.T
+    if found.dtype == object and found.size and not -(1 << 63) < found.min() <= found.max() < 1 << 63:
+        raise OverflowError("a score does not fit in a long")
+    return found.astype(np.int64)
+
+
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     """Farthest-first: each pivot is the sampled vector farthest from those before it."""
     chosen, far = [0], np.linalg.norm(sample - sample[0], axis=1)
@@ -72,7 +86,7 @@ class Best:
         if len(q):
             k, n = self.score.shape[1], len(q)
             all_of = [np.concatenate([old[q], new], axis=1) for old, new in ((self.score, score), (self.id, np.where(score > LOWEST, ids, LAST)), (self.row, np.where(score > LOWEST, rows, LAST)))]
-            order = np.lexsort((all_of[2], all_of[1], -all_of[0].astype(np.float64)), axis=-1)[:, :k]
+            order = np.lexsort((all_of[2], all_of[1], ~all_of[0]), axis=-1)[:, :k]
             for held, x in zip((self.score, self.id, self.row), all_of):
                 held[q] = x[np.arange(n)[:, None], order]
 
@@ -97,7 +111,7 @@ def search(best: Best, queries: np.ndarray, away: np.ndarray, norms: np.ndarray,
         q, at, up, down = q[on], at[on], up[on], down[on]
         for a in np.unique(at):
             here, part = q[at == a], slice(starts[a], starts[a] + ANNULUS)
-            best.offer(here, (queries[here] @ vectors[part].T).astype(np.int64), ids[part], rows[part])
+            best.offer(here, _scores(queries[here], vectors[part]), ids[part], rows[part])
         went_up = at == up
         up, down = up + went_up, down - ~went_up
         steps = None if steps is None else steps - 1
@@ -106,7 +120,7 @@ def search(best: Best, queries: np.ndarray, away: np.ndarray, norms: np.ndarray,
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, pivots: int = 64, sample: int = 2000, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row that is a query: query_id, rank, vec_id, score of its k best other rows.
 
-    Score is the inner product of floor(scale * x); it has to stay below 2**53. Ties go to the smaller id. A
+    Score is the inner product of floor(scale * x), exactly; one that does not fit in a long is an error. Ties go to the smaller id. A
     query's own row is no candidate, but a repeated row of the same id is. Null ids, null vectors and
     vectors with null or non-finite components take no part. Vectors of fewer components than the
     longest count as filled up with 0. Fewer than k candidates: all of them. Pivots come from a sample of
@@ -118,6 +132,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     width, square = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(squares), F.lit(0.0))).first()
     most = float(np.sqrt(square))
+    number = np.float64 if square < 1 << 52 else object  # no score is above the largest square
     picked = rows.select("v").orderBy(F.xxhash64("id", "row")).limit(sample).toArrow().column(0).combine_chunks()
     if not len(picked):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -138,17 +153,18 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
 
     def over(shared, home_only: bool):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q_rows, q, bounds = shared.value
+            q_ids, q_rows, q_whole, bounds = shared.value
+            q, q_own = q_whole.astype(np.float64), q_whole.astype(number)
             norms, best = (q**2).sum(axis=1), Best(k, q_rows, bounds)
             away = np.sqrt(np.maximum(0, norms[:, None] + square - 2 * q @ centres[:, :-1].T))
             home = away.argmin(axis=1)
             for batch in batches:
                 ids, own_rows, pivot, distance = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row", "pivot", "distance"))
-                matrix = _matrix(batch.column("v"), width)
+                matrix = _whole(batch.column("v"), width).astype(number)
                 for p in np.unique(pivot):
                     part = pivot == p
                     wanted = np.flatnonzero(home == p) if home_only else np.arange(len(q))
-                    search(best, q, away[:, p], norms, most, (matrix[part], distance[part], ids[part], own_rows[part]), wanted, 1 if home_only else None)
+                    search(best, q_own, away[:, p], norms, most, (matrix[part], distance[part], ids[part], own_rows[part]), wanted, 1 if home_only else None)
             at, place = np.nonzero(best.score > LOWEST)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[at], q_rows[at], best.id[at, place], best.row[at, place], best.score[at, place])], names=["query_id", "query_row", "vec_id", "row", "score"])
 
@@ -161,7 +177,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
         if not own.num_rows:
             break
         q_rows, q_ids = (own.column(c).to_numpy() for c in ("row", "id"))
-        q, after = _matrix(own.column("v").combine_chunks(), width), int(q_rows[-1])
+        q, after = _whole(own.column("v").combine_chunks(), width), int(q_rows[-1])
         start = spark.sparkContext.broadcast((q_ids, q_rows, q, np.full(len(q), LOWEST)))
         bounds = dict.fromkeys(q_rows.tolist(), LOWEST)
         for r in over(start, True).withColumn("rank", ranked).filter(F.col("rank") <= k).groupBy("query_row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).filter(F.col("n") == k).collect():

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from codestrata.llm.packed import pack, pack_bits, pack_sorted, unpack, unpack_bits, unpack_sorted
@@ -76,3 +77,20 @@ def test_packed_arrays_come_back():
     for x in (np.zeros(0, np.uint64), np.array([0, 0, 2**64 - 1], np.uint64), rng.integers(0, 2**63, 1000, np.uint64), np.arange(300, dtype=np.uint64)):
         assert (unpack(pack(x)) == x).all() and (unpack_sorted(pack_sorted(np.sort(x))) == np.sort(x)).all()
         assert (unpack_bits(pack_bits(x % np.uint64(2) == 1)) == (x % np.uint64(2) == 1)).all()
+
+
+@pytest.mark.parametrize("large", [1e6, 1e9])
+def test_scores_beyond_what_floats_hold(spark, large):
+    rows = [(k, [large, k / 1024, -large / 3 * (k % 5)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {k: [int(np.floor(1024 * x)) for x in v] for k, v in rows}
+    if large > 1e7:
+        with pytest.raises(Exception, match="does not fit in a long"):
+            exact_top_k(df, F.col("vec_id") % 10 == 0).collect()
+        return
+    got = {}
+    for r in exact_top_k(df, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in range(0, 60, 10):
+        want = sorted(((sum(a * b for a, b in zip(whole[q], v)), k) for k, v in whole.items() if k != q), key=lambda x: (-x[0], x[1]))[:10]
+        assert got[q] == [(k, score) for score, k in want]
