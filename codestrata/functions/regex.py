@@ -55,15 +55,3 @@ def match_spans(text: Column, pattern: str, group: int = 1) -> Column:
         return F.struct(end.alias("at"), F.when(x["match"].isNotNull(), F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(pieces, start, step, lambda acc: acc["out"])
-
-
-def line_starts(lines: Column) -> Column:
-    """The byte at which each line starts; one newline ends each."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(lines, start, lambda acc, x: F.struct((acc["at"] + F.octet_length(x) + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-
-
-def line_at(starts: Column, offset: Column) -> Column:
-    """struct<line, char> from 0 of a byte offset."""
-    before = F.filter(starts, lambda s: s <= offset)
-    return F.struct((F.size(before) - 1).alias("line"), (offset - F.element_at(before, -1)).alias("char"))

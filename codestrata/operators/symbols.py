@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.regex import line_at, line_starts, match_spans, portable
-from .match import lines_of
+from ..functions.regex import portable
 
 CLASS, METHOD, FUNCTION, VARIABLE, CONSTANT, FIELD = 5, 6, 12, 13, 14, 8
 
@@ -49,36 +52,62 @@ SECRET_NAMES = ["password", "passwd", "pwd", "secret", "key", "token", "api_key"
 SECRET_TEXT = "Detects hardcoded secrets through variable analysis"
 
 
+_PLACED = [("ordinal", pa.int32()), ("name", pa.string()), ("kind", pa.int32()), ("start_line", pa.int32()), ("start_char", pa.int32()), ("end_line", pa.int32()), ("end_char", pa.int32()), ("body", pa.string())]
+
+
+def place(content: str, found: list[dict]) -> list[dict]:
+    """Where matches lie in a file. found: for each pattern its kind, the bytes between matches and of matches, in order, and the names. One pass over
+    the file's line starts, and sums along the matches."""
+    raw = np.frombuffer(content.encode(), np.uint8)
+    starts = np.concatenate([[0], np.flatnonzero(raw == 10) + 1])
+    out: list[dict] = []
+    for own in found:
+        if not own["names"]:
+            continue
+        n = len(own["names"])
+        end = np.cumsum(np.add(own["between"][:n], own["matched"]))
+        start = end - np.array(own["matched"])
+        first, last = np.searchsorted(starts, start, "right") - 1, np.searchsorted(starts, end, "right") - 1
+        stop = np.append(starts[1:] - 1, len(raw))[last]
+        for name, a, z, i, j, e in zip(own["names"], start.tolist(), end.tolist(), first.tolist(), last.tolist(), stop.tolist()):
+            line, until = int(starts[i]), int(starts[j])
+            out.append({"ordinal": len(out), "name": name, "kind": own["kind"], "start_line": i, "start_char": a - line, "end_line": j, "end_char": z - until, "body": raw[line:e].tobytes().decode()})
+    return out
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """files -> path, language, ordinal, name, kind, start_line, start_char, end_line, end_char (from 0), flags, tainted_sources.
 
-    Symbols come in order of pattern, then of place; an extent is that of the matched header.
+    Symbols come in order of pattern, then of place; an extent is that of the matched header. Matching is Spark's; what it finds is placed file by
+    file in time that grows with the file, and flags look at each symbol's own lines once.
     """
-    known = [k for k in EXTRACTORS if k != "*"]
-    kinds = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
+    content = F.col("content")
 
     def found(language: str) -> Column:
         def of(kind: int, pattern: str) -> Column:
-            return F.transform(match_spans(F.col("content"), portable(pattern)), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+            java = portable(pattern)
+            sizes = lambda texts: F.transform(texts, lambda x: F.octet_length(x))
+            matches = F.regexp_extract_all(content, F.lit(java), F.lit(0))
+            return F.struct(
+                F.lit(kind).alias("kind"), sizes(F.split(content, java, -1)).alias("between"), sizes(matches).alias("matched"), F.regexp_extract_all(content, F.lit(java), F.lit(1)).alias("names")
+            )
 
-        return F.concat(*[of(k, p) for k, p in EXTRACTORS[language]])
+        return F.array(*[of(k, p) for k, p in EXTRACTORS[language]])
 
+    known = [k for k in EXTRACTORS if k != "*"]
     by_language = found("*")
     for k in known:
         by_language = F.when(F.col("language") == k, found(k)).otherwise(by_language)
-    every = files.select("path", "language", lines_of(F.col("content")).alias("lines"), F.coalesce(by_language, kinds).alias("found"))
-    every = every.filter(F.size("found") > 0).withColumn("starts", line_starts(F.col("lines")))
 
-    def placed(x: Column, i: Column) -> Column:
-        a, b = line_at(F.col("starts"), x["start"]), line_at(F.col("starts"), x["end"])
-        body = F.lower(F.array_join(F.slice(F.col("lines"), a["line"] + 1, b["line"] - a["line"] + 1), "\n"))
-        flags = [F.exists(F.array(*map(F.lit, words)), lambda w: body.contains(w)).alias(name) for name, words in FLAGS.items()]
-        taint = F.filter(F.array(*map(F.lit, TAINT)), lambda w: body.contains(F.lower(w))).alias("tainted_sources")
-        return F.struct(
-            i.alias("ordinal"), x["value"].alias("name"), x["kind"].alias("kind"), a["line"].alias("start_line"), a["char"].alias("start_char"), b["line"].alias("end_line"), b["char"].alias("end_char"), *flags, taint
-        )
+    @F.arrow_udf(f"array<struct<{', '.join(f'{c}: ' + ('string' if t == pa.string() else 'int') for c, t in _PLACED)}>>")
+    def placed(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([place(t, f) if t is not None and f is not None else None for t, f in zip(texts.to_pylist(), spans.to_pylist())], pa.list_(pa.struct(_PLACED)))
 
-    return every.select("path", "language", F.explode(F.transform("found", placed)).alias("s")).select("path", "language", "s.*")
+    rows = files.filter(content.isNotNull()).select("path", "language", F.explode(placed(content, by_language)).alias("s")).select("path", "language", "s.*").withColumn("lowered", F.lower("body"))
+    body = F.col("lowered")
+    flags = [body.rlike("|".join(re.escape(w) for w in words)).alias(name) for name, words in FLAGS.items()]
+    taint = F.array_compact(F.array(*[F.when(body.contains(w.lower()), F.lit(w)) for w in TAINT])).alias("tainted_sources")
+    return rows.select("path", "language", *[c for c, _ in _PLACED if c != "body"], *flags, taint)
 
 
 def symbol_id(path: Column) -> Column:
@@ -119,8 +148,9 @@ def find_symbol(index: DataFrame, query: str, kinds: list[int] = ()) -> DataFram
 def symbol_at(rows: DataFrame, positions: DataFrame) -> DataFrame:
     """positions(path, line, char, ...) -> with the innermost symbol there; none stays null. Extents hold both ends."""
     at, start, end = (F.col(a).cast("long") * 1_000_000 + F.col(b) for a, b in (("line", "char"), ("start_line", "start_char"), ("end_line", "end_char")))
-    own = rows.select(F.col("path").alias("own"), "symbol_id", "name", start.alias("start"), end.alias("end"))
-    joined = positions.join(own, (F.col("path") == F.col("own")) & at.between(F.col("start"), F.col("end")), "left")
+    # A symbol meets the positions on its own lines only.
+    own = rows.select(F.col("path").alias("own"), "symbol_id", "name", start.alias("start"), end.alias("end"), F.explode(F.sequence("start_line", "end_line")).alias("own_line"))
+    joined = positions.join(own, (F.col("path") == F.col("own")) & (F.col("line") == F.col("own_line")) & at.between(F.col("start"), F.col("end")), "left")
     inner = F.min_by(F.struct("symbol_id", "name"), F.struct(F.col("end") - F.col("start"), -F.col("start"), "symbol_id"))
     return joined.groupBy(*positions.columns).agg(inner.alias("s")).select(*positions.columns, "s.symbol_id", "s.name")
 

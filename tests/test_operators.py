@@ -313,3 +313,12 @@ def test_a_folder_of_anything(spark, tmp_path):
     assert {p[2] for p in places if p[0] == "latin.php"} == {c + 3 for c in plain}, "offsets are those of the bytes"
     assert {p[0] for p in places} == {"plain.php", "latin.php", "deep.php"}
     assert (stats["files_scanned"], stats["files_skipped"], stats["lines_scanned"]) == (4, 3, 2 + 2 + 1 + 5) and stats["findings_total"] == len(places)
+
+
+def test_symbols_of_a_long_file_in_proportion(spark):
+    block = 'class K extends B implements I {\n  public function f($a) {\n    $v = $_GET["é"];\n  }\n}\n'
+    files = spark.createDataFrame([("/long.php", "php", block * 20_000)], "path string, language string, content string")
+    start = time.perf_counter()
+    rows = symbols.symbols(files).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("end_line").alias("last"), F.sum(F.col("user_input").cast("int")).alias("inputs")).collect()
+    assert {(r["kind"], r["n"], r["last"], r["inputs"]) for r in rows} == {(symbols.CLASS, 20_000, 99_995, 0), (symbols.FUNCTION, 20_000, 99_996, 0), (symbols.VARIABLE, 20_000, 99_997, 20_000)}
+    assert time.perf_counter() - start < 60  # 100,000 lines
