@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -174,6 +175,45 @@ def symbol_findings(rows: DataFrame) -> DataFrame:
     return hits.select(F.lit(SECRET_RULE).alias("rule_id"), "path", (F.col("start_line") + 1).alias("line"), (F.col("start_char") + 1).alias("column"), "name", text.alias("description"), confidence().alias("confidence"))
 
 
+@dataclass(frozen=True)
+class SymbolRule:
+    """A rule over symbols: of these kinds and languages, with one of the names in theirs, and all of the flags."""
+
+    rule_id: str
+    description: str
+    severity: int
+    cwe: str
+    languages: tuple[str, ...]
+    kinds: tuple[int, ...]
+    names: tuple[str, ...]
+    flags: tuple[str, ...] = ()
+
+
+# The rules over symbols.
+SYMBOL_RULES = [
+    SymbolRule("SYMBOL-SQL-001", "Detects SQL injection vulnerabilities through data flow analysis", 3, "CWE-89", ("go", "php", "java", "python", "javascript"), (FUNCTION, METHOD), ("query", "execute", "prepare"), ("user_input", "sql")),
+    SymbolRule("SYMBOL-XSS-001", "Detects XSS vulnerabilities through output context analysis", 2, "CWE-79", ("php", "javascript", "java", "python"), (FUNCTION, METHOD), ("echo", "print", "write", "render"), ("user_input",)),
+    SymbolRule("SYMBOL-CMD-001", "Detects command injection through system call analysis", 3, "CWE-78", ("php", "python", "java", "go"), (FUNCTION,), ("system", "exec", "command", "shell"), ("user_input", "command")),
+    SymbolRule(SECRET_RULE, SECRET_TEXT, 2, "CWE-798", ("*",), tuple(SECRET_KINDS), tuple(SECRET_NAMES)),
+]
+
+
+def rule_findings(rows: DataFrame, rules: list[SymbolRule] = SYMBOL_RULES) -> DataFrame:
+    """rule_id, severity, cwe, path, line, column, name, description, confidence: each rule that holds for a symbol that is vulnerable at all, by what the rules
+    are meant to find: their languages count. One pass over the symbols."""
+
+    def hit(rule: SymbolRule) -> Column:
+        own = F.lit("*" in rule.languages) | F.col("language").isin(*rule.languages)
+        holds = own & F.col("kind").isin(*rule.kinds) & F.lower("name").rlike("|".join(map(re.escape, rule.names)))
+        for flag in rule.flags:
+            holds = holds & F.col(flag)
+        return F.when(holds, F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.cwe).alias("cwe"), F.lit(rule.description).alias("text")))
+
+    every = vulnerable(rows).withColumn("rule", F.explode(F.array_compact(F.array(*map(hit, rules)))))
+    text = F.format_string("%s detected in symbol '%s' (%s)", "rule.text", "name", "name_path")
+    return every.select("rule.rule_id", "rule.severity", "rule.cwe", "path", (F.col("start_line") + 1).alias("line"), (F.col("start_char") + 1).alias("column"), "name", text.alias("description"), confidence().alias("confidence"))
+
+
 def outline(rows: DataFrame) -> DataFrame:
     """path, outline: a file's scopes in order, each two blanks deeper than its parent."""
     text = F.concat(F.when(F.col("parent_id").isNull(), "").otherwise("  "), F.format_string("%s (%d)", "name", "kind"))

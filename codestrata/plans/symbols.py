@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import symbols as ops
+from ..session import table
 from ..sources.corpus import SQL, events_corpus
 from .scan import _quoted
 
@@ -57,6 +58,23 @@ def symbol_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.symbol_findings(_scopes(spark, sf_dir))
 
 
+#: Files of one line for the rules over symbols: language, extension, line (``@`` stands for the event), then the name, rule and confidence to be found.
+RULED = [
+    ("php", "php", 'function runQuery@($q) { return mysqli_query($db, $_GET["q"]); }', "runQuery@", 0, 100), ("javascript", "js", "function renderPage@(a) { out.innerHTML = request.query; }", "renderPage@", 1, 85),
+    ("python", "py", "def shellOut@(a): os.system(request.params)", "shellOut@", 2, 100), ("go", "go", "func execQuery@(r) { db.Query(r.Form) }", "execQuery@", 0, 95), ("php", "php", '$secretToken@ = $_GET["t"];', "secretToken@", 3, 85),
+    ("ruby", "rb", "function printQuery@(a) { mysql_query($_GET) }", None, None, None), ("php", "php", "function runQuery@($q) { return 1; }", None, None, None),
+]
+
+
+def symbol_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four rules over symbols, on files of one line each."""
+    k = (F.col("event_id") % len(RULED) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in RULED]), k)
+    path = F.concat(F.lit("/rules/e"), F.col("event_id").cast("string"), F.lit("."), pick(1))
+    files = table(spark, sf_dir, "events").select(path.alias("path"), pick(0).alias("language"), F.replace(pick(2), F.lit("@"), F.col("event_id").cast("string")).alias("content"))
+    return ops.rule_findings(ops.scopes(ops.symbols(files)))
+
+
 def _extract(language: str, seq: int, kind: int, pattern: str) -> str:
     where = f"language = '{language}'" if language != "*" else "language NOT IN (" + ", ".join(_quoted(k) for k in ops.EXTRACTORS if k != "*") + ")"
     q = _quoted(pattern)
@@ -90,6 +108,7 @@ QUERIES = {
     "find_symbol": find_symbol,
     "symbol_at_position": symbol_at_position,
     "symbol_findings": symbol_findings,
+    "symbol_rule_findings": symbol_rule_findings,
     "symbol_outline": symbol_outline,
 }
 ORACLES = {
@@ -106,4 +125,8 @@ QUALIFY row_number() OVER (PARTITION BY p.path, p.line ORDER BY b - a, -a, x.sym
     "symbol_outline": SYMBOLS + "SELECT path, string_agg(CASE WHEN ordinal > 0 THEN '  ' ELSE '' END || name || ' (' || kind || ')', chr(10) ORDER BY ordinal) AS outline FROM s GROUP BY path",
     "symbol_findings": SYMBOLS + f"""SELECT '{ops.SECRET_RULE}' AS rule_id, path, (start_line + 1)::INTEGER AS line, (start_char + 1)::INTEGER AS "column", name,
  '{ops.SECRET_TEXT} detected in symbol ''' || name || ''' (' || name || ')' AS description, confidence FROM v WHERE kind IN (13, 14, 8) AND ({' OR '.join(f"contains(lower(name), '{w}')" for w in ops.SECRET_NAMES)})""",
+    "symbol_rule_findings": "WITH r(k, ext, name, rule_id, severity, cwe, text, confidence) AS (VALUES " + ", ".join(
+        f"({k}, '{r[1]}', '{r[3]}', '{ops.SYMBOL_RULES[r[4]].rule_id}', {ops.SYMBOL_RULES[r[4]].severity}, '{ops.SYMBOL_RULES[r[4]].cwe}', '{ops.SYMBOL_RULES[r[4]].description}', {r[5]})" for k, r in enumerate(RULED) if r[3]
+    ) + f"""), e AS (SELECT event_id, event_id % {len(RULED)} AS k FROM events), f AS (SELECT *, replace(name, '@', event_id::VARCHAR) AS own FROM e JOIN r USING (k))
+SELECT rule_id, severity, cwe, '/rules/e' || event_id || '.' || ext AS path, 1 AS line, 1 AS "column", own AS name, text || ' detected in symbol ''' || own || ''' (' || own || ')' AS description, confidence FROM f""",
 }
