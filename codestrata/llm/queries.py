@@ -158,9 +158,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
-    return ids.select(
+    digests = ids.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256")
     )
+    return written(digests)  # written, so that batches of texts are bounded
 
 
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
