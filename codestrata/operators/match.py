@@ -1,18 +1,20 @@
 """Rules over lines: findings with byte-exact positions and context.
 
-A file's lines stay together in one row, so that context needs neither a shuffle nor a window: one
-alternation of all patterns picks the lines that may match, with their context, and only these are matched
-pattern by pattern.
+A file's lines come from one row, so that context needs neither a shuffle nor a window. A pattern is tried only on lines
+that hold a literal it cannot do without.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import match_offsets, portable
+from ..functions.literals import folded, holds, required
+from ..functions.regex import portable
 from .rules import RULES, Rule, severity_name
 
 CONTEXT = 2
@@ -30,13 +32,20 @@ def line_count(content: Column) -> Column:
 
 def context_of(lines: Column, i: Column, around: int = CONTEXT) -> Column:
     """The lines around line i (from 0), numbered, with the line itself marked."""
-    first = F.greatest(i - around, F.lit(0))
-    near = F.slice(lines, first + 1, F.least(i + around, F.size(lines) - 1) - first + 1)
-    return F.transform(near, lambda text, k: F.format_string("%s%4d: %s", F.when(k + first == i, ">> ").otherwise("   "), (k + first + 1).cast("int"), text))
+
+    def numbered(d: int) -> Column:
+        n = (i + d + 1).cast("string")
+        return F.concat(F.lit(">> " if d == 0 else "   "), F.when(F.length(n) < 4, F.lpad(n, 4, " ")).otherwise(n), F.lit(": "), F.get(lines, i + d))
+
+    near = F.array(*[numbered(d) for d in range(-around, around + 1)])
+    first, last = F.greatest(i - around, F.lit(0)), F.least(i + around, F.size(lines) - 1)
+    return F.slice(near, first - i + around + 1, last - first + 1)
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends. Text that begins and ends with visible ASCII has none there."""
+    visible = F.ascii(text).between(33, 126) & F.ascii(F.right(text, F.lit(1))).between(33, 126)
+    return F.when(visible, text).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
 def applies(rule: Rule, language: Column) -> Column:
@@ -45,45 +54,41 @@ def applies(rule: Rule, language: Column) -> Column:
 
 def findings(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """files(path, language, content) -> one row per match of a rule's pattern, and one per line with a literal."""
-    lines, none = lines_of(F.col("content")), F.array().cast("array<struct<rule:int,seq:int,start:int,confidence:int>>")
-
-    def hit(rule: int, seq: int, start: Column, confidence: int) -> Column:
-        return F.struct(F.lit(rule).alias("rule"), F.lit(seq).alias("seq"), start.cast("int").alias("start"), F.lit(confidence).alias("confidence"))
-
-    def regex_hits(text: Column, rule: int, seq: int, pattern: str) -> Column:
-        return F.transform(match_offsets(text, portable(pattern)), lambda m: hit(rule, seq, m["start"], 85))
-
-    def literal_hit(text: Column, rule: int, seq: int, literal: str) -> Column:
-        return F.when(text.contains(literal), F.array(hit(rule, seq, F.octet_length(F.substring_index(text, literal, 1)), 75))).otherwise(none)
-
-    def hits(text: Column) -> Column:
-        found = []
-        for k, rule in enumerate(rules):
-            own = [regex_hits(text, k, s, p) for s, p in enumerate(rule.patterns)]
-            own += [literal_hit(text, k, len(rule.patterns) + s, p) for s, p in enumerate(rule.literals)]
-            if own:
-                found.append(F.when(applies(rule, F.col("language")), F.concat(*own)).otherwise(none))
-        return reduce(lambda a, b: F.concat(a, b), found) if found else none
-
-    def may_hit(text: Column) -> Column:
-        """One pass over a line for all rules: most lines end here."""
-        patterns, literals = [portable(p) for r in rules for p in r.patterns], [p for r in rules for p in r.literals]
-        checks = ([text.rlike("|".join(f"(?:{p})" for p in patterns))] if patterns else []) + [text.contains(p) for p in literals]
-        return reduce(lambda a, b: a | b, checks, F.lit(False))
-
-    numbered = F.transform("lines", lambda text, i: F.struct(text.alias("text"), i.alias("i")))
-    suspects = F.transform(F.filter(numbered, lambda x: may_hit(x["text"])), lambda x: F.struct(x["text"].alias("text"), x["i"].alias("i"), context_of(F.col("lines"), x["i"]).alias("context")))
-    at_lines = files.select("path", "language", lines.alias("lines")).select("path", "language", F.explode(suspects).alias("at"))
-    every = at_lines.select("path", "language", "at", F.explode(hits(F.col("at.text"))).alias("hit"))
-    every = every.select("path", "language", F.struct("hit", (F.col("at.i") + 1).cast("int").alias("line"), F.col("at.text").alias("text"), F.col("at.context").alias("context")).alias("m"))
-    details = F.element_at(
-        F.array(*[F.struct(*[F.lit(getattr(r, c)).alias(c) for c in ("rule_id", "type", "severity", "name", "description", "cwe", "owasp", "category", "remediation")]) for r in rules]),
-        F.col("m.hit.rule") + 1,
+    tried = [(rule, seq, p, seq >= len(rule.patterns)) for rule in rules for seq, p in enumerate([*rule.patterns, *rule.literals])]
+    if not tried:
+        return findings(files.limit(0))
+    needs = [required(re.escape(p) if literal else p) for _, _, p, literal in tried]
+    text, language, path, none = F.col("text"), F.col("language"), F.coalesce("path", F.lit("null")), F.lit(None).cast("array<string>")
+
+    def by_pattern(value: Callable[[str, bool], Column]) -> Column:
+        """The value of the pattern that a row stands for; regular expressions have to be constants."""
+        return reduce(lambda case, x: case.when(F.col("k") == x[0], value(x[1][2], x[1][3])), enumerate(tried), F.when(F.lit(False), none))
+
+    split = files.select("path", "language", lines_of(F.col("content")).alias("lines"), lines_of(folded(F.col("content"))).alias("low"))
+    lines = split.select("path", "language", "lines", F.posexplode_outer(F.arrays_zip(F.col("lines").alias("text"), F.col("low").alias("low"))).alias("i", "line"))
+    lines = lines.select("path", "language", "lines", "i", "line.text", "line.low").filter(holds(F.col("low"), None if None in needs else frozenset().union(*needs)))
+    # Outer, as a plain explode also filters by its array and works it out twice. The two array_compact cut the generated
+    # stage: a method for all patterns and generators at once is too large for the JVM to compile, and twice as slow.
+    # A pattern is tried where its literals stand: one row for each that matches.
+    matching = [F.when(applies(rule, language) & holds(F.col("low"), s) & (text.contains(p) if literal else text.rlike(portable(p))), k) for k, ((rule, _, p, literal), s) in enumerate(zip(tried, needs))]
+    lines = lines.select("path", "language", "lines", "i", "text", F.explode_outer(F.array_compact(F.array(*matching))).alias("k")).filter("k IS NOT NULL")
+    # What it matches, and the text split there; of literals the first only.
+    found = lines.select(
+        "path", "language", "i", "text", "k", context_of(F.col("lines"), F.col("i")).alias("context"),
+        by_pattern(lambda p, literal: F.array(F.lit(p)) if literal else F.regexp_extract_all(text, F.lit(portable(p)), F.lit(0))).alias("matches"),
+        F.array_compact(by_pattern(lambda p, literal: F.array(F.substring_index(text, p, 1)) if literal else F.split(text, portable(p), -1))).alias("between"),
+    )
+    hits = found.select("path", "language", "i", "text", "k", "context", "matches", "between", F.posexplode_outer("matches").alias("j", "match")).drop("match")
+    before = F.when(F.col("j") == 0, F.octet_length(F.get("between", F.lit(0)))).otherwise(
+        F.octet_length(F.array_join(F.slice("between", F.lit(1), F.col("j") + 1), "")) + F.octet_length(F.array_join(F.slice("matches", F.lit(1), F.col("j")), ""))
     )
-    return every.select("path", "language", "m", details.alias("r")).select(
-        F.format_string("%s-%s-%d-%d", "r.rule_id", "path", "m.line", "m.hit.start").alias("finding_id"),
-        "r.rule_id", "r.type", "r.severity", F.col("r.name").alias("title"), "r.description", F.col("path").alias("file"), "m.line", (F.col("m.hit.start") + 1).alias("column"),
-        trimmed(F.col("m.text")).alias("code"), "m.context", "r.remediation", "r.cwe", "r.owasp", "r.category", F.col("m.hit.confidence").alias("confidence"), F.col("m.hit.seq").alias("pattern"),
+    shown = ("rule_id", "type", "severity", "name", "description", "cwe", "owasp", "category", "remediation")
+    details = F.array(*[F.struct(*[F.lit(getattr(r, c)).alias(c) for c in shown], F.lit(seq).alias("seq"), F.lit(75 if literal else 85).alias("confidence")) for r, seq, _, literal in tried])
+    hits = hits.select("path", "text", "context", F.element_at(details, F.col("k") + 1).alias("r"), (F.col("i") + 1).alias("line"), before.alias("start"))
+    return hits.select(
+        F.concat("r.rule_id", F.lit("-"), path, F.lit("-"), F.col("line").cast("string"), F.lit("-"), F.col("start").cast("string")).alias("finding_id"),
+        "r.rule_id", "r.type", "r.severity", F.col("r.name").alias("title"), "r.description", F.col("path").alias("file"), "line", (F.col("start") + 1).alias("column"),
+        trimmed(text).alias("code"), "context", "r.remediation", "r.cwe", "r.owasp", "r.category", "r.confidence", F.col("r.seq").alias("pattern"),
     )
 
 
