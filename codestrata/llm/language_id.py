@@ -28,13 +28,20 @@ FEATURES = 1 << FEATURE_BITS
 UNKNOWN = "und"
 #: Words labelled together, and words whose features are remembered by a task.
 TOGETHER, REMEMBERED = 100_000, 150_000
+#: Languages up to which a field has its full size.
+MAX_LANGUAGES = 256
+
+
+def shared_out(bound: int, languages: int, full: int = MAX_LANGUAGES) -> int:
+    """A bound on rows that hold a number for each language: beyond ``full`` languages the numbers stay as many."""
+    return bound if languages <= full else max(1, bound * full // languages)
 
 
 def letters(token: str) -> str:
     return token.lower() if token.isalpha() else "".join(filter(str.isalpha, token.lower()))
 
 
-def word_features(words: list[str], lexicons: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+def word_features(words: list[str], lexicons: list[set[str]], bits: int = FEATURE_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words of letters, and the word of each: the n-grams of 1 to 4 bytes of ^word$, of which
     those that hold ^ or $ are its affixes, and the lexicons it stands in."""
     bounded = [b"^" + w.encode() + b"$" for w in words]
@@ -47,11 +54,11 @@ def word_features(words: list[str], lexicons: list[set[str]]) -> tuple[np.ndarra
     for n in range(1, GRAM + 1):
         gram = gram[: len(text) - n + 1] * np.uint64(257) + text[n - 1 :]
         fits = room[: len(gram)] >= n
-        features.append((gram[fits] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FEATURE_BITS))
+        features.append((gram[fits] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits))
         owners.append(owner[: len(gram)][fits])
     for k, lexicon in enumerate(lexicons):
         inside = [i for i, w in enumerate(words) if w in lexicon]
-        features.append(np.full(len(inside), FEATURES + k, np.uint64))
+        features.append(np.full(len(inside), (1 << bits) + k, np.uint64))
         owners.append(np.array(inside, np.int64))
     return np.concatenate(features).astype(np.int64), np.concatenate(owners)
 
@@ -62,12 +69,13 @@ class Field:
     lexicons: list[set[str]]
     weights: np.ndarray  # features, then lexicons, x languages
     moves: np.ndarray  # log weights, from x to
+    bits: int = FEATURE_BITS  # of hashed features
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = [np.zeros((0, len(self.languages)))]
         for at in range(0, len(words), 10_000):
             part = words[at : at + 10_000]
-            feature, owner = word_features(part, self.lexicons)
+            feature, owner = word_features(part, self.lexicons, self.bits)
             out.append(np.column_stack([np.bincount(owner, self.weights[feature, j], len(part)) for j in range(len(self.languages))]))
         return np.concatenate(out)
 
@@ -135,15 +143,19 @@ def switched(texts: list[tuple[str, list[str]]], rng: np.random.Generator, short
     return out
 
 
-def fit_field(texts: Iterable[tuple[str, str]], lexicon_size: int = 1000, max_words: int = 150_000, rounds: int = 30, seed: int = 11) -> Field | None:
+def fit_field(texts: Iterable[tuple[str, str]], lexicon_size: int = 1000, max_words: int = 150_000, rounds: int = 30, seed: int = 11, max_languages: int = MAX_LANGUAGES) -> Field | None:
     """Texts with their languages -> a field; None without any word. Adam on the whole sample's gradient. Each language
-    has an equal share of the words, so that rare ones are learned too."""
+    has an equal share of the words, so that rare ones are learned too. Beyond ``max_languages`` languages, fewer words of
+    each and fewer hashed features keep the field and its gradients as large as at that number; none is left out."""
     rng, taken, held = np.random.default_rng(seed), Counter(), []
     texts = list(texts)
-    share = max_words / max(1, len({language for language, _ in texts}))
+    labelled = len({language for language, _ in texts})
+    share = shared_out(max_words, labelled, max_languages) / max(1, labelled)
     for language, text in texts:
         words = [w for w in map(letters, text.split()) if w]
-        if words and taken[language] < share:
+        if labelled > max_languages:
+            words = words[: max(1, int(share)) - taken[language]]
+        if words and taken[language] < max(1, share):
             held.append((language, words))
             taken[language] += len(words)
     if not held:
@@ -158,11 +170,11 @@ def fit_field(texts: Iterable[tuple[str, str]], lexicon_size: int = 1000, max_wo
     tokens = np.array([number.setdefault(w, len(number)) for s in sequences for w, _ in s])
     truth = np.array([languages.index(k) for s in sequences for _, k in s])
     sizes = np.array([len(s) for s in sequences])
-    feature, word = word_features(list(number), lexicons)
-
     n, size = len(languages), len(tokens)
-    types, width = len(number), FEATURES + n
-    field = Field(languages, lexicons, np.zeros((width, n)), np.zeros((n, n)))
+    bits = max(8, shared_out(FEATURES, n, max_languages).bit_length() - 1)
+    feature, word = word_features(list(number), lexicons, bits)
+    types, width = len(number), (1 << bits) + n
+    field = Field(languages, lexicons, np.zeros((width, n)), np.zeros((n, n)), bits)
     seen, moved = np.zeros((types, n)), np.zeros((n, n))
     np.add.at(seen, (tokens, truth), 1.0)
     first = np.zeros(size, bool)
@@ -199,14 +211,14 @@ def label_texts(field: Field, texts: list[str | None], known: Emissions) -> tupl
     language's mean probability over its other words."""
     language, score, runs = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts)
     order = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""), reverse=True)
-    at = 0
+    at, (together, remembered) = 0, (shared_out(b, len(field.languages)) for b in (TOGETHER, REMEMBERED))
     while at < len(order):
         split, words = [], 0
-        while at < len(order) and (words < TOGETHER or not split):
+        while at < len(order) and (words < together or not split):
             split.append((order[at], (texts[order[at]] or "").split()))
             words += len(split[-1][1])
             at += 1
-        if len(known.row_of) > REMEMBERED:
+        if len(known.row_of) > remembered:
             known.forget()
         known.learn(set(chain.from_iterable(tokens for _, tokens in split)))
         rows = ((i, np.fromiter(map(known.row_of.__getitem__, tokens), np.int64, len(tokens))) for i, tokens in split)
@@ -234,24 +246,24 @@ def label_texts(field: Field, texts: list[str | None], known: Emissions) -> tupl
 
 
 def training_texts(docs: DataFrame, modulus: int, remainder: int, per_language: int, max_languages: int, max_bytes: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """Up to ``per_language`` whole texts of each language, by smallest hashed id. More than ``max_languages`` are an error:
-    a field of that many needs another bound, not fewer labels."""
+    """Up to ``per_language`` whole texts of each language, by smallest hashed id. Of more than ``max_languages`` languages
+    each has fewer, but at least one, so that the texts in all stay as many."""
     usable = docs.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
     usable = usable.filter(~in_fold(F.col("id"), modulus, remainder) & (F.octet_length("text") >= 1))
     common = usable.groupBy("lang").agg(F.min(F.octet_length("text")).alias("shortest"))
-    if common.limit(max_languages + 1).count() > max_languages:
-        raise ValueError(f"more than {max_languages} languages are labelled; raise max_languages if the field fits in memory")
+    languages = common.count()
+    per_language = shared_out(per_language, languages, max_languages)
     # A language without a text of max_bytes or less is learned from its shortest ones.
     common = common.select("lang", F.greatest("shortest", F.lit(max_bytes)).alias("most"))
     usable = usable.join(F.broadcast(common), "lang").filter(F.octet_length("text") <= F.col("most")).drop("most")
     # The group limit works on each task's rows before they are shuffled, so a hot language sends as little as any.
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     ids = usable.select("id", "lang").withColumn("place", place).filter(F.col("place") <= per_language).select("id", "lang")
-    rows = usable.join(F.broadcast(ids), ["id", "lang"], "left_semi").orderBy(F.xxhash64("id"), "id", "text").limit(per_language * max_languages).collect()
+    rows = usable.join(F.broadcast(ids), ["id", "lang"], "left_semi").orderBy(F.xxhash64("id"), "id", "text").limit(per_language * max(languages, max_languages)).collect()
     return [(r["lang"], r["text"]) for r in rows]
 
 
-def identify_languages(docs: DataFrame, modulus: int = 4, remainder: int = 2, per_language: int = 100, max_languages: int = 256, max_bytes: int = 20_000, max_words: int = 150_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+def identify_languages(docs: DataFrame, modulus: int = 4, remainder: int = 2, per_language: int = 100, max_languages: int = MAX_LANGUAGES, max_bytes: int = 20_000, max_words: int = 150_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, held_out, lang_pred, score (0 to 1), runs, and struct ``carried``.
 
     ``runs`` are the languages of all words in order: an array of (start, end, lang, score), each for the words
@@ -259,14 +271,14 @@ def identify_languages(docs: DataFrame, modulus: int = 4, remainder: int = 2, pe
 
     The field learns from text and language of rows outside the held-out fold, crc32(id) mod ``modulus`` =
     ``remainder``: at most ``per_language`` whole texts of at most ``max_bytes`` (or the language's shortest) in each
-    language, and ``max_words`` words in all, shared alike. More than ``max_languages`` languages are an error. Only text is an input of a prediction, and
-    all of it. Null text and text without a letter are ``und`` with score 0, as is everything if nothing
+    language, and ``max_words`` words in all, shared alike. Of more than ``max_languages`` languages each has fewer texts, words and
+    features, but at least a text and a word, so none is left out. Only text is an input of a prediction, and all of it. Null text and text without a letter are ``und`` with score 0, as is everything if nothing
     could be learned. Null ids are not held out and not learned from; rows with null language are not
     learned from. Repeated rows get equal rows; ties go to the first language by name. An empty table gives an
     empty result. Other columns are ignored unless carried, inside ``carried``.
     """
     carried = F.struct(*[col(c).alias(c) for c in carry]) if carry else F.struct(F.lit(True).alias("none"))
-    field = fit_field(training_texts(docs, modulus, remainder, per_language, max_languages, max_bytes, id_col, text_col, lang_col), max_words=max_words)
+    field = fit_field(training_texts(docs, modulus, remainder, per_language, max_languages, max_bytes, id_col, text_col, lang_col), max_words=max_words, max_languages=max_languages)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     @F.arrow_udf("struct<lang_pred: string, score: double, runs: array<struct<start: int, end: int, lang: string, score: double>>>")

@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from codestrata.llm.language_id import Emissions, Field, fit_field, forward_backward, identify_languages, label_texts, training_texts, word_features
@@ -103,10 +102,16 @@ def test_statistics_of_odd_texts():
         assert np.isfinite(statistics(text)).all() and len(statistics(text)) == len(NAMES)
 
 
-def test_every_labelled_language_is_learned_or_the_limit_is_an_error(spark):
+def test_every_labelled_language_is_learned(spark):
     rows = [(k, f"w{k % 70}x " * 30 if k % 70 else "rare " * 9000, f"l{k % 70:02}") for k in range(280)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     texts = training_texts(docs, 4, 2, 100, 70, 1000, "doc_id", "text", "lang")
     assert fit_field(texts, max_words=7000, rounds=2).languages == [f"l{k:02}" for k in range(70)]
-    with pytest.raises(ValueError):
-        identify_languages(docs, max_languages=69)
+    # Beyond the languages of a full field there are fewer texts, words and features, but every language is predicted.
+    rows = [(k, " ".join(f"{chr(97 + k % 5)}{chr(97 + k % 8)}{w}" for w in "mno") + " ", f"l{k % 40:02}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(training_texts(docs, 4, 2, 6, 8, 1000, "doc_id", "text", "lang")) == 40
+    found = identify_languages(docs, per_language=20, max_languages=8, max_words=12_000).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(found) == 400 and all(r["lang_pred"] == r["lang"] for r in found)
+    few = fit_field([(r[2], r[1]) for r in rows], max_words=10, rounds=1, max_languages=2)
+    assert len(few.languages) == 40 and few.weights.shape == ((1 << few.bits) + 40, 40) and few.bits < 17
