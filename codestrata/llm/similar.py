@@ -8,16 +8,18 @@ it takes until such a pair shares one with probability ``recall``, and the radiu
 fingerprints are. The width grows with the logarithm of the number of texts: shards keep their size. A shard's BK-tree
 finds the members within the radius, and a pair is linked if the similarity of its sets reaches the bound.
 
-Not every pair of a shard is tried, as a group of N copies has N * N of them. Each shard's members are first tried
-against one of them, its centre; then BK-trees find the pairs of members that are not yet in one component. They hold
-the members outside the centre's component, in chunks of ``CHUNK``. So the components are those of all candidate
-pairs, and a hot group is neither gathered nor paired.
+No pair that is not a link leaves a task, as a group of N copies has N * N of them. A shard returns its members within the
+radius as stars; the components of all stars are bodies of candidates, in which every pair that may be a link lies. Texts
+of a body come together once, with their sets, and return a forest of the links among them. Shards and bodies of
+more than ``CHUNK`` members (bodies of more than ``CHUNK_BYTES``, too) are first tried against one of them, their centre; then each
+chunk of members meets each chunk of those that the centre has not taken. So the components are those of all
+candidate pairs, and a hot group is neither gathered nor paired.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -37,6 +39,10 @@ TOGETHER = 100_000
 BROADCAST_ROWS = 200_000
 #: Texts of a shard on average, members of a tree at most, and members of a bucket in it.
 SHARD, CHUNK, LEAF = 64, 2048, 64
+#: Bytes of the sets in a chunk.
+CHUNK_BYTES = 4 << 20
+#: Of so many texts, one is counted to see which shards have more than a chunk.
+COUNTED = 16
 #: Fingerprints of which the distance is taken.
 COMPARED = 2
 #: Byte -> its eight bits as the bytes of a number, so that 255 of them add up without a carry.
@@ -97,13 +103,48 @@ def fingerprints(sets: list[np.ndarray], prints: int, seed: int = 42) -> np.ndar
     return out
 
 
-def across(prints: np.ndarray, roots: np.ndarray, stored: np.ndarray, seeking: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (a, b) of seeking and stored members within the radius that are in different components."""
+def near_pairs(prints: np.ndarray, stored: np.ndarray, seeking: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of seeking and stored members within the radius, some at a time."""
     trees, seekers = np.flatnonzero(stored), np.flatnonzero(seeking)
-    found = [(seekers[who], trees[member]) for member, who in BKTree(prints[trees], LEAF).search(prints[seekers], radius)]
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), ())))
-    apart = roots[a] != roots[b]
-    return a[apart], b[apart]
+    if not len(trees) or not len(seekers):
+        return
+    for member, who in BKTree(prints[trees], LEAF).search(prints[seekers], radius):
+        if len(who):
+            yield seekers[who], trees[member]
+
+
+def near_roots(prints: np.ndarray, stored: np.ndarray, seeking: np.ndarray, radius: int) -> np.ndarray:
+    """The position of the first member that each member of a shard reaches over pairs within the radius."""
+    parent = np.arange(len(prints))
+    for a, b in near_pairs(prints, stored, seeking, radius):
+        while (apart := parent[a] != parent[b]).any():
+            x, y = parent[a[apart]], parent[b[apart]]
+            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(parent, above := parent[parent]):
+                parent = above
+    return parent
+
+
+def forest(prints: np.ndarray, sets: list[np.ndarray], stored: np.ndarray, seeking: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
+    """Links of seeking and stored members, as many as connect all whose sets reach the similarity."""
+    root, sizes, links = np.arange(len(sets)), np.array(list(map(len, sets))), []
+    for a, b in near_pairs(prints, stored, seeking, radius):
+        likely = (a != b) & (np.minimum(sizes[a], sizes[b]) >= np.maximum(sizes[a], sizes[b]) * least - 0.5)
+        order = np.argsort(a[likely], kind="stable")
+        a, b = a[likely][order], b[likely][order]
+        for own in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1) if len(a) else ():
+            at, others = a[own[0]], b[own]
+            others = others[root[others] != root[at]]
+            if not len(others):
+                continue
+            grams = np.concatenate([sets[o] for o in others])
+            place = np.minimum(np.searchsorted(sets[at], grams), sizes[at] - 1)
+            common = np.add.reduceat(sets[at][place] == grams, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+            for o in others[common / (sizes[at] + sizes[others] - common) >= least]:
+                if root[o] != root[at]:
+                    root[root == root[o]] = root[at]
+                    links.append((at, o))
+    return links
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -118,19 +159,6 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of rows whose sets (row, n, grams) reach the similarity."""
-
-    @F.arrow_udf("boolean")
-    def reaches(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([similarity(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) >= least for x, y in zip(left, right)], pa.bool_())
-
-    left, right = (sets.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("grams").alias(f"grams_{c}")) for c in "ab")
-    sized = pairs.join(left.drop("grams_a"), "a").join(right.drop("grams_b"), "b")
-    sized = sized.filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 0.5).select("a", "b")
-    return written(sized.join(left, "a").join(right, "b").filter(reaches("grams_a", "grams_b")).select("a", "b"))
-
-
 def distance(left: list[str], right: list[str]) -> Column:
     """Bits in which fingerprints differ."""
     return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(left[1:], right[1:])), F.bit_count(F.col(left[0]).bitwiseXOR(F.col(right[0]))))
@@ -172,20 +200,57 @@ def similar_duplicates(
     def grams_of(text: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t.as_py(), shingle, seed).tobytes() for t in text], pa.binary())
 
-    @F.arrow_udf("array<struct<a: long, b: long>>")
-    def pairs_of(shards: pa.Array) -> pa.Array:
-        members, ends = shards.values, shards.offsets.to_numpy()
-        values = {c: members.field(c).to_numpy(zero_copy_only=False) for c in ("row", "root", "stored", "seeking", *compared)}
-        prints = np.stack([values[c].view(np.uint64) for c in compared], axis=1)
-        a, b, sizes = [], [], [0]
+    @F.arrow_udf("boolean")
+    def reaches(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([similarity(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) >= least for x, y in zip(left, right)], pa.bool_())
+
+    def groups_of(groups: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+        """Of each group: rows, fingerprints, who is in the trees, who seeks, and all columns."""
+        members, ends = groups.values, groups.offsets.to_numpy()
+        row = members.field("row").to_numpy(zero_copy_only=False)
+        prints = np.stack([members.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in compared], axis=1)
+        stored, seeking = (members.field(c).to_numpy(zero_copy_only=False) for c in ("stored", "seeking"))
         for low, high in zip(ends, ends[1:]):
-            own = slice(low, high)
-            x, y = across(prints[own], values["root"][own], values["stored"][own], values["seeking"][own], plan.radius)
-            a.append(values["row"][own][x])
-            b.append(values["row"][own][y])
-            sizes.append(sizes[-1] + len(x))
-        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (a, b)], names=["a", "b"])
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)
+            yield row[low:high], prints[low:high], stored[low:high], seeking[low:high], members.slice(low, high - low)
+
+    def as_lists(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (zip(*found) if found else ((), ()))], names=["a", "b"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(a) for a, _ in found)]), pa.int32()), pairs)
+
+    @F.arrow_udf("array<struct<a: long, b: long>>")
+    def stars_of(shards: pa.Array) -> pa.Array:
+        found = []
+        for row, prints, stored, seeking, _ in groups_of(shards):
+            root = near_roots(prints, stored, seeking, plan.radius)
+            moved = root != np.arange(len(root))
+            found.append((row[moved], row[root[moved]]))
+        return as_lists(found)
+
+    @F.arrow_udf("array<struct<a: long, b: long>>")
+    def links_of(bodies: pa.Array) -> pa.Array:
+        found = []
+        for row, prints, stored, seeking, members in groups_of(bodies):
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for x in members.field("grams")]
+            links = np.array(forest(prints, sets, stored, seeking, plan.radius, least), np.int64).reshape(-1, 2)
+            found.append((row[links[:, 0]], row[links[:, 1]]))
+        return as_lists(found)
+
+    def gathered(rows: DataFrame, by: list[str], *more: str) -> DataFrame:
+        """A row for each group, dealt before it is gathered: what is gathered twice is larger than its rows."""
+        shard = F.collect_list(F.struct("row", "stored", "seeking", *compared, *more)).alias("shard")
+        return rows.repartition(*by).groupBy(*by).agg(shard).filter(F.size("shard") > 1)
+
+    def in_chunks(rows: DataFrame, key: str) -> DataFrame:
+        """Rows (key, taken, n_chunks, n_stored, ...): each chunk of members meets each chunk of those that the centre has not taken."""
+        chunk = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+        each = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+        place = lambda i, j, stored: F.struct(i.alias("i"), j.alias("j"), F.lit(stored).alias("stored"), F.lit(not stored).alias("seeking"))
+        seeks = F.transform(each("tree_chunks"), lambda j: place(chunk("seek_chunks"), j, False))
+        stays = F.when(F.col("taken"), F.array().cast("array<struct<i: int, j: int, stored: boolean, seeking: boolean>>")).otherwise(F.transform(each("seek_chunks"), lambda i: place(i, chunk("tree_chunks"), True)))
+        return rows.withColumn("at", F.explode(F.concat(seeks, stays))).select(key, "at.*", "row", *compared, *[c for c in rows.columns if c == "grams"])
+
+    def as_links(groups: DataFrame, pairs: Callable) -> DataFrame:
+        return groups.select(F.explode(pairs("shard")).alias("pair")).select("pair.a", "pair.b")
 
     text = col(text_col).cast("string")
     body = F.lit("") if whole else text
@@ -195,43 +260,45 @@ def similar_duplicates(
     keys = rows.select("row", *[F.col("prints")[k].alias(c) for k, c in enumerate(compared)], F.posexplode(F.array(*blocks)).alias("block", "value"))
     keys = keys.select(F.shiftleft(F.col("block").cast("long"), plan.width).bitwiseOR(F.col("value")).alias("key"), "row", *compared)
 
-    centre = F.min(F.struct(F.xxhash64("row", "key").alias("order"), "row", *compared))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), centre.alias("c")).filter("n > 1")
-    shared = written(shared.select("key", "n", F.col("c.row").alias("centre"), *[F.col(f"c.{c}").alias(f"c_{c}") for c in compared]))
-    beside = keys.join(_small(shared), "key").filter(F.col("row") != F.col("centre"))
-    beside = beside.filter(distance(compared, [f"c_{c}" for c in compared]) <= plan.radius)
-    tried = written(beside.groupBy(F.col("row").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n")).select("a", "b"))
+    both = [F.lit(True).alias("stored"), F.lit(True).alias("seeking")]
+    counted = keys.filter(F.pmod(F.xxhash64("row"), F.lit(COUNTED)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = written(counted.filter(F.col("n") * COUNTED > CHUNK).select("key"))
+    if hot.isEmpty():
+        stars = as_links(gathered(keys.select("key", "row", *both, *compared), ["key"]), stars_of)
+    else:
+        centre = F.min(F.struct(F.xxhash64("row", "key").alias("order"), "row", *compared)).alias("c")
+        centres = _small(written(keys.join(_small(hot), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"), centre)))
+        sides = keys.join(centres, "key").withColumn("taken", distance(compared, [f"c.{c}" for c in compared]) <= plan.radius)
+        sides = written(sides.select("key", "row", *compared, "n", "taken", F.col("c.row").alias("centre")))
+        trees = sides.groupBy("key").agg(F.count(F.when(~F.col("taken"), 1)).alias("n_stored"), F.first("n").alias("n"))
+        trees = trees.select("key", *[F.ceil(F.col(c) / CHUNK).cast("int").alias(k) for c, k in (("n", "seek_chunks"), ("n_stored", "tree_chunks"))])
+        cold = keys.join(_small(hot), "key", "left_anti").select("key", "row", *both, *compared)
+        dealt = in_chunks(sides.join(_small(written(trees)), "key"), "key")
+        stars = as_links(gathered(cold, ["key"]), stars_of).unionByName(as_links(gathered(dealt, ["key", "i", "j"]), stars_of))
+        stars = stars.unionByName(sides.filter("taken").select(F.col("row").alias("a"), F.col("centre").alias("b")))
+
+    body = components(stars)
+    body = written(body.unionByName(body.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "row"))
     text = rows["carried"][text_col].cast("string") if whole else rows["body"]
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        involved = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
-        sets = rows.join(_small(involved), "row").select("row", grams_of(text).alias("grams"))
-        return written(sets.select("row", (F.octet_length("grams") / 8).alias("n"), "grams"))
-
-    links = _similar(tried, sets_of(tried), least)
+    sets = written(rows.join(_small(body), "row").select("row", "root", *[F.col("prints")[k].alias(c) for k, c in enumerate(compared)], grams_of(text).alias("grams"), F.octet_length(text).alias("size")))
+    sizes = written(sets.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")))
+    large = written(sizes.filter((F.col("n") > CHUNK) | (F.col("bytes") > CHUNK_BYTES)).select("root"))
+    if large.isEmpty():
+        links = as_links(gathered(sets.select("root", "row", *both, *compared, "grams"), ["root"], "grams"), links_of)
+    else:
+        inside = sets.join(_small(large), "root").select("root", "row", *compared, "grams", F.octet_length("grams").alias("size"))
+        centres = written(inside.filter("row = root").select("root", F.col("grams").alias("centre")))
+        sides = written(inside.join(centres, "root").withColumn("taken", reaches("grams", "centre")).drop("centre"))
+        chunks = lambda n, size: F.ceil(F.greatest(n / CHUNK, size / CHUNK_BYTES)).cast("int")
+        out = ~F.col("taken")
+        trees = sides.groupBy("root").agg(
+            chunks(F.count(F.lit(1)), F.sum("size")).alias("seek_chunks"), chunks(F.count(F.when(out, 1)), F.coalesce(F.sum(F.when(out, F.col("size"))), F.lit(0))).alias("tree_chunks")
+        )
+        small = sets.join(_small(large), "root", "left_anti").select("root", "row", *both, *compared, "grams")
+        dealt = in_chunks(sides.join(_small(written(trees)), "root"), "root")
+        links = as_links(gathered(small, ["root"], "grams"), links_of).unionByName(as_links(gathered(dealt, ["root", "i", "j"], "grams"), links_of))
+        links = links.unionByName(sides.filter("taken").select(F.col("row").alias("a"), F.col("root").alias("b")))
     roots = components(links)
-    placed = _small(written(roots.withColumnRenamed("node", "row")))
-    heads = shared.select("key", F.col("centre").alias("row")).join(placed, "row", "left").select("key", F.coalesce("root", "row").alias("head"))
-    sides = keys.join(placed, "row", "left").withColumn("root", F.coalesce("root", "row")).join(_small(written(heads)), "key")
-    sides = sides.withColumn("stored", F.col("root") != F.col("head"))
-    trees = written(sides.filter("stored").groupBy("key").agg(F.count(F.lit(1)).alias("n_stored")))
-    trees = trees.join(shared.select("key", "n"), "key").select("key", *[F.ceil(F.col(c) / CHUNK).cast("int").alias(k) for c, k in (("n", "seek_chunks"), ("n_stored", "tree_chunks"))])
-    sides = sides.drop("head").join(_small(written(trees)), "key")
-    # A shard of one chunk is one group; of a larger one, each chunk of members meets each chunk of its trees.
-    whole_shard = (F.col("seek_chunks") == 1) & (F.col("tree_chunks") == 1)
-    chunk = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
-    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    place = lambda i, j, stored: F.struct(i.alias("i"), j.alias("j"), stored.alias("stored"), (~stored).alias("seeking"))
-    zero = F.lit(0)
-    as_both = F.array(F.struct(zero.alias("i"), zero.alias("j"), F.col("stored").alias("stored"), F.lit(True).alias("seeking")))
-    as_seeker = F.transform(each("tree_chunks"), lambda j: place(chunk("seek_chunks"), j, F.lit(False)))
-    as_stored = F.when(F.col("stored"), F.transform(each("seek_chunks"), lambda i: place(i, chunk("tree_chunks"), F.lit(True)))).otherwise(F.array().cast("array<struct<i: int, j: int, stored: boolean, seeking: boolean>>"))
-    dealt = sides.withColumn("at", F.explode(F.when(whole_shard, as_both).otherwise(F.concat(as_seeker, as_stored))))
-    shards = dealt.groupBy("key", "at.i", "at.j").agg(F.collect_list(F.struct("row", "root", "at.stored", "at.seeking", *compared)).alias("shard"))
-    found = shards.select(F.explode(pairs_of("shard")).alias("pair")).select(F.greatest("pair.a", "pair.b").alias("a"), F.least("pair.a", "pair.b").alias("b"))
-    rest = written(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b").join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        roots = components(links.unionByName(_similar(rest, sets_of(rest), least)))
 
     own = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "row"))
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))

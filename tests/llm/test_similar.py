@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from codestrata.llm import similar
 from codestrata.llm.similar import similar_duplicates, similarity
 
 
@@ -88,6 +89,42 @@ def test_near_stage_removes_edited_copies(copies):
     assert kept == sorted({c for _, c in brute(edited())})
 
 
+def below_the_bound(n):
+    """Copies of one text with three edits each: two of them are alike, but by less than the bound."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(n):
+        words = list(base)
+        for at in 20 * rng.choice(10, 3, replace=False) + rng.integers(5, 15, 3):
+            words[at] = f"edit{k}_{at}"
+        texts.append((k, " ".join(words)))
+    return texts
+
+
+def test_a_group_below_the_bound_makes_no_pairs(spark, monkeypatch):
+    sizes, written = [], similar.written
+
+    def counting(df):
+        table = written(df)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(similar, "written", counting)
+    docs = below_the_bound(250)
+    assert rows_of(similar_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    assert max(sizes) < 250 * 249 / 8
+
+
+@pytest.mark.parametrize("chunk, size", [(4, 4 << 20), (2048, 3000), (3, 2000)])
+def test_shards_and_bodies_of_many_chunks(spark, monkeypatch, chunk, size):
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    monkeypatch.setattr(similar, "CHUNK_BYTES", size)
+    monkeypatch.setattr(similar, "COUNTED", 1)
+    docs = edited() + [(k + 1000, t) for k, t in below_the_bound(25)] + edited()[:8]
+    assert rows_of(similar_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
 def test_similarity():
     a, b = np.arange(10, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
     assert similarity(a, b) == 0.9 and similarity(a, a) == 1 and similarity(a, b + np.uint64(50)) == 0
