@@ -37,6 +37,8 @@ CELLS_PER_BYTE = 2
 DEPTH = 2
 NO_ID = np.iinfo(np.int64).min
 REMEMBERED = 300_000
+#: Windows whose products are added up at a time.
+AT_A_TIME = 1 << 14
 
 
 class Digests(dict):
@@ -69,16 +71,15 @@ class Block:
         self.hashes = []
         for c in (0, 1):
             factors = np.random.default_rng(c + 1).integers(0, 2**63, window, np.uint64) * np.uint64(2) + np.uint64(1)
-            total = np.zeros(len(self.at), np.uint64)
-            column = np.ascontiguousarray(both[:, c])
-            for k in range(window):
-                total += column[self.at + k] * factors[k]
+            total = window_sums(np.ascontiguousarray(both[:, c]), factors)[self.at]
             total ^= total >> np.uint64(32)
             self.hashes.append(total * np.uint64(0x9E3779B97F4A7C15))
 
-    def cells(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted different cells of a sketch row, each window's place among them, and their counts."""
-        return np.unique(self.hashes[row] >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+    def cells(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted different cells of a sketch row, and whether more than one window falls on each."""
+        cells = np.sort(self.hashes[row] >> np.uint64(64 - bits))
+        first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])[: len(cells)])
+        return cells[first], np.diff(first, append=len(cells)) > 1
 
     def digests(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the chosen windows: sorted different digests (64 and 32 bits), the first window of each
@@ -93,6 +94,33 @@ class Block:
         return high[new], low[new], order[new], place
 
 
+def window_sums(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """At each place where all factors have a value: the sum of the products, some places at a time, so that they stay in cache."""
+    out = np.zeros(max(0, len(values) - len(factors) + 1), np.uint64)
+    for start in range(0, len(out), AT_A_TIME):
+        part = out[start : start + AT_A_TIME]
+        for k, factor in enumerate(factors):
+            part += values[start + k : start + k + len(part)] * factor
+    return out
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted known ones. Most are not, and a table of their leading bits tells so; the rest are looked up."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    base, span = known[0], int(known[-1] - known[0])
+    shift = np.uint64(max(0, span.bit_length() - max(10, (8 * len(known)).bit_length())))
+    table = np.zeros((span >> int(shift)) + 1, bool)
+    table[(known - base) >> shift] = True
+    slot = (values - base) >> shift  # a smaller value comes around to a large one
+    likely = np.flatnonzero(slot < np.uint64(len(table)))
+    likely = likely[table[slot[likely]]]
+    place = np.minimum(np.searchsorted(known, values[likely]), len(known) - 1)
+    found = np.zeros(len(values), bool)
+    found[likely] = known[place] == values[likely]
+    return found
+
+
 def _cut(values: np.ndarray, ranges: int) -> list[slice]:
     """Slices of sorted 64-bit values by equal ranges."""
     edges = np.searchsorted(values, np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64))
@@ -140,26 +168,28 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     def sketch(key: tuple, rows: pa.Table) -> pa.Table:
         block, out = Block(rows, window), []
         for d in range(DEPTH):
-            cells, _, counts = block.cells(d, bits)
+            cells, more = block.cells(d, bits)
             for r, part in enumerate(_cut(cells << np.uint64(64 - bits), blocks)):
                 if part.start < part.stop:
-                    out.append((r, d, key[0].as_py(), pack_sorted(cells[part]), pack_bits(counts[part] > 1)))
+                    out.append((r, d, key[0].as_py(), pack_sorted(cells[part]), pack_bits(more[part])))
         return _table(SKETCH, out)
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
         own = rows.to_pylist()
         cells, more = [unpack_sorted(r["cells"]) for r in own], [unpack_bits(r["more"]) for r in own]
-        _, place = np.unique(np.concatenate(cells), return_inverse=True)
-        repeated = (np.bincount(place, np.concatenate(more) + 1) > 1)[place]
+        values = np.concatenate(cells)
+        own_cells = np.sort(values)
+        shared = own_cells[1:][own_cells[1:] == own_cells[:-1]]
+        repeated = among(values, np.unique(np.concatenate([shared, values[np.concatenate(more)]])))
         ends = np.cumsum([len(c) for c in cells])
         return _table(ANSWER, [(r["block"], r["depth"], r["range"], pack_bits(f)) for r, f in zip(own, np.split(repeated, ends[:-1]))])
 
     def suspects(block: Block, answers: pa.Table) -> np.ndarray:
-        found = np.ones(len(block.at), bool)
+        found = np.arange(len(block.at))
         for d in range(DEPTH):
-            _, place, _ = block.cells(d, bits)
-            found &= _flags(answers, d)[place]
-        return np.flatnonzero(found)
+            cells, _ = block.cells(d, bits)
+            found = found[among(block.hashes[d][found] >> np.uint64(64 - bits), cells[_flags(answers, d)])]
+        return found
 
     def first_seen(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         block, out = Block(rows, window), []

@@ -1,9 +1,12 @@
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from codestrata.llm.packed import pack, pack_bits, pack_sorted, unpack, unpack_bits, unpack_sorted
-from codestrata.llm.substring_dedup import remove_repeats
+from codestrata.llm.substring_dedup import Block, among, remove_repeats, window_sums
 from codestrata.llm.top_k import exact_top_k
 
 
@@ -72,6 +75,43 @@ def test_substrings_of_awkward_rows(awkward, nothing):
     assert remove_repeats(nothing).collect() == []
 
 
+def test_values_among_known_ones():
+    rng = np.random.default_rng(3)
+    for bits in (6, 20, 64):
+        known = np.unique(rng.integers(0, 2**bits, 300, dtype=np.uint64, endpoint=False) if bits < 64 else rng.integers(0, 2**64 - 1, 300, dtype=np.uint64, endpoint=True))
+        values = np.concatenate([known[::3], known[1::3] + np.uint64(1), rng.integers(0, 2**min(bits + 1, 63), 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        assert np.array_equal(among(values, known), np.isin(values, known))
+    assert not among(known, known[:0]).any() and not len(among(known[:0], known))
+
+
+@pytest.mark.parametrize("length", [0, 19, 20, 40_000])
+def test_window_sums(length):
+    rng = np.random.default_rng(4)
+    values, factors = rng.integers(0, 2**63, length, dtype=np.uint64), rng.integers(0, 2**63, 20, dtype=np.uint64)
+    wanted = [sum(int(v) * int(f) for v, f in zip(values[k : k + 20], factors)) % 2**64 for k in range(max(0, length - 19))]
+    assert window_sums(values, factors).tolist() == wanted
+
+
+def test_cells_take_less_time_than_their_order():
+    """What a block did for its cells before: their order as well, once a sketch row and step."""
+    rows = pa.table({"id": pa.array([1]), "tie": pa.array([1]), "text": [" ".join(map(str, np.random.default_rng(6).integers(0, 10**6, 400_000)))]})
+    block = Block(rows, 20)
+    x = block.hashes[0] >> np.uint64(34)
+
+    def least(work):
+        took = []
+        for _ in range(3):
+            began = time.thread_time()
+            result = work()
+            took.append(time.thread_time() - began)
+        return min(took), result
+
+    now, (cells, more) = least(lambda: block.cells(0, 30))
+    before, (values, _, counts) = least(lambda: np.unique(x, return_inverse=True, return_counts=True))
+    assert np.array_equal(cells, values) and np.array_equal(more, counts > 1)
+    assert now < before
+
+
 def test_packed_arrays_come_back():
     rng = np.random.default_rng(4)
     for x in (np.zeros(0, np.uint64), np.array([0, 0, 2**64 - 1], np.uint64), rng.integers(0, 2**63, 1000, np.uint64), np.arange(300, dtype=np.uint64)):
