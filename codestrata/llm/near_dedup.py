@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, written
-from .components import components
+from .components import components, in_few_files
 
 BITS = 64
 #: Shingles hashed at a time.
@@ -155,6 +155,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     prints = written(rows.groupBy("fingerprint").agg(first.alias("first")))
     roots = components(simhash_links(prints.select("fingerprint"), radius))
     rooted = prints.join(roots, prints["fingerprint"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    firsts = written(rooted.groupBy("root").agg(F.min("first").alias("head")))
-    heads = written(rooted.join(firsts, "root").select("fingerprint", "head"))
+    different = prints.count()
+    firsts = in_few_files(rooted.groupBy("root").agg(F.min("first").alias("head")), different)
+    heads = in_few_files(rooted.join(firsts, "root").select("fingerprint", "head"), different)
     return rows.join(heads, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", F.col("head.id").alias("component_id"), (F.col("row") == F.col("head.row")).alias("kept"), "carried")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from codestrata.llm import components as steps
 from codestrata.llm.components import components
 from codestrata.llm.near_dedup import BKTree, fingerprint, near_duplicates, simhash_links
 
@@ -53,6 +54,33 @@ def test_awkward_rows(awkward, nothing):
     assert near_duplicates(nothing).collect() == []
 
 
+@pytest.fixture
+def many_tasks(spark):
+    held = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_small_tables_are_few_files(spark, many_tasks, monkeypatch):
+    files, written = [], steps.written
+
+    def counting(df):
+        table = written(df)
+        files.append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(steps, "written", counting)
+    links = spark.range(300).selectExpr("id + 1 AS a", "id - id % 5 AS b")
+    assert {(r["node"], r["root"]) for r in components(links).collect()} == {(k, 0) for k in range(1, 301)}
+    assert max(files[1:]) == 1
+    monkeypatch.setattr(steps, "ROWS_A_TASK", 100)
+    assert {(r["node"], r["root"]) for r in components(links).collect()} == {(k, 0) for k in range(1, 301)}
+
+
 def test_links_lose_no_near_fingerprint(spark):
     rng = np.random.default_rng(7)
     prints = {int(x) for x in rng.integers(0, 2**64, 150, dtype=np.uint64)} | {0, 2**64 - 1}
