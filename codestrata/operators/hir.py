@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .declarations import php_declarations
-
 # The rule and the names it looks for.
 RULE, SEVERITY, CONFIDENCE = "HIR-SQL-001", 3, 95
 MESSAGE = "SQL injection vulnerability detected via HIR analysis"
@@ -35,11 +33,7 @@ def statements(rows: DataFrame) -> DataFrame:
     of one function that makes input harmless; ``adds`` if the target keeps what it had (``.=``, or an assignment inside a control statement without
     braces). risky are the variables and superglobals in the brackets of calls that run SQL. parent is the block around the statement, blocks those it opens.
     """
-    php = rows.filter(F.col("language") == "php")
-    bodies = php_declarations(rows).filter("kind = 'function' AND opens IS NOT NULL").select("path", F.col("opens").alias("at"), F.concat_ws("#", "path", "name", F.col("line").cast("string")).alias("unit"))
-    last = F.coalesce(F.try_element_at("before", F.lit(-1)), F.lit(""))
-    token = F.struct("n", "text", "kind", "line", "next", last.alias("last"), F.coalesce("lead", F.lit("")).alias("lead"))
-    whole = php.filter(F.size("chain") > 0).groupBy("path", "stmt").agg(F.sort_array(F.collect_list(token)).alias("t"), F.min_by("head", "n").alias("head"), F.min_by("chain", "n").alias("chain"), F.min("depth").alias("depth"))
+    whole = rows.filter((F.col("language") == "php") & (F.col("n") == F.col("stmt")) & F.col("function").isNotNull()).withColumnRenamed("own", "t")
     texts = lambda c: F.transform(c, lambda x: x["text"])
     is_variable = lambda x: x["text"].startswith("$") & (x["kind"] == "word")
     assigned = F.filter("t", lambda x: is_variable(x) & x["next"].isin(ASSIGN))
@@ -59,10 +53,10 @@ def statements(rows: DataFrame) -> DataFrame:
         "path", F.col("stmt").alias("n"), F.col("t")[0]["line"].alias("line"), F.when(control, F.col("head")).when(F.col("to").isNotNull(), "assign").when(F.size(called) > 0, "call").otherwise("other").alias("kind"),
         F.col("to.text").alias("target"), F.coalesce(adds, F.lit(False)).alias("adds"), F.array_distinct(texts(F.filter(read, lambda x: ~superglobal(x["text"])))).alias("reads"), F.array_distinct(texts(F.filter(read, lambda x: superglobal(x["text"])))).alias("sources"),
         F.array_min(F.transform(F.filter(read, lambda x: superglobal(x["text"])), lambda x: x["line"])).alias("source_line"),
-        clean.alias("cleaned"), F.transform(called, lambda x: x["last"]).alias("calls"), F.transform(risky, lambda x: F.struct(x["text"].alias("name"), x["line"].alias("line"))).alias("risky"), "head", "chain", F.transform(F.filter("t", lambda x: (x["text"] == "{") & (x["last"] != "\\")), lambda x: x["n"]).alias("blocks"),
+        clean.alias("cleaned"), F.transform(called, lambda x: x["last"]).alias("calls"), F.transform(risky, lambda x: F.struct(x["text"].alias("name"), x["line"].alias("line"))).alias("risky"), "head", "chain", F.transform(F.filter("t", lambda x: (x["text"] == "{") & (F.coalesce(x["last"], F.lit("")) != "\\")), lambda x: x["n"]).alias("blocks"),
+        F.concat_ws("#", "path", "function.name", F.col("function.line").cast("string")).alias("unit"), F.col("function.at").alias("body"),
     )
-    owned = out.select("path", "n", F.explode("chain").alias("at")).join(bodies, ["path", "at"]).groupBy("path", "n").agg(F.max_by(F.struct("unit", "at"), "at").alias("u"))
-    return out.join(owned, ["path", "n"]).select("path", "u.unit", F.col("u.at").alias("body"), *[c for c in out.columns if c not in ("path", "chain")], F.element_at("chain", -1).alias("parent"))
+    return out.select("path", "unit", "body", *[c for c in out.columns if c not in ("path", "unit", "body", "chain")], F.element_at("chain", -1).alias("parent"))
 
 
 def wire(rows: list[dict]) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexer import tokens
 from ..operators import hir
-from ..session import table, written
+from ..session import table
 
 PER_FILE = 200
 BLOCKS = [
@@ -60,7 +60,7 @@ def _statements(spark, sf_dir):
     block = F.replace(F.element_at(F.array(*map(F.lit, BLOCKS)), (F.col("event_id") % len(BLOCKS) + 1).cast("int")), F.lit("@"), F.col("event_id").cast("string"))
     files = rows.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("event_id", block.alias("text")))).alias("b"))
     files = files.select(F.format_string("/hir/f%d.php", "f").alias("path"), F.lit("php").alias("language"), F.concat(F.lit("<?php\n"), F.array_join(F.transform("b", lambda b: b["text"]), "")).alias("content"))
-    return hir.statements(written(tokens(files)))
+    return hir.statements(tokens(files, ["path", "language", "n", "stmt", "head", "chain", "function", "own"], {"first": True}))
 
 
 def hir_statements(spark, sf_dir):
@@ -68,7 +68,7 @@ def hir_statements(spark, sf_dir):
 
 
 def hir_findings(spark, sf_dir):
-    return hir.findings(written(_statements(spark, sf_dir)))
+    return hir.findings(_statements(spark, sf_dir))
 
 
 _SIZES = ", ".join(f"({k}, {b.count(chr(10))}, '{FOUND[k][0]}')" for k, b in enumerate(BLOCKS))

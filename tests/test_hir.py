@@ -47,3 +47,9 @@ def test_wiring_of_empty_blocks_ends(head):
     row = {"parent": 0, "body": 0, "head": head, "blocks": [5], "reads": []}
     last = {"parent": 0, "body": 0, "head": "x", "blocks": [], "reads": []}
     assert (0, 1) in hir.wire([row, last]) and (-1, 0) in hir.wire([row, last])
+
+
+def test_statements_stay_where_their_file_is(spark):
+    files = spark.createDataFrame([("/a.php", "php", "<?php function f() { $a = 1; }")], "path string, language string, content string")
+    plan = hir.statements(tokens(files))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan  # nothing is shuffled or written to find a statement's tokens and its function
