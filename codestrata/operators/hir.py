@@ -7,7 +7,10 @@ pass it, and only there. Findings are the calls that run SQL with something tain
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,23 +39,24 @@ def statements(rows: DataFrame) -> DataFrame:
     whole = rows.filter((F.col("language") == "php") & (F.col("n") == F.col("stmt")) & F.col("function").isNotNull()).withColumnRenamed("own", "t")
     texts = lambda c: F.transform(c, lambda x: x["text"])
     is_variable = lambda x: x["text"].startswith("$") & (x["kind"] == "word")
-    assigned = F.filter("t", lambda x: is_variable(x) & x["next"].isin(ASSIGN))
-    looped = F.filter("t", lambda x: is_variable(x) & x["last"].isin("as", "=>"))
+    # A statement's tokens are gone through once for its variables and once for brackets behind a name; all else looks at these few.
+    whole = whole.withColumn("v", F.filter("t", is_variable)).withColumn("b", F.filter("t", lambda x: (x["text"] == "(") & x["last"].rlike(r"^[\\A-Za-z_]")))
+    assigned = F.filter("v", lambda x: x["next"].isin(ASSIGN))
+    looped = F.filter("v", lambda x: x["last"].isin("as", "=>"))
     first = F.when((F.col("head") == "foreach") & (F.size(looped) > 0), F.element_at(looped, F.size(looped))).otherwise(F.try_element_at(assigned, F.lit(1)))
     whole = whole.withColumn("head", F.when((F.col("head") == "else") & (F.col("t")[0]["next"] == "if"), "elseif").otherwise(F.col("head")))
     placed = whole.filter(~F.col("head").isin("}", ";", "class", "interface", "trait")).withColumn("to", first)
-    read = F.filter("t", lambda x: is_variable(x) & (F.col("to").isNull() | (x["n"] != F.col("to.n"))))
+    placed = placed.withColumn("read", F.filter("v", lambda x: F.col("to").isNull() | (x["n"] != F.col("to.n")))).withColumn("given", F.filter("read", lambda x: superglobal(x["text"])))
     after = F.filter("t", lambda x: x["n"] == F.col("to.n") + 2)
-    lone = F.size(F.filter("t", lambda x: (x["text"] == "(") & x["last"].rlike(r"^[\\A-Za-z_]"))) == 1
-    clean = F.coalesce(F.try_element_at(after, F.lit(1))["text"].isin(CLEANERS) & lone, F.lit(False)) & (F.size(F.filter("t", lambda x: x["text"].isin(".", "+"))) == 0)
-    called = F.filter("t", lambda x: (x["text"] == "(") & x["last"].rlike(r"^[\\A-Za-z_]") & ~F.lower(x["last"]).isin(NOT_CALLS))
-    risky = F.filter("t", lambda x: is_variable(x) & F.lower(x["lead"]).isin(SQL_CALLS))
+    clean = F.when(F.col("to").isNull() | (F.size("b") != 1), F.lit(False)).otherwise(F.coalesce(F.try_element_at(after, F.lit(1))["text"].isin(CLEANERS), F.lit(False)) & ~F.exists("t", lambda x: x["text"].isin(".", "+")))
+    called = F.filter("b", lambda x: ~F.lower(x["last"]).isin(NOT_CALLS))
+    risky = F.filter("v", lambda x: F.lower(x["lead"]).isin(SQL_CALLS))
     control = F.col("head").isin(*BRANCHES, *LOOPS, "switch", "try", "catch", "finally", "return", "throw", "break", "continue", "case", "default")
     adds = (F.col("to.next") != "=") | F.col("head").isin(*BRANCHES, *[h for h in LOOPS if h != "foreach"])
     out = placed.select(
         "path", F.col("stmt").alias("n"), F.col("t")[0]["line"].alias("line"), F.when(control, F.col("head")).when(F.col("to").isNotNull(), "assign").when(F.size(called) > 0, "call").otherwise("other").alias("kind"),
-        F.col("to.text").alias("target"), F.coalesce(adds, F.lit(False)).alias("adds"), F.array_distinct(texts(F.filter(read, lambda x: ~superglobal(x["text"])))).alias("reads"), F.array_distinct(texts(F.filter(read, lambda x: superglobal(x["text"])))).alias("sources"),
-        F.array_min(F.transform(F.filter(read, lambda x: superglobal(x["text"])), lambda x: x["line"])).alias("source_line"),
+        F.col("to.text").alias("target"), F.coalesce(adds, F.lit(False)).alias("adds"), F.array_distinct(texts(F.filter("read", lambda x: ~superglobal(x["text"])))).alias("reads"), F.array_distinct(texts("given")).alias("sources"),
+        F.array_min(F.transform("given", lambda x: x["line"])).alias("source_line"),
         clean.alias("cleaned"), F.transform(called, lambda x: x["last"]).alias("calls"), F.transform(risky, lambda x: F.struct(x["text"].alias("name"), x["line"].alias("line"))).alias("risky"), "head", "chain", F.transform(F.filter("t", lambda x: (x["text"] == "{") & (F.coalesce(x["last"], F.lit("")) != "\\")), lambda x: x["n"]).alias("blocks"),
         F.concat_ws("#", "path", "function.name", F.col("function.line").cast("string")).alias("unit"), F.col("function.at").alias("body"),
     )
@@ -150,17 +154,30 @@ def reaching(rows: list[dict]) -> list[dict[str, frozenset[int]] | None]:
     return state
 
 
+def plain(column: pa.Array) -> list:
+    """A column's values as Python's own, lists and structs too, each field at once instead of value by value."""
+    if pa.types.is_list(column.type):
+        values, sizes = plain(column.flatten()), pc.fill_null(pc.list_value_length(column), 0).to_numpy().tolist()
+        return [values[end - size : end] for size, end in zip(sizes, accumulate(sizes))]
+    if pa.types.is_struct(column.type):
+        names = [f.name for f in column.type]
+        return [dict(zip(names, row)) for row in zip(*map(plain, column.flatten()))]
+    if pa.types.is_integer(column.type) and column.null_count:
+        return [None if null else v for v, null in zip(plain(pc.fill_null(column, 0)), plain(column.is_null()))]
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def findings(found: DataFrame) -> DataFrame:
     """Statements -> rule_id, path, unit, line, subject, source_line, severity, confidence, message: calls that run SQL with a tainted variable or a superglobal in
     their brackets, one row for each line, subject and source. A function's statements come together; files and their functions are dealt out."""
     columns = ["n", "line", "target", "adds", "reads", "sources", "source_line", "cleaned", "risky", "head", "parent", "body", "blocks"]
-    units = found.groupBy("path", "unit").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"), F.max(F.size("risky")).alias("any")).filter(F.col("any") > 0)
+    units = found.groupBy("path", "unit").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"), F.max(F.size("risky")).alias("most")).filter(F.col("most") > 0)
     kind = pa.struct([("line", pa.int32()), ("subject", pa.string()), ("source_line", pa.int32())])
 
     @F.arrow_udf("array<struct<line: int, subject: string, source_line: int>>")
     def reached(column: pa.Array) -> pa.Array:
         out = []
-        for rows in column.to_pylist():
+        for rows in plain(column):
             hits = set()
             for r, state in zip(rows, reaching(rows)):
                 for risk in r["risky"] if state is not None else ():

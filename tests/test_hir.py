@@ -1,5 +1,6 @@
 """Taint of expressions along the ways through a function."""
 
+import pyarrow as pa
 import pytest
 
 from codestrata.functions.lexer import tokens
@@ -53,3 +54,9 @@ def test_statements_stay_where_their_file_is(spark):
     files = spark.createDataFrame([("/a.php", "php", "<?php function f() { $a = 1; }")], "path string, language string, content string")
     plan = hir.statements(tokens(files))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Aggregate" not in plan  # nothing is shuffled or written to find a statement's tokens and its function
+
+
+def test_columns_become_values_at_once():
+    rows = [[{"n": 1, "name": "é", "many": ["a", "b"], "at": [{"k": None}, {"k": 2}], "is": True}], [], None, [{"n": None, "name": None, "many": [], "at": [], "is": False}, {"n": 3, "name": "", "many": ["c"], "at": [{"k": 4}], "is": True}]]
+    column = pa.array(rows)
+    assert [v or None for v in hir.plain(column)] == [v or None for v in rows] and hir.plain(column.slice(3)) == rows[3:] and hir.plain(column.slice(0, 1)) == rows[:1]
