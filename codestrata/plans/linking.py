@@ -34,34 +34,40 @@ helper{0}(1);
 """
 
 
-def _program(spark: SparkSession, sf_dir: str) -> linking.Program:
+#: Tokens that linking looks at: those of uses and names of types, names of functions, and calls.
+COLUMNS = ["path", "language", "n", "kind", "text", "line", "stmt", "chain", "before", "opens", "function", "type", "space", "own"]
+USES, TYPES, FUNCTIONS, CALLS = {"text": ["use"]}, {"last": ["class", "interface", "trait"]}, {"last": ["function"]}, {"text": ["("], "last": ["new"]}
+
+
+def _tokens(spark: SparkSession, sf_dir: str, *kept: dict) -> DataFrame:
     e = F.col("event_id")
     text = F.lit(FILE)
     for k in range(4):
         text = F.replace(F.replace(text, F.lit(f"{{{k}}}"), (e + k).cast("string")), F.lit(f"{{s{k}}}"), ((e + k) % 7).cast("string"))
     text = F.replace(text, F.lit("{extends}"), F.when(e % 4 == 3, "").otherwise("extends Base "))
-    files = table(spark, sf_dir, "events").select(F.format_string("/link/e%d.php", "event_id").alias("path"), F.lit("php").alias("language"), text.alias("content"))
-    return linking.link(written(tokens(files.repartition(spark.sparkContext.defaultParallelism, "path"))))
+    events = table(spark, sf_dir, "events").select("event_id").repartition(spark.sparkContext.defaultParallelism, "event_id")
+    files = events.select(F.format_string("/link/e%d.php", "event_id").alias("path"), F.lit("php").alias("language"), text.alias("content"))
+    return tokens(files, COLUMNS, {k: [x for one in kept for x in one.get(k, ())] for k in ("text", "last")})
 
 
 def linked_uses(spark, sf_dir) -> DataFrame:
-    return _program(spark, sf_dir).uses
+    return linking.link(_tokens(spark, sf_dir, USES)).uses
 
 
 def linked_parents(spark, sf_dir) -> DataFrame:
-    return _program(spark, sf_dir).parents
+    return linking.link(written(_tokens(spark, sf_dir, USES, TYPES))).parents
 
 
 def linked_ancestors(spark, sf_dir) -> DataFrame:
-    return _program(spark, sf_dir).ancestors
+    return linking.link(written(_tokens(spark, sf_dir, USES, TYPES))).ancestors
 
 
 def overridden_methods(spark, sf_dir) -> DataFrame:
-    return _program(spark, sf_dir).overrides
+    return linking.link(written(_tokens(spark, sf_dir, USES, TYPES, FUNCTIONS))).overrides
 
 
 def linked_calls(spark, sf_dir) -> DataFrame:
-    return _program(spark, sf_dir).calls
+    return linking.link(written(_tokens(spark, sf_dir, USES, TYPES, FUNCTIONS, CALLS))).calls
 
 
 def _kind(k: int) -> str:

@@ -52,3 +52,19 @@ $g = new class extends \Base\D { };
         ("\\A\\C::run", "static", "\\Base\\D::run", "/two.php"), ("\\A\\C::run", "static", "\\A\\C::missing", None), ("\\A\\C::run", "new", "\\A\\C", "/one.php"), ("\\A\\own", "function", "\\A\\own", "/one.php"), ("\\Base\\own", "function", "\\Base\\own", "/two.php"),
     }
     assert [(r["fqn"], r["overridden"]) for r in program.overrides.collect()] == [("\\A\\C::run", "\\Base\\D::run")]
+
+
+LINKED = [("/a.php", "php", "<?php namespace A; use B\\C; class D extends C { use T; function f() { parent::f(); g(); } } function g() { }"), ("/b.php", "php", "<?php namespace B; class C implements \\I { function f() { } }")]
+
+
+def written_for(spark, monkeypatch, relation):
+    """A relation's rows, and which tables were written for it."""
+    program, tables, kept = linking.link(tokens(spark.createDataFrame(LINKED, FILES))), [], linking.written
+    monkeypatch.setattr(linking, "written", lambda df: (tables.append(df.columns), kept(df))[1])
+    return getattr(program, relation).collect(), tables
+
+
+def test_calls_take_their_function_and_class_from_their_tokens(spark, monkeypatch):
+    rows, tables = written_for(spark, monkeypatch, "calls")
+    assert {(r["caller"], r["callee"], r["callee_path"]) for r in rows} == {("\\A\\D::f", "\\B\\C::f", "/b.php"), ("\\A\\D::f", "\\A\\g", "/a.php")}
+    assert sum("how" in columns for columns in tables) == 1  # once, with caller and class, where it was written, joined twice with what is around, and written again
