@@ -68,3 +68,12 @@ def test_calls_take_their_function_and_class_from_their_tokens(spark, monkeypatc
     rows, tables = written_for(spark, monkeypatch, "calls")
     assert {(r["caller"], r["callee"], r["callee_path"]) for r in rows} == {("\\A\\D::f", "\\B\\C::f", "/b.php"), ("\\A\\D::f", "\\A\\g", "/a.php")}
     assert sum("how" in columns for columns in tables) == 1  # once, with caller and class, where it was written, joined twice with what is around, and written again
+
+
+def test_what_leads_nowhere_takes_no_part_in_the_rounds(spark, monkeypatch):
+    tables, kept = [], linking.written
+    monkeypatch.setattr(linking, "written", lambda df: (tables.append(kept(df)), tables[-1])[1])
+    edges = spark.range(50).selectExpr("string(id) AS a", "'thing' AS b").union(spark.createDataFrame([("0", "1"), ("1", "2"), ("2", "above")], "a string, b string"))
+    found = {(r["a"], r["b"]): r["distance"] for r in linking.closure(edges).collect()}
+    assert found == {(str(k), "thing"): 1 for k in range(50)} | {("0", "1"): 1, ("1", "2"): 1, ("0", "2"): 2, ("2", "above"): 1, ("1", "above"): 2, ("0", "above"): 3}
+    assert max(t.count() for t in tables) == 3 and len(tables) == 3
