@@ -77,3 +77,9 @@ def test_what_leads_nowhere_takes_no_part_in_the_rounds(spark, monkeypatch):
     found = {(r["a"], r["b"]): r["distance"] for r in linking.closure(edges).collect()}
     assert found == {(str(k), "thing"): 1 for k in range(50)} | {("0", "1"): 1, ("1", "2"): 1, ("0", "2"): 2, ("2", "above"): 1, ("1", "above"): 2, ("0", "above"): 3}
     assert max(t.count() for t in tables) == 3 and len(tables) == 3
+
+
+def test_parents_are_linked_without_calls_and_ancestors(spark, monkeypatch):
+    rows, tables = written_for(spark, monkeypatch, "parents")
+    assert {(r["fqn"], r["parent"], r["parent_path"]) for r in rows} == {("\\A\\D", "\\B\\C", "/b.php"), ("\\B\\C", "\\I", None)}
+    assert len(tables) == 2
