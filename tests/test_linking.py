@@ -83,3 +83,8 @@ def test_parents_are_linked_without_calls_and_ancestors(spark, monkeypatch):
     rows, tables = written_for(spark, monkeypatch, "parents")
     assert {(r["fqn"], r["parent"], r["parent_path"]) for r in rows} == {("\\A\\D", "\\B\\C", "/b.php"), ("\\B\\C", "\\I", None)}
     assert len(tables) == 2
+
+
+def test_uses_alone_write_no_table(spark, monkeypatch):
+    rows, tables = written_for(spark, monkeypatch, "uses")
+    assert [(r["path"], r["alias"], r["fqn"]) for r in rows] == [("/a.php", "C", "\\B\\C")] and not tables
