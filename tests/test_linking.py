@@ -88,3 +88,9 @@ def test_parents_are_linked_without_calls_and_ancestors(spark, monkeypatch):
 def test_uses_alone_write_no_table(spark, monkeypatch):
     rows, tables = written_for(spark, monkeypatch, "uses")
     assert [(r["path"], r["alias"], r["fqn"]) for r in rows] == [("/a.php", "C", "\\B\\C")] and not tables
+
+
+def test_overridden_methods_are_linked_without_calls(spark, monkeypatch):
+    rows, tables = written_for(spark, monkeypatch, "overrides")
+    assert [(r["fqn"], r["overridden"], r["distance"]) for r in rows] == [("\\A\\D::f", "\\B\\C::f", 1)]
+    assert not any("how" in columns for columns in tables)
