@@ -54,10 +54,14 @@ def statements(lines: DataFrame) -> DataFrame:
 def function_statements(rows: DataFrame, declared: DataFrame) -> DataFrame:
     """unit (path, name path and line of the function), line (its first token's number), kind: statements of functions from tokens, each in its innermost
     function that has a name."""
-    bodies = declared.filter(F.col("kind").isin("function", "method") & F.col("opens").isNotNull()).select("path", F.col("opens").alias("at"), F.concat_ws("#", "path", "name", F.col("line").cast("string")).alias("unit"))
-    heads = rows.filter((F.col("n") == F.col("stmt")) & (F.size("chain") > 0) & ~F.col("text").isin("}", ";")).select("path", "n", "text", F.explode("chain").alias("at"))
-    inner = heads.join(bodies, ["path", "at"]).groupBy("path", "n", "text").agg(F.max_by("unit", "at").alias("unit"))
-    return inner.select("unit", F.col("n").alias("line"), statement_kind(F.col("text")).alias("kind"))
+    heads = rows.filter((F.col("n") == F.col("stmt")) & (F.size("chain") > 0) & ~F.col("text").isin("}", ";"))
+    unit = lambda name, line: F.concat_ws("#", "path", name, F.col(line).cast("string")).alias("unit")
+    # The lexer knows PHP's functions; those of Go are known by their declarations.
+    known = heads.filter((F.col("language") == "php") & F.col("function").isNotNull()).select(unit("function.name", "function.line"), "n", "text")
+    bodies = declared.filter(F.col("kind").isin("function", "method") & F.col("opens").isNotNull()).select("path", F.col("opens").alias("at"), unit("name", "line"))
+    others = heads.filter("language <> 'php'").select("path", "n", "text", F.explode("chain").alias("at"))
+    inner = others.join(bodies, ["path", "at"]).groupBy("path", "n", "text").agg(F.max_by("unit", "at").alias("unit"))
+    return known.unionByName(inner.select("unit", "n", "text")).select("unit", F.col("n").alias("line"), statement_kind(F.col("text")).alias("kind"))
 
 
 def _by_kind(values: dict[str, object], kind: Column, otherwise: object) -> Column:

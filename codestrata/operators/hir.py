@@ -7,13 +7,12 @@ pass it, and only there. Findings are the calls that run SQL with something tain
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import plain
+
 # The rule and the names it looks for.
 RULE, SEVERITY, CONFIDENCE = "HIR-SQL-001", 3, 95
 MESSAGE = "SQL injection vulnerability detected via HIR analysis"
@@ -154,19 +153,6 @@ def reaching(rows: list[dict]) -> list[dict[str, frozenset[int]] | None]:
     return state
 
 
-def plain(column: pa.Array) -> list:
-    """A column's values as Python's own, lists and structs too, each field at once instead of value by value."""
-    if pa.types.is_list(column.type):
-        values, sizes = plain(column.flatten()), pc.fill_null(pc.list_value_length(column), 0).to_numpy().tolist()
-        return [values[end - size : end] for size, end in zip(sizes, accumulate(sizes))]
-    if pa.types.is_struct(column.type):
-        names = [f.name for f in column.type]
-        return [dict(zip(names, row)) for row in zip(*map(plain, column.flatten()))]
-    if pa.types.is_integer(column.type) and column.null_count:
-        return [None if null else v for v, null in zip(plain(pc.fill_null(column, 0)), plain(column.is_null()))]
-    return column.to_numpy(zero_copy_only=False).tolist()
-
-
 def findings(found: DataFrame) -> DataFrame:
     """Statements -> rule_id, path, unit, line, subject, source_line, severity, confidence, message: calls that run SQL with a tainted variable or a superglobal in
     their brackets, one row for each line, subject and source. A function's statements come together; files and their functions are dealt out."""
